@@ -11,9 +11,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> tuple[dict, dict]:
     """All (queries, oracle SQL) of the catalogue modules."""
-    from . import campaigns, texts
+    from . import campaigns, orders, texts
     queries, oracle = {}, {}
-    for module in (texts, campaigns):
+    for module in (texts, campaigns, orders):
         queries.update(module.QUERIES)
         oracle.update(module.ORACLE)
     return queries, oracle
