@@ -166,8 +166,8 @@ _LINKS = """pg AS (SELECT page_id, url, html, regexp_extract(url, '^[a-z]+://[^/
     UNION ALL SELECT page_id, 'link', root || path || '?z=1' FROM pr)"""
 _RES = _LINKS + """, resources AS (SELECT page_id, kind, url, CASE WHEN length(url) % 11 = 0 OR length(url) % 5 = 4 THEN 0 WHEN length(url) % 5 = 3 THEN 404 ELSE 200 END AS status,
     length(url) % 11 <> 0 AND length(url) % 5 < 3 AS ok, CASE WHEN length(url) % 11 = 0 THEN 'not fetched' WHEN length(url) % 5 = 4 THEN 'timeout' ELSE '' END AS note FROM links)"""
-_SUMM = _RES + """, sm AS (SELECT p.page_id, p.host, ends_with(p.url, '.html') AS bad, CASE WHEN bad THEN 0 ELSE count(*) FILTER (kind = 'image' AND NOT ok) END AS n_broken_images,
-    CASE WHEN bad THEN 0 ELSE count(*) FILTER (kind = 'link' AND NOT ok) END AS n_dead_links FROM pg p LEFT JOIN resources r ON r.page_id = p.page_id GROUP BY ALL),
+_SUMM = _RES + """, pb AS (SELECT page_id, host, ends_with(url, '.html') AS bad FROM pg), sm AS (SELECT p.page_id, p.host, bad, CASE WHEN bad THEN 0 ELSE count(*) FILTER (kind = 'image' AND NOT ok) END AS n_broken_images,
+    CASE WHEN bad THEN 0 ELSE count(*) FILTER (kind = 'link' AND NOT ok) END AS n_dead_links FROM pb p LEFT JOIN resources r ON r.page_id = p.page_id GROUP BY p.page_id, p.host, bad),
   summ AS (SELECT page_id, host, n_broken_images, n_dead_links, CASE WHEN bad THEN 'page returned HTTP 500' ELSE CASE WHEN n_broken_images + n_dead_links = 0 THEN 'OK' ELSE
     concat_ws(', ', CASE WHEN n_broken_images > 0 THEN n_broken_images || ' broken image(s)' END, CASE WHEN n_dead_links > 0 THEN n_dead_links || ' dead link(s)' END) END END AS summary FROM sm)"""
 

@@ -25,7 +25,8 @@ def is_internal(url: Column, base: Column) -> Column:
 
 def without_dots(path: Column) -> Column:
     """``.`` and ``..`` segments of an absolute path resolved."""
-    parts = F.slice(F.split(path, "/"), 2, 2147483647)
+    split = F.split(path, "/")
+    parts = F.slice(split, 2, F.greatest(F.size(split) - 1, F.lit(0)))
     last = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
     start = F.array().cast("array<string>")
     kept = F.aggregate(parts, start, lambda acc, p: F.when(p == ".", acc)
@@ -44,7 +45,7 @@ def join_url(base: Column, ref: Column) -> Column:
     query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
     folder = F.regexp_replace(F.when(path == "", "/").otherwise(path), "[^/]*$", "")
     ref_path = F.regexp_extract(ref, r"^([^?#]*)", 1)
-    ref_rest = F.substring(ref, F.length(ref_path) + 1, F.lit(2147483647))
+    ref_rest = F.substring(ref, F.length(ref_path) + 1, F.length(ref))
     return (F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
             .when(F.startswith(ref, F.lit("//")), F.concat(scheme, F.lit(":"), ref))
             .when(F.startswith(ref, F.lit("/")), F.concat(root, without_dots(ref_path), ref_rest))

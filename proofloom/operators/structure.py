@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .spread import CHUNK, previous_row, running_sum
+from .spread import previous_row, running_sum
 
 # Thresholds and cue words of the path and title checks.
 MATCH_RATIO, LOOK_AHEAD = 0.55, 5
