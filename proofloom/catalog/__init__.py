@@ -11,9 +11,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> tuple[dict, dict]:
     """All (queries, oracle SQL) of the catalogue modules."""
-    from . import campaigns, orders, packages, sites, texts
+    from . import campaigns, orders, packages, payloads, sites, texts
     queries, oracle = {}, {}
-    for module in (texts, campaigns, orders, sites, packages):
+    for module in (texts, campaigns, orders, sites, packages, payloads):
         queries.update(module.QUERIES)
         oracle.update(module.ORACLE)
     return queries, oracle
