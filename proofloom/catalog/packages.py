@@ -32,7 +32,8 @@ def screens(spark, sf):
         .when((F.col("scene_number") == 5) & (F.col("course_id") % 4 == 0), "The accessible  path")
         .when(F.col("scene_number") == 5, "Accessibility basics").otherwise("").alias("scene_title"),
         "slide_number", F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("slide_id"),
-        F.when(odd, F.md5(F.col("text").cast("binary"))).otherwise(own).alias("slide_title"),
+        F.when(odd, F.md5(F.col("text").cast("binary"))).otherwise(F.concat(
+            F.sha2(own, 256), F.sha2(F.concat(own, F.lit("+")), 256))).alias("slide_title"), own.alias("plain_title"),
         ((F.col("scene_number") <= 2) & (F.col("course_id") % 3 != 2)).alias("is_in_menu"),
         (F.col("n_chars") * 37).alias("duration_ms"), kind.alias("prev_nav_kind"),
         F.when(kind == "gotoplay", target).otherwise("").alias("prev_nav_target"),
@@ -142,8 +143,8 @@ def q_title_guess(spark, sf):
 
 
 def q_title_check(spark, sf):
-    s = screens(spark, sf).withColumn("slide_title", F.when(F.col("ord") % 4 == 0, F.concat(F.lit("Slide_"), F.col("slide_title")))
-                                      .otherwise(F.regexp_replace("slide_title", " [0-9]+$", "")))
+    s = screens(spark, sf).withColumn("slide_title", F.when(F.col("ord") % 4 == 0, F.concat(F.lit("Slide_"), F.col("plain_title")))
+                                      .otherwise(F.regexp_replace("plain_title", " [0-9]+$", "")))
     return A.title_check(s, A.screen_title_guess(objects(spark, sf)))
 
 
@@ -308,7 +309,7 @@ _SCREENS = TITLES + """, b AS (SELECT doc_id, n_chars, text, doc_id // 25 AS cou
     scene_number = 5 OR (scene_number = 3 AND slide_number = 1 AND course_id % 3 = 1) AS odd FROM b),
   scr AS (SELECT course_id, b2.doc_id AS ord, scene_number, 'sc' || course_id || '_' || scene_number AS scene_id,
     CASE WHEN scene_number = 4 AND course_id % 2 = 0 THEN 'Accessible - A01' WHEN scene_number = 5 AND course_id % 4 = 0 THEN 'The accessible  path' WHEN scene_number = 5 THEN 'Accessibility basics' ELSE '' END AS scene_title,
-    slide_number, 's' || b2.doc_id AS slide_id, CASE WHEN odd THEN md5(text) ELSE coalesce(title, '') || ' ' || base END AS slide_title,
+    slide_number, 's' || b2.doc_id AS slide_id, coalesce(title, '') || ' ' || base AS plain_title, CASE WHEN odd THEN md5(text) ELSE sha256(plain_title) || sha256(plain_title || '+') END AS slide_title,
     scene_number <= 2 AND course_id % 3 <> 2 AS is_in_menu, n_chars * 37 AS duration_ms, n_chars,
     CASE n_chars % 7 WHEN 2 THEN 'history_prev' WHEN 3 THEN 'conditional' WHEN 4 THEN 'unresolved' WHEN 5 THEN 'none' WHEN 6 THEN '' ELSE 'gotoplay' END AS kind,
     CASE WHEN scene_number = 3 AND course_id % 3 <> 2 OR scene_number = 4 AND course_id % 2 = 0 OR scene_number = 5 AND course_id % 4 = 0
@@ -355,6 +356,8 @@ ORACLE = {
     "align_paths": f"WITH {_ALIGNED} SELECT course_id, slide_id, std AS standard_slide_id, kind FROM al",
     "screen_inventory": f"WITH {_INV} SELECT * FROM inv",
     "predecessor_check": f"WITH {_SCREENS}, {_PRED} SELECT * FROM predf",
+    "forward_route": """SELECT doc_id // 25 AS course_id, (doc_id % 25)::INT AS step, 's' || doc_id AS slide_id,
+      CASE WHEN (doc_id // 25) % 2 = 0 THEN 'terminal' ELSE 'unknown_screen' END AS end_reason FROM documents""",
     "tab_findings": f"""WITH {_OBJ} SELECT course_id, slide_id, layer_id, obj_id, 'unreachable_button' AS what, 'fail' AS level FROM obj WHERE acc_type = 'button' AND NOT (tab_enabled AND tab_index >= 0)
       UNION ALL SELECT course_id, slide_id, layer_id, obj_id, 'click_on_text', 'warn' FROM obj WHERE acc_type = 'text' AND click
       UNION ALL SELECT course_id, slide_id, layer_id, obj_id, 'unnamed_stop', 'warn' FROM obj WHERE tab_enabled AND tab_index >= 0 AND text = ''""",
@@ -365,7 +368,7 @@ ORACLE = {
     "dialog_labels": f"""WITH {_OBJ}, l AS (SELECT course_id, slide_id, layer_id, count(*) AS n FROM obj GROUP BY ALL)
       SELECT course_id, count(*) FILTER (layer_id = 'overlay') AS n_dialogs, count(*) FILTER (layer_id = 'overlay' AND n <= 3) AS n_unlabelled FROM l GROUP BY 1""",
     "screen_title_guess": f"WITH {_GUESS} SELECT * FROM guess",
-    "screen_title_check": f"""WITH {_GUESS}, {_SCREENS.replace(LINES + ', ', '', 1)}, t AS (SELECT s.course_id, s.slide_id, trim(CASE WHEN s.ord % 4 = 0 THEN 'Slide_' || slide_title ELSE regexp_replace(slide_title, ' [0-9]+$', '') END) AS title, on_screen_title FROM scr s LEFT JOIN guess g ON g.slide_id = s.slide_id),
+    "screen_title_check": f"""WITH {_GUESS}, {_SCREENS.replace(LINES + ', ', '', 1)}, t AS (SELECT s.course_id, s.slide_id, trim(CASE WHEN s.ord % 4 = 0 THEN 'Slide_' || plain_title ELSE regexp_replace(plain_title, ' [0-9]+$', '') END) AS title, on_screen_title FROM scr s LEFT JOIN guess g ON g.slide_id = s.slide_id),
       k AS (SELECT *, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS a, regexp_replace(lower(on_screen_title), '[^a-z0-9]', '', 'g') AS z FROM t)
       SELECT course_id, slide_id, title, on_screen_title, contains(title, '_') OR starts_with(lower(title), 'copy of ') AS internal, coalesce(on_screen_title IS NOT NULL AND a <> '' AND NOT ends_with(z, a), false) AS mismatch, on_screen_title IS NULL AS no_title FROM k""",
     "option_order": """WITH w AS (SELECT *, list_slice(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), 1, 4) AS ws, (conv_id + turn) % 5 AS st FROM conversations),

@@ -51,7 +51,7 @@ def test_runs_round_trip(spark, tmp_path):
 
 def test_packages(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "good.zip", "w") as z:
-        z.writestr("html5/data/js/data.js", "window.globalProvideData('data', '{\"title\":\"It\\\\'s \\\\u00e9t\\\\u00e9\"}');")
+        z.writestr("html5/data/js/data.js", "window.globalProvideData('data', '{\"title\":\"It\\'s \\\\u00e9t\\\\u00e9\"}');")
         z.writestr("imsmanifest.xml", '<manifest xmlns="u"><organizations><organization><title>T</title></organization></organizations></manifest>')
     (tmp_path / "bad.zip").write_text("nonsense")
     e = packages.ingest_packages(spark, str(tmp_path)).cache()
