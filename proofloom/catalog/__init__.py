@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Tables whose rows cost real work (texts, or rows that write documents).
+HEAVY = {"documents", "pages", "conversations", "orders", "customer"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table.  A heavy one that the scan cuts into fewer splits than there
+    are cores (one small file, one row group) is spread over the cores; data of
+    cluster size has more splits than that and is never shuffled here."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in HEAVY and df.rdd.getNumPartitions() < cores else df
 
 
 def load() -> tuple[dict, dict]:

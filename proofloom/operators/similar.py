@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .spread import salted_join
+
 # Characters from rare to common; any fixed order is correct, this one is selective.
 RARITY = "~9876543210zqxjkvbpygfwmucldrhsnioate "
 
@@ -49,6 +51,13 @@ def name_prefix(name: Column, threshold: float) -> Column:
     return F.slice(tokens, 1, F.greatest(F.size(tokens) - need.cast("int") + 1, F.lit(0)))
 
 
+def _with_prefix(rows: DataFrame, key: str, threshold: float) -> DataFrame:
+    """Each row once per prefix token ``__t``; a name's tokens are made once."""
+    tokens = rows.select(key).distinct().withColumn("__ts", name_prefix(F.col(key), threshold))
+    spread_on = [c for c in rows.columns if c != key]
+    return salted_join(rows, tokens, [key], spread_on=spread_on).withColumn("__t", F.explode("__ts")).drop("__ts")
+
+
 def similar_names(left: DataFrame, right: DataFrame, scope: Sequence[str], threshold: float) -> DataFrame:
     """Pairs (scope, left_key, right_key, ratio) with ratio >= ``threshold``.
 
@@ -57,14 +66,17 @@ def similar_names(left: DataFrame, right: DataFrame, scope: Sequence[str], thres
     """
     a = left.select(*scope, F.col("key").alias("left_key")).distinct().filter(F.col("left_key") != "")
     b = right.select(*scope, F.col("key").alias("right_key")).distinct().filter(F.col("right_key") != "")
-    pa = a.select(*scope, "left_key", F.explode(name_prefix(F.col("left_key"), threshold)).alias("__t"))
-    pb = b.select(*scope, "right_key", F.explode(name_prefix(F.col("right_key"), threshold)).alias("__t"))
+    pa, pb = _with_prefix(a, "left_key", threshold), _with_prefix(b, "right_key", threshold)
     la, lb = F.length("left_key"), F.length("right_key")
     fits = F.least(la, lb) * 2.0 >= (la + lb) * threshold - 1e-9
     pairs = (pa.join(pb, [*scope, "__t"]).filter(fits & (F.col("left_key") != F.col("right_key")))
-             .select(*scope, "left_key", "right_key").distinct()
-             .withColumn("ratio", similarity_ratio("left_key", "right_key"))
-             .filter(F.col("ratio") >= threshold))
+             .select(*scope, "left_key", "right_key").distinct())
+    # The same two names meet in many orders; they are scored once.
+    scored = (pairs.select("left_key", "right_key").distinct()
+              .withColumn("ratio", similarity_ratio("left_key", "right_key"))
+              .filter(F.col("ratio") >= threshold))
+    pairs = salted_join(pairs, scored, ["left_key", "right_key"], spread_on=list(scope)).select(
+        *scope, "left_key", "right_key", "ratio")
     same = (a.join(b.withColumn("left_key", F.col("right_key")), [*scope, "left_key"])
             .select(*scope, "left_key", "right_key", F.lit(1.0).alias("ratio")))
     return pairs.unionByName(same)
