@@ -39,23 +39,25 @@ def _tokens(name: Column) -> Column:
     return F.sort_array(numbered)
 
 
-def name_prefix(name: Column, threshold: float) -> Column:
+def name_prefix(tokens: Column, threshold: float) -> Column:
     """Tokens of which two names scoring ``threshold`` share at least one.
 
     Sharing needs overlap >= t/2 * (la + lb), and lb >= la * t/(2-t), so at
     least ceil(la * t/(2-t)) of a name's tokens are shared and one of the
     first la - that + 1 must be among them.
     """
-    tokens = _tokens(name)
     need = F.ceil(F.size(tokens) * F.lit(threshold / (2 - threshold)) - F.lit(1e-9))
     return F.slice(tokens, 1, F.greatest(F.size(tokens) - need.cast("int") + 1, F.lit(0)))
 
 
-def _with_prefix(rows: DataFrame, key: str, threshold: float) -> DataFrame:
-    """Each row once per prefix token ``__t``; a name's tokens are made once."""
-    tokens = rows.select(key).distinct().withColumn("__ts", name_prefix(F.col(key), threshold))
+def _with_prefix(rows: DataFrame, key: str, side: str, threshold: float) -> DataFrame:
+    """Each row once per prefix token ``__t``, its tokens beside it; a name's
+    tokens are made once."""
+    tokens = (rows.select(key).distinct().withColumn(f"{side}_all", _tokens(F.col(key)))
+              .withColumn(f"{side}_prefix", name_prefix(F.col(f"{side}_all"), threshold)))
     spread_on = [c for c in rows.columns if c != key]
-    return salted_join(rows, tokens, [key], spread_on=spread_on).withColumn("__t", F.explode("__ts")).drop("__ts")
+    joined = salted_join(rows, tokens, [key], spread_on=spread_on)
+    return joined.withColumn("__t", F.explode(f"{side}_prefix"))
 
 
 def similar_names(left: DataFrame, right: DataFrame, scope: Sequence[str], threshold: float) -> DataFrame:
@@ -66,11 +68,15 @@ def similar_names(left: DataFrame, right: DataFrame, scope: Sequence[str], thres
     """
     a = left.select(*scope, F.col("key").alias("left_key")).distinct().filter(F.col("left_key") != "")
     b = right.select(*scope, F.col("key").alias("right_key")).distinct().filter(F.col("right_key") != "")
-    pa, pb = _with_prefix(a, "left_key", threshold), _with_prefix(b, "right_key", threshold)
-    la, lb = F.length("left_key"), F.length("right_key")
-    fits = F.least(la, lb) * 2.0 >= (la + lb) * threshold - 1e-9
+    pa = _with_prefix(a, "left_key", "l", threshold)
+    pb = _with_prefix(b, "right_key", "r", threshold)
+    total = F.size("l_all") + F.size("r_all")
+    fits = F.least(F.size("l_all"), F.size("r_all")) * 2.0 >= total * threshold - 1e-9
+    # A pair is taken at the first token it shares, so it is seen once.
+    once = F.get(F.array_intersect("l_prefix", "r_prefix"), F.lit(0)) == F.col("__t")
+    enough = F.size(F.array_intersect("l_all", "r_all")) * 2.0 >= total * threshold - 1e-9
     pairs = (pa.join(pb, [*scope, "__t"]).filter(fits & (F.col("left_key") != F.col("right_key")))
-             .select(*scope, "left_key", "right_key").distinct())
+             .filter(once & enough).select(*scope, "left_key", "right_key"))
     # The same two names meet in many orders; they are scored once.
     scored = (pairs.select("left_key", "right_key").distinct()
               .withColumn("ratio", similarity_ratio("left_key", "right_key"))
