@@ -224,7 +224,7 @@ def _cells(spark, sf):
         row(1, 0, "SKU", "Description", "Number of  users"),
         row(1, 1, "CL-SST-ESS", F.concat(F.lit("Upgrade from the 2021 topic"), n, F.lit(" bundle to the new one")), u),
         row(1, 2, "Related Services:DL-SSO", ready, ""),
-        row(1, 3, F.concat(F.lit("CL-"), n), "Free text topic", "12"), row(1, 4, "PH-SAAS- PB", "SecurePhish", "n/a"),
+        row(1, 3, F.concat(F.lit("CL-"), n), "Free text topic", "12"), row(1, 4, "PH-SAAS- PB", "Mail Test", "n/a"),
         row(1, 5, F.when(F.col("p") == "4", "DL-LMS1").when(F.col("p") == "5", "DL-SCR").otherwise("none"), "Delivery", ""),
         row(2, 0, "Archive  &  Remove", F.concat(F.lit("Old topics "), n, F.lit("P, "), n)), row(2, 1, "Archive and Reset", "N/A"),
         row(2, 2, "Requested Date", "TBD"), row(2, 3, "", "x")))
@@ -389,7 +389,7 @@ _O = """o AS (SELECT o_orderkey AS order_id, o_custkey, o_custkey::VARCHAR AS cu
     (o_custkey % 90 + 10)::INT AS users, (o_custkey + 1000)::VARCHAR AS n FROM orders)"""
 _HOSTS = _O + """, h AS (SELECT order_id, p, st, CASE WHEN p = '4' AND st <> 'F' THEN 'DL-LMS1' END AS lms, CASE WHEN p = '5' AND st <> 'F' THEN 'DL-SCR' END AS scr,
     CASE WHEN order_id % 3 = 0 AND p <> '5' THEN 'cust' || cust || '.portal.example.com' END AS url, p = '4' AND st <> 'F' AS managed, p = '1' AND st <> 'O' AS says FROM o),
-  hosts AS (SELECT order_id, CASE WHEN lms IS NOT NULL OR url IS NOT NULL THEN 'GLS-Hosted' WHEN managed THEN 'PhishFirewall-Hosted' WHEN scr IS NOT NULL OR says THEN 'Self-Hosted' END AS detected_hosting,
+  hosts AS (SELECT order_id, CASE WHEN lms IS NOT NULL OR url IS NOT NULL THEN 'Vendor-Hosted' WHEN managed THEN 'Managed-Hosted' WHEN scr IS NOT NULL OR says THEN 'Self-Hosted' END AS detected_hosting,
     CASE WHEN lms IS NOT NULL THEN lms || ' SKU' WHEN url IS NOT NULL THEN 'portal URL ' || url WHEN managed THEN '"AI Managed Phishing" in a document, no hosting SKU'
       WHEN scr IS NOT NULL THEN scr || ' SKU' WHEN says THEN 'estimate address says SCORM' END AS hosting_source,
     CASE WHEN p = '2' AND st = 'O' THEN 'Self-Hosted' END AS choice FROM h),
@@ -406,7 +406,7 @@ _EXP = _O + f""", x AS (SELECT order_id, 'sow.pdf' AS source, {_END} AS date,
     CASE WHEN count(DISTINCT date) > 1 THEN array_to_string(list_sort(list_distinct(list(date))), '; ') END AS conflict FROM dates GROUP BY order_id)"""
 _SKUS = _O + """, skus AS (SELECT order_id, 'sow.pdf' AS source, unnest(['CL-SST-ESS', 'DL-SSO', 'CL-' || n, 'PH-SAAS-PB', CASE p WHEN '4' THEN 'DL-LMS1' WHEN '5' THEN 'DL-SCR' END]) AS sku,
     unnest(['Upgrade from the 2021 topic' || n || ' bundle to the new one', 'Related Services: ' || CASE WHEN p < '3' THEN 'SSO in place.' ELSE 'SSO not yet in place' END,
-      'Free text topic', 'SecurePhish', 'Delivery']) AS description, unnest([users, NULL, 12, NULL, NULL]) AS users FROM o WHERE st <> 'F'
+      'Free text topic', 'Mail Test', 'Delivery']) AS description, unnest([users, NULL, 12, NULL, NULL]) AS users FROM o WHERE st <> 'F'
   UNION ALL SELECT order_id, 'estimate.pdf', unnest(['CL-SST-ESS2', 'SRV-CUS', 'DL-SSO']), unnest(['Main', 'Custom screens', 'SSO']),
     unnest([CASE WHEN p = '1' THEN users + 1 ELSE users END, NULL, NULL]) FROM o WHERE st <> 'O')"""
 _LABELS = _O + """, l AS (SELECT order_id, p, unnest([
@@ -498,7 +498,7 @@ ORACLE = {
     "message_templates": f"""WITH {_O} SELECT order_id, CASE WHEN st = 'O' THEN '[number?]' ELSE '9' || lpad(cust, 6, '0') END || ': Customer ' || cust || ': ' ||
       CASE WHEN st = 'O' THEN '[poc?]' ELSE 'poc' || cust || '@example.com' END AS subject, 'Bill' AS greeting FROM o""",
     "order_tasks": f"""WITH {_HOSTS}, {_TYPES}, {_EXP.replace(_O, 'd0 AS (SELECT 1)')}, t AS (SELECT o.*, hosting.hosting, types.order_type, picked.date AS exp_date,
-        hosting.hosting IS NOT NULL AND hosting.hosting = 'Self-Hosted' AS selfh, hosting.hosting IS NOT NULL AND hosting.hosting = 'PhishFirewall-Hosted' AS managed FROM o LEFT JOIN hosting USING (order_id) LEFT JOIN types USING (order_id) LEFT JOIN picked USING (order_id)),
+        hosting.hosting IS NOT NULL AND hosting.hosting = 'Self-Hosted' AS selfh, hosting.hosting IS NOT NULL AND hosting.hosting = 'Managed-Hosted' AS managed FROM o LEFT JOIN hosting USING (order_id) LEFT JOIN types USING (order_id) LEFT JOIN picked USING (order_id)),
       r AS (SELECT order_id, list_filter([
         CASE WHEN NOT selfh THEN {{'title': CASE WHEN managed THEN 'Update managed expiration date' ELSE 'Update portal expiration date' END, 'h': 'Fulfillment', 'c': CASE WHEN managed THEN 'no standard for managed hosting' WHEN exp_date IS NULL THEN 'no single date' END}} END,
         CASE WHEN st <> 'F' AND p = '1' THEN {{'title': 'License count change', 'h': 'Support', 'c': NULL}} END,

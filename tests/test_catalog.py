@@ -11,7 +11,7 @@ SAMPLE = ("duplicate_paragraphs", "doubled_words", "campaign_summary", "compare_
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(entry.queries()) > 150
+    assert len(entry.queries()) > 130
 
 
 def test_flagship(spark):
