@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, tokenfiles, urls, vectors
+from . import chat, mixing, ngram_join, packing, quality, tokenfiles, urls, vectors
 from .common import new_path
 
 # Rules of the url query (host, path, verdict).
@@ -22,6 +22,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def q_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def q_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "tokens")
     files = tokenfiles.write_tokens(_table(spark, sf_dir, "documents"), folder, vocabulary())
@@ -67,6 +71,7 @@ def q_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": q_similar,
     "op2_token_files": q_tokens,
     "op3_source_mixing": q_mix,
     "op4_quality_classifier": q_quality,
