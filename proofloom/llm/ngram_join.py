@@ -23,7 +23,7 @@ from .common import bounded_batches, keep, lower_words, pieces
 from .graph import components
 
 # Shingles of one tree; a bunch that holds more is dealt over several.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 DIMS, LEAF = 32, 32
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -236,7 +236,7 @@ def _links(sets: DataFrame, levels: Levels) -> DataFrame:
     linked inside each, and then only sets outside its largest class so far still meet the other parts."""
     volume = keep(sets.groupBy("root").agg(F.sum("n").alias("v")), "volumes")
     total = volume.agg(F.sum("v")).first()[0] or 0
-    bins = max(1, -(-total // (CHUNK // 4)))
+    bins = max(1, -(-total // (CHUNK // 2)))
     sized = sets.join(volume.select("root", F.ceil(F.col("v") / CHUNK).alias("parts")), "root")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("long")
     sized = keep(sized.withColumn("part", part), "sets")
@@ -253,7 +253,7 @@ def _links(sets: DataFrame, levels: Levels) -> DataFrame:
     counted = large.groupBy("root", "label").agg(F.count("*").alias("c")).groupBy("root").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
     out = large.join(counted, "root").filter(F.col("label") != F.col("main")).drop("main")
     # Outsiders go to every part of their bunch; a part is repeated for each group of outsiders only.
-    askers = out.withColumn("other", F.col("part")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).cast("long"))
+    askers = out.withColumn("other", F.col("part")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     hosts = large.join(out.select("root", F.col("part").alias("other")).distinct(), "root")
     unit = [F.col("root").alias("unit"), "part", "other", "node", "root", "content", "label"]
     asking = askers.select(*unit, F.lit(True).alias("asks"))
