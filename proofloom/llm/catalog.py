@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, ngram_join, packing, quality, tokenfiles, urls, vectors
+from . import chat, mixing, ngram_join, packing, quality, suffixes, tokenfiles, urls, vectors
 from .common import new_path
 
 # Rules of the url query (host, path, verdict).
@@ -50,6 +50,10 @@ def q_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest_by_tiles(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def q_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removed_bytes(_table(spark, sf_dir, "documents"), least=100)
+
+
 def q_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
@@ -76,6 +80,7 @@ QUERIES = {
     "op3_source_mixing": q_mix,
     "op4_quality_classifier": q_quality,
     "op5_nearest_vectors": q_nearest,
+    "op6_suffix_dedup": q_repeats,
     "op7_url_filters": q_urls,
     "op8_exact_top_k": q_top,
     "op9_packing": q_pack,
