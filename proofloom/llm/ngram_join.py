@@ -287,3 +287,18 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, d
     named = keep(rooted.join(least, "root").select("node", "component_id"), "named")
     out = feats.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.expr("n > 0 and doc_id is not null"), F.col("node")).alias("node"))
     return out.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Documents without near copies: of each group the one with the smallest id stays.
+
+    Of several rows of an id that stays, one remains.  Documents without words or without an id stay.
+    """
+    groups = similar_groups(docs, k, num, den, doc_id, text)
+    stay = keep(groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
+                .withColumnRenamed("doc_id", doc_id), "stay")
+    kept = docs.join(stay, doc_id).select(*docs.columns, "__rows")
+    alone = docs.filter(F.col(doc_id).isNull())
+    if stay.filter("__rows > 1").limit(1).count():
+        kept = kept.filter("__rows = 1").unionByName(kept.filter("__rows > 1").dropDuplicates([doc_id]))
+    return kept.drop("__rows").unionByName(alone)

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,18 +75,22 @@ def suffix_order(text: np.ndarray, owner: np.ndarray) -> np.ndarray:
         key = key * 512 + letter
         ended |= letter == 0
     key = key * (owner[-1] + 2) + np.where(ended, owner + 1, 0)
-    order = np.argsort(key, kind="stable")
-    reach = 4
+    order = np.argsort(key)
+    ordered, reach, bits = key[order], 4, int(n).bit_length()
     while True:
-        new = np.r_[0, np.cumsum(key[order][1:] != key[order][:-1])]
-        rank = np.empty(n, np.int64)
-        rank[order] = new
+        new = np.r_[0, np.cumsum(ordered[1:] != ordered[:-1])]
         if new[-1] == n - 1:
             return order
-        behind = np.zeros(n, np.int64)
-        behind[:n - reach] = rank[reach:] + 1
-        key = rank * (n + 1) + behind
-        order = np.argsort(key, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = new
+        key = rank << bits
+        key[:n - reach] += rank[reach:] + 1
+        if 3 * bits < 64:  # sorting numbers that hold their place is faster than sorting places
+            ordered = np.sort(key << bits | np.arange(n))
+            order, ordered = ordered & ((1 << bits) - 1), ordered >> bits
+        else:
+            order = np.argsort(key)
+            ordered = key[order]
         reach *= 2
 
 
@@ -156,40 +161,45 @@ def _string_hashes(data: bytes, places: np.ndarray, least: int) -> np.ndarray:
 FOUND = "doc long, same long, start long, end long, bucket long, strings binary, count long"
 
 
-def _runs(docs, sames, places, least) -> list[tuple]:
-    """Sorted starts of strings as merged spans (doc, same, start, end)."""
+def _runs(docs, sames, places, least) -> np.ndarray:
+    """Sorted starts of strings as merged spans, rows of (doc, same, start, end)."""
     order = np.lexsort((places, sames, docs))
     d, s, p = docs[order], sames[order], places[order]
-    new = np.r_[True, (d[1:] != d[:-1]) | (s[1:] != s[:-1]) | (p[1:] > p[:-1] + least)] if len(d) else np.empty(0, bool)
+    new = np.r_[True, (d[1:] != d[:-1]) | (s[1:] != s[:-1]) | (p[1:] > p[:-1] + least)][:len(d)]
     a = np.flatnonzero(new)
-    b = np.r_[a[1:] - 1, len(d) - 1] if len(d) else a
-    return list(zip(d[a].tolist(), s[a].tolist(), p[a].tolist(), (p[b] + least).tolist()))
+    b = np.r_[a[1:] - 1, len(d) - 1][:len(a)]
+    return np.column_stack([d[a], s[a], p[a], p[b] + least])
 
 
-def _found(spans: list[tuple], packed: list[tuple]) -> pa.Table:
-    rows = [(*x, None, None, None) for x in spans] + [(None, None, None, None, *x) for x in packed]
-    kinds = [pa.int64()] * 5 + [pa.binary(), pa.int64()]
-    names = [c.split()[0] for c in FOUND.split(", ")]
-    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+def _found(spans: np.ndarray, packed: list[tuple]) -> pa.Table:
+    """Spans first, then (bucket, strings, count)."""
+    n, m = len(spans), len(packed)
+    columns = [pa.concat_arrays([pa.array(spans[:, i], pa.int64()), pa.nulls(m, pa.int64())]) for i in range(4)]
+    for i, kind in enumerate((pa.int64(), pa.binary(), pa.int64())):
+        columns.append(pa.concat_arrays([pa.nulls(n, kind), pa.array([x[i] for x in packed], kind)]))
+    return pa.table(columns, [c.split()[0] for c in FOUND.split(", ")])
 
 
 def _compare(table: pa.Table, least: int, buckets: int) -> pa.Table:
     """Spans of strings that start earlier among these surroundings.  Where an anchor is dealt over several parts, the
     first of each string goes on, with its hash, to meet the firsts of the other parts."""
-    key = table.column("key").to_numpy()
-    doc, same, start = (table.column(c).to_numpy() for c in ("doc", "same", "start"))
-    shared = table.column("parts").to_numpy() > 1
-    content = table.column("content").to_pylist()
-    order = np.lexsort((start, same, doc)).tolist()
-    firsts, kinds, covered = {}, {}, []
-    for i in order:  # equal surroundings need comparing once; all of a later one is repeated
-        if (key[i], content[i]) in firsts:
-            covered.append(i)
-        else:
-            firsts[key[i], content[i]] = i
-            kinds[key[i]] = kinds.get(key[i], 0) + 1
-    spans = [(int(doc[i]), int(same[i]), int(start[i]), int(start[i]) + len(content[i])) for i in covered]
-    at = np.array([i for (k, _), i in firsts.items() if kinds[k] > 1 or shared[i]], np.int64)
+    key, doc, same, start = (table.column(c).to_numpy() for c in ("key", "doc", "same", "start"))
+    size = pa.compute.binary_length(table.column("content")).to_numpy()
+    order = np.lexsort((size, key, start, same, doc))
+    key, doc, same, start, size = (x[order] for x in (key, doc, same, start, size))
+    # A row stated twice is one.
+    once = np.r_[True, np.any([x[1:] != x[:-1] for x in (key, doc, same, start, size)], axis=0)]
+    order, key, doc, same, start, size = (x[once] for x in (order, key, doc, same, start, size))
+    shared = table.column("parts").to_numpy()[order] > 1
+    content = table.column("content").take(pa.array(order)).to_pylist()
+    # Equal surroundings need comparing once; all of a later one is repeated.
+    kind = dict(zip(reversed(list(zip(key.tolist(), content))), range(len(content) - 1, -1, -1)))
+    first = np.array(sorted(kind.values()), np.int64)
+    later = np.ones(len(content), bool)
+    later[first] = False
+    spans = [np.column_stack([doc[later], same[later], start[later], start[later] + size[later]])]
+    _, number, kinds = np.unique(key[first], return_inverse=True, return_counts=True)
+    at = first[(kinds[number] > 1) | shared[first]]
     packed = []
     if len(at):
         who, place, group = repeated([content[i] for i in at], least)
@@ -199,15 +209,18 @@ def _compare(table: pa.Table, least: int, buckets: int) -> pa.Table:
         head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         lead = np.repeat(head, np.diff(np.r_[head, len(group)]))
         late = (d != d[lead]) | (s != s[lead]) | (p != p[lead])
-        spans += _runs(d[late], s[late], p[late], least)
+        spans.append(_runs(d[late], s[late], p[late], least))
         out = head[shared[at[who[head]]]]
         if len(out):
-            hashes = np.concatenate([_string_hashes(content[at[w]], place[out[who[out] == w]], least) for w in np.unique(who[out])])
-            out = np.concatenate([out[who[out] == w] for w in np.unique(who[out])])
+            out = out[np.argsort(who[out], kind="stable")]
+            cuts = np.flatnonzero(np.r_[True, who[out][1:] != who[out][:-1], True])
+            hashes = np.concatenate([_string_hashes(content[at[who[out[a]]]], place[out[a:b]], least) for a, b in zip(cuts, cuts[1:])])
             rows = np.column_stack([hashes.view(np.int64), d[out], s[out], p[out]])
             bucket = (hashes[:, 0] % np.uint64(buckets)).astype(np.int64)
-            packed = [(int(b), rows[bucket == b].tobytes(), int((bucket == b).sum())) for b in np.unique(bucket)]
-    return _found(spans, packed)
+            rows, bucket = rows[np.argsort(bucket, kind="stable")], np.sort(bucket)
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+            packed = [(int(bucket[a]), rows[a:b].tobytes(), int(b - a)) for a, b in zip(cuts, cuts[1:])]
+    return _found(np.concatenate(spans), packed)
 
 
 def _meet(table: pa.Table, least: int) -> pa.Table:
@@ -239,21 +252,23 @@ def _surroundings(texts: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, same, text, spots in zip(*(batch.column(c) for c in ("doc", "same", "text", "spots"))):
-                doc, same, data = doc.as_py(), same.as_py(), text.as_py().encode()
-                for spot in spots.as_py():
-                    a = max(0, spot["place"] - reach)
-                    rows.append((spot["key"], spot["parts"], doc, same, a, data[a:spot["place"] + PIECE + reach]))
-                if len(rows) > 20_000:
-                    yield batch_of(rows)
-                    rows = []
-            if rows:
-                yield batch_of(rows)
-
-    def batch_of(rows):
-        kinds = [pa.int64()] * 5 + [pa.binary()]
-        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["key", "parts", "doc", "same", "start", "content"])
+            spots = batch.column("spots")
+            ends, flat = spots.offsets.to_numpy(), spots.flatten()
+            key, parts, place = (flat.field(i).to_numpy() for i in range(3))
+            ends = ends - ends[0]
+            start = np.maximum(0, place - reach)
+            many = np.diff(ends)
+            doc, same = (np.repeat(batch.column(c).to_numpy(), many) for c in ("doc", "same"))
+            for a in range(0, batch.num_rows, 512):
+                b = min(a + 512, batch.num_rows)
+                content = []
+                for i in range(a, b):
+                    data = batch.column("text")[i].as_py().encode()
+                    lo, hi = ends[i], ends[i + 1]
+                    content += [data[x:y] for x, y in zip(start[lo:hi].tolist(), (place[lo:hi] + PIECE + reach).tolist())]
+                own = slice(ends[a], ends[b])
+                yield pa.record_batch([key[own], parts[own], doc[own], same[own], start[own], pa.array(content, pa.binary())],
+                                      ["key", "parts", "doc", "same", "start", "content"])
 
     return texts.mapInArrow(run, "key long, parts long, doc long, same long, start long, content binary")
 
@@ -272,13 +287,13 @@ def repeated_spans(docs: DataFrame, least: int = 100, doc_id: str = "doc_id", te
         F.min("doc").alias("first"), F.min("m").alias("m0"), F.max("m").alias("m1"))
     clash = F.raise_error(F.lit("two texts have one 64-bit hash")).cast("long")
     firsts = keep(marks.select("same", F.when(F.col("m0") == F.col("m1"), F.col("first")).otherwise(clash).alias("first")), "firsts")
-    where = F.struct("same", "place")
     seen = _anchor_rows(told, least)
-    shared = keep(seen.groupBy("key").agg(F.min(where).alias("lo"), F.max(where).alias("hi"), F.count("*").alias("n"))
-                  .filter("lo < hi").select("key", F.ceil(F.col("n") / PART).alias("parts")), "shared")
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("same", "place") for f in (F.min, F.max)]
+    shared = keep(seen.groupBy("key").agg(*ends, F.count("*").alias("n"))
+                  .filter("min_same < max_same or min_place < max_place").select("key", F.ceil(F.col("n") / PART).alias("parts")), "shared")
     spots = keep(seen.join(shared, "key").groupBy("same").agg(F.collect_set(F.struct("key", "parts", "place")).alias("spots"))
                  .join(firsts, "same"), "spots")
-    texts = told.join(spots.select(F.col("first").alias("doc"), "same", "spots"), ["doc", "same"]).dropDuplicates(["doc", "same"])
+    texts = told.join(spots.select(F.col("first").alias("doc"), "same", "spots"), ["doc", "same"])
     around = _surroundings(texts, least)
     size = spots.agg(F.sum(F.size("spots"))).first()[0] or 0
     buckets = max(1, -(-size // PART))
