@@ -4,19 +4,22 @@ A document is its set of distinct word shingles.  Shingles are hashed into group
 the sum of coordinate minima of two points bounds the overlap of their sets, also between a point and the box of a tree
 node.  Pairs that survive the bound are verified on the sets.
 
-What may be compared at all is found by groups too: sets that differ in d shingles differ in d groups at most, so with
-more than d groups one is the same in both.  Documents that share the content of a group are brought together by
-an aggregation by that content, without pairs; each connected bunch is then one R-tree's work.
+What may be compared at all is found by rare shingles: in any one order of all shingles, linked sets share one among the
+first n - ceil(t * n) + 1 of each.  The order is by how often a shingle's counter was met, so what many documents have
+in common comes last and brings nobody together.  Documents that share such a shingle are brought together by an
+aggregation by shingle, without pairs, and in windows of size, since linked sets differ little in it: a set
+stands in two windows, and a chain of chance acquaintances ends at their borders.  Each connected bunch is then one R-tree's work.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, keep, lower_words, pieces
@@ -25,6 +28,7 @@ from .graph import components
 # Shingles of one tree; a bunch that holds more is dealt over several.
 CHUNK = 1 << 19
 DIMS, LEAF = 32, 32
+COUNTERS, SLICES = 1 << 20, 16
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -49,50 +53,34 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(all_)
 
 
-class Levels:
-    """Sizes in steps of 1.5 and the number of groups each step needs for sets of similarity num/den or more.
+def node_of(s: np.ndarray) -> int:
+    """64-bit hash of a set, as a signed number."""
+    return int(mixed(mixed(s).sum(keepdims=True) + np.uint64(len(s))).view(np.int64)[0])
 
-    With ``n`` the smaller size, such sets differ in at most ``n * (den - num) / num`` shingles.
-    """
+
+class Threshold:
+    """Jaccard similarity of num/den or more."""
 
     def __init__(self, num: int, den: int):
-        self.num, self.den, self.tops, self.groups, top = num, den, [], [], 1
-        while top < 1 << 40:
-            self.tops.append(top)
-            # A little more than the differences, since some groups stay empty.
-            self.groups.append(self.differ(top) * 53 // 50 + 3 if self.differ(top) else 1)
-            top = max(top + 1, top * 3 // 2)
-
-    def differ(self, n: int) -> int:
-        return n * (self.den - self.num) // self.num
-
-    def of(self, n: int) -> range:
-        """Steps in which a set of size n can have a smaller or equal partner's size."""
-        least = -(-n * self.num // self.den)
-        return range(int(np.searchsorted(self.tops, least)), int(np.searchsorted(self.tops, n)) + 1)
-
-    def keys(self, h: np.ndarray) -> np.ndarray:
-        """Content hashes of the groups of all steps.  A set left with no more filled groups than differences
-        adds its empty ones, so two such sets meet as well.  Steps without room for a difference need none."""
-        found = []
-        for level in self.of(len(h)):
-            groups, differ = self.groups[level], min(self.differ(self.tops[level]), self.differ(len(h)))
-            if groups == 1:
-                continue
-            at = (h % np.uint64(groups)).astype(np.int64)
-            content = np.zeros(groups, np.uint64)
-            np.add.at(content, at, mixed(h))
-            filled = np.zeros(groups, bool)
-            filled[at] = True
-            if filled.sum() <= differ:
-                filled[:] = True
-            found.append(mixed(content * A + mixed(np.arange(groups, dtype=np.uint64) + np.uint64(level << 32)))[filled])
-        return np.concatenate(found) if found else np.empty(0, np.uint64)
+        self.num, self.den = num, den
 
     def linked(self, inter, both):
         """Whether an overlap suffices, given the sum of the sizes."""
         return inter * (self.num + self.den) >= self.num * both
 
+    def windows(self, n: Column) -> Column:
+        """Two windows per size; linked sets have one in common.  Classes grow by 1/t, so theirs differ by one at most."""
+        size_class = F.floor(F.log(n.cast("double")) / F.lit(math.log(self.den / self.num) * (1 + 1e-9)))
+        return F.array(size_class - 1, size_class)
+
+    def keys(self, h: np.ndarray, heights: np.ndarray) -> np.ndarray:
+        """The shingles of a set of which every linked set has one among its own, rarest first.
+
+        An overlap of ``t * n`` is needed whether the partner is larger or smaller.
+        """
+        wanted = len(h) + (-len(h) * self.num // self.den) + 1 if len(h) else 0
+        return h[np.lexsort((h, heights[h & np.uint64(len(heights) - 1)]))[:wanted]]
+
 
 class CountTree:
     """R-tree over count vectors, packed: points sorted into leaves by halving along the widest coordinate."""
@@ -120,21 +108,21 @@ class CountTree:
             todo += [at[order[half:]], at[order[:half]]]
         return np.concatenate(done)
 
-    def near(self, point: np.ndarray, size: int, levels: Levels, skip) -> np.ndarray:
+    def near(self, point: np.ndarray, size: int, limit: Threshold, skip) -> np.ndarray:
         """Places, in packed order, of leaves' points that boxes cannot rule out.  ``skip(height, nodes)`` tells
         which nodes need no visit."""
         nodes = np.zeros(1, np.int64)
         for height in range(len(self.boxes) - 1, -1, -1):
             nodes = nodes[~skip(height, nodes)]
             bound = np.minimum(np.minimum(self.boxes[height][nodes], point).sum(axis=1), np.minimum(self.most[height][nodes], size))
-            nodes = nodes[levels.linked(bound, size + self.least[height][nodes])]
+            nodes = nodes[limit.linked(bound, size + self.least[height][nodes])]
             below = len(self.order) if height == 0 else len(self.boxes[height - 1])
             nodes = (nodes[:, None] * LEAF + np.arange(LEAF)).ravel()
             nodes = nodes[nodes < below]
         return nodes
 
 
-def link(sets: list[np.ndarray], labels: np.ndarray, asks: np.ndarray | None, levels: Levels) -> list[tuple[int, int]]:
+def link(sets: list[np.ndarray], labels: np.ndarray, asks: np.ndarray | None, limit: Threshold) -> list[tuple[int, int]]:
     """Verified links (i, j) that join all linked sets, without those inside what is joined already.
 
     ``labels``: known classes; ``asks``: sets whose partners are wanted (None: all).
@@ -166,14 +154,14 @@ def link(sets: list[np.ndarray], labels: np.ndarray, asks: np.ndarray | None, le
             mine = same[height][nodes] & (labels[nodes * width] == labels[i])
             return mine | ((nodes + 1) * width <= i + 1) if asks is None else mine
 
-        to = tree.near(points[i], sizes[i], levels, skip)
+        to = tree.near(points[i], sizes[i], limit, skip)
         to = to[(to > i if asks is None else to != i) & (labels[to] != labels[i])]
-        to = to[levels.linked(np.minimum(points[to], points[i]).sum(axis=1), sizes[to] + sizes[i])]
+        to = to[limit.linked(np.minimum(points[to], points[i]).sum(axis=1), sizes[to] + sizes[i])]
         for j in to.tolist():
             if labels[j] != labels[i]:
                 own, other = sets[order[i]], sets[order[j]]
                 inter = len(np.intersect1d(own, other, assume_unique=True))
-                if levels.linked(inter, len(own) + len(other)):
+                if limit.linked(inter, len(own) + len(other)):
                     found.append((int(order[i]), int(order[j])))
                     a, b = int(labels[i]), int(labels[j])
                     if members is None:
@@ -186,16 +174,41 @@ def link(sets: list[np.ndarray], labels: np.ndarray, asks: np.ndarray | None, le
     return found
 
 
-def _features(docs: DataFrame, k: int, levels: Levels, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, n, node, keys``: set size, set hash and group contents of every document."""
+def _heights(docs: DataFrame, k: int, text: str) -> np.ndarray:
+    """Per counter, the binary length of how often its shingles occur over all documents.
+
+    ``COUNTERS`` counters whatever the size of the input; they are summed in slices, and one byte each reaches the driver.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            found = [shingle_set(t.as_py(), k) & np.uint64(COUNTERS - 1) for t in batch.column(0)]
+            met += np.bincount(np.concatenate(found).astype(np.int64), minlength=COUNTERS)
+        parts = np.split(met.astype("<i4"), SLICES)
+        yield pa.record_batch({"slice": pa.array(range(SLICES), pa.int32()), "met": pa.array([p.tobytes() for p in parts], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(b.as_buffer(), "<i4").astype(np.int64) for b in table.column("met"))
+        return pa.table({"slice": table.column("slice")[:1], "height": pa.array([np.ceil(np.log2(total + 1)).astype(np.uint8).tobytes()], pa.binary())})
+
+    summed = docs.select(F.col(text).alias("text")).mapInArrow(count, "slice int, met binary").groupBy("slice").applyInArrow(
+        add, "slice int, height binary")
+    rows = sorted((r.slice, r.height) for r in summed.toLocalIterator())
+    return np.frombuffer(b"".join(h for _, h in rows), np.uint8) if rows else np.zeros(COUNTERS, np.uint8)
+
+
+def _features(docs: DataFrame, k: int, limit: Threshold, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, n, node, keys``: set size, set hash and rare shingles of every document."""
+    sent = docs.sparkSession.sparkContext.broadcast(_heights(docs, k, text))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heights = sent.value
         for batch in batches:
             sets = [shingle_set(t.as_py(), k) for t in batch.column(1)]
-            nodes = np.array([mixed(mixed(s).sum(keepdims=True) + np.uint64(len(s)))[0] for s in sets], np.uint64)
-            keys = [levels.keys(s) for s in sets]
+            keys = [limit.keys(s, heights) for s in sets]
             ends = np.cumsum([0, *map(len, keys)])
             yield pa.record_batch({
-                "doc_id": batch.column(0), "n": pa.array(list(map(len, sets)), pa.int64()), "node": pa.array(nodes.view(np.int64)),
+                "doc_id": batch.column(0), "n": pa.array(list(map(len, sets)), pa.int64()), "node": pa.array(list(map(node_of, sets)), pa.int64()),
                 "keys": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64) if keys else [], pa.int64()))})
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
@@ -203,18 +216,20 @@ def _features(docs: DataFrame, k: int, levels: Levels, doc_id: str, text: str) -
 
 
 def _sets(docs: DataFrame, k: int, text: str) -> DataFrame:
-    """``node, root, n, content`` of documents given with node and root."""
+    """``node, root, n, content`` of documents given with node and roots; of rows of one id, those of that node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), k) for t in batch.column("text")]
-            yield pa.record_batch({"node": batch.column("node"), "root": batch.column("root"),
+            yield pa.record_batch({"node": batch.column("node"), "roots": batch.column("roots"),
                                    "n": pa.array(list(map(len, sets)), pa.int64()),
-                                   "content": pa.array([s.tobytes() for s in sets], pa.binary())})
+                                   "content": pa.array([s.tobytes() for s in sets], pa.binary())}).filter(
+                pa.array([node_of(s) == node for s, node in zip(sets, batch.column("node").to_pylist())], pa.bool_()))
 
-    return docs.select("node", "root", F.col(text).alias("text")).mapInArrow(run, "node long, root long, n long, content binary")
+    found = docs.select("node", "roots", F.col(text).alias("text")).mapInArrow(run, "node long, roots array<long>, n long, content binary")
+    return found.select("node", F.explode("roots").alias("root"), "n", "content")
 
 
-def _linked(units: DataFrame, levels: Levels) -> DataFrame:
+def _linked(units: DataFrame, limit: Threshold) -> DataFrame:
     """``a, b``: links found in each (unit, part, other) of ``node, root, content, label, asks``."""
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("root")
@@ -225,26 +240,27 @@ def _linked(units: DataFrame, levels: Levels) -> DataFrame:
         for a, b in zip(starts, starts[1:]):
             sets = [np.frombuffer(content[i].as_buffer(), np.uint64) for i in range(a, b)]
             wanted = None if asks[a:b].all() else asks[a:b]
-            found += [(nodes[a + i], nodes[a + j]) for i, j in link(sets, labels[a:b], wanted, levels)]
+            found += [(nodes[a + i], nodes[a + j]) for i, j in link(sets, labels[a:b], wanted, limit)]
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
     return units.groupBy("unit", "part", "other").applyInArrow(run, "a long, b long")
 
 
-def _links(sets: DataFrame, levels: Levels) -> DataFrame:
+def _links(sets: DataFrame, limit: Threshold) -> DataFrame:
     """Links between sets of the same root.  Small bunches share units; a large one is dealt over parts by hash,
     linked inside each, and then only sets outside its largest class so far still meet the other parts."""
+    sets = keep(sets, "contents")
     volume = keep(sets.groupBy("root").agg(F.sum("n").alias("v")), "volumes")
     total = volume.agg(F.sum("v")).first()[0] or 0
     bins = max(1, -(-total // (CHUNK // 2)))
     sized = sets.join(volume.select("root", F.ceil(F.col("v") / CHUNK).alias("parts")), "root")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("long")
-    sized = keep(sized.withColumn("part", part), "sets")
+    sized = sized.withColumn("part", part)
     many = F.col("parts") > 1
     first = sized.select(F.when(many, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(bins))).alias("unit"),
                          F.when(many, F.col("part")).otherwise(F.lit(-1)).alias("part"), F.lit(-1).alias("other"),
                          "node", "root", "content", F.col("node").alias("label"), F.lit(True).alias("asks"))
-    inside = keep(_linked(first, levels), "links")
+    inside = keep(_linked(first, limit), "links")
     large = sized.filter(many)
     if not volume.filter(F.col("v") > CHUNK).limit(1).count():
         return inside
@@ -258,7 +274,7 @@ def _links(sets: DataFrame, levels: Levels) -> DataFrame:
     unit = [F.col("root").alias("unit"), "part", "other", "node", "root", "content", "label"]
     asking = askers.select(*unit, F.lit(True).alias("asks"))
     hosted = hosts.select(*unit, F.lit(False).alias("asks"))
-    return inside.unionByName(keep(_linked(asking.unionByName(hosted), levels), "links"))
+    return inside.unionByName(keep(_linked(asking.unionByName(hosted), limit), "links"))
 
 
 def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -270,18 +286,22 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, d
     equal rows, and of one id with several texts each row is judged by its own text.  Other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
-    levels = Levels(num, den)
-    feats = keep(_features(docs, k, levels, doc_id, text), "features")
+    limit = Threshold(num, den)
+    feats = keep(_features(docs, k, limit, doc_id, text), "features")
     told = feats.filter("n > 0 and doc_id is not null")
-    keyed = told.select("node", F.explode("keys").alias("key"))
-    shared = keep(keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    placed = told.select("node", "n", "keys", F.explode(limit.windows(F.col("n"))).alias("window"))
+    keyed = placed.select(F.xxhash64("node", "window").alias("place"), "window", F.explode("keys").alias("key"))
+    keyed = keyed.select("place", F.xxhash64("key", "window").alias("key"))
+    shared = keep(keyed.groupBy("key").agg(F.min("place").alias("lo"), F.max("place").alias("hi"))
                   .filter("lo < hi").select("key", "lo"), "shared")
-    near = keep(keyed.join(shared, "key").filter("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b")).distinct(), "near")
-    classes = keep(told.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes")
-    bunches = components(near).join(classes, "node")
+    near = keep(keyed.join(shared, "key").filter("place <> lo").select(F.col("place").alias("a"), F.col("lo").alias("b")).distinct(), "near")
+    classes = keep(told.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "classes")
+    places = classes.select("node", "doc_id", F.explode(limit.windows(F.col("n"))).alias("window"))
+    bunches = (places.join(components(near).withColumnRenamed("node", "place"), F.xxhash64(places["node"], "window") == F.col("place"))
+               .groupBy("doc_id", "node").agg(F.collect_list("root").alias("roots")))
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias(text)).join(bunches, "doc_id")
-    sets = keep(_sets(texts, k, text), "contents")
-    linked = components(_links(sets, levels))
+    sets = _sets(texts, k, text)
+    linked = components(_links(sets, limit))
     rooted = classes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = keep(rooted.join(least, "root").select("node", "component_id"), "named")
