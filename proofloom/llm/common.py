@@ -27,8 +27,8 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches end at 8 MB, so a batch of long texts fits a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Arrow batches end at 4 MB, so a batch of long texts fits a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:

@@ -45,14 +45,19 @@ def ngrams(text: str | None, bits: int) -> np.ndarray:
     return np.concatenate(found).astype(np.int64) if found else np.empty(0, np.int64)
 
 
-def train_ftrl(rows: list[tuple[np.ndarray, int]], bits: int, scale: float, epochs: int = 4, alpha: float = 0.3,
+def counted(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct slots and how often each occurs."""
+    at, count = np.unique(slots, return_counts=True)
+    return at.astype(np.int32), count.astype(np.int32)
+
+
+def train_ftrl(rows: list[tuple[tuple[np.ndarray, np.ndarray], int]], bits: int, scale: float, epochs: int = 4, alpha: float = 0.3,
                beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> Model:
-    """Follow-the-regularised-leader (proximal) over (slots, label) in the given order."""
+    """Follow-the-regularised-leader (proximal) over (counted slots, label) in the given order."""
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)  # the last slot is the bias
     sparse = []
-    for slots, label in rows:
-        at, count = np.unique(slots, return_counts=True)
-        sparse.append((np.append(at, 1 << bits), np.append(count * (scale / max(1, len(slots))), 1.0), label))
+    for (at, count), label in rows:
+        sparse.append((np.append(at, 1 << bits), np.append(count * (scale / max(1, count.sum())), 1.0), label))
 
     def weights(zi, ni):
         return np.where(np.abs(zi) > l1, (np.sign(zi) * l1 - zi) / ((beta + np.sqrt(ni)) / alpha + l2), 0.0)
@@ -98,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 2, max_rows: int = 8
         rows = []
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("__h", "doc_id", "text", "__y")]
-            rows += [(h, i, xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass")), ngrams(t, bits), y)
+            rows += [(h, i, xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass")), counted(ngrams(t, bits)), y)
                      for h, i, t, y in zip(*cols)]
         rows.sort(key=lambda r: r[:3])  # the order must not depend on how rows arrived
         model = train_ftrl([r[3:] for r in rows], bits, scale)
