@@ -54,7 +54,7 @@ def _search(rows: DataFrame, query: Column, k: int, tile: Callable, kind: str) -
             part = table.filter(pa.compute.equal(table.column("asks"), asks))
             ids = part.column("vec_id").to_numpy()
             flat = part.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            return ids, flat.reshape(len(ids), -1)
+            return ids, flat.reshape(len(ids), table.column("dim")[0].as_py())
 
         (qi, q), (ci, c) = side(True), side(False)
         heaps: Heaps = [[] for _ in qi]
