@@ -200,8 +200,15 @@ def language_in_name(name: Column) -> Column:
 def natural_key(c: Column) -> Column:
     """Sort key in which digit runs compare as numbers."""
     runs = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(runs, lambda r: F.when(
-        r.rlike(r"^\d"), F.lpad(r, 20, "0")).otherwise(r)), "\u0001")
+
+    def number(r: Column) -> Column:
+        digits = F.regexp_replace(r, r"^0+(?=\d)", "")
+        n = F.length(digits)
+        # Longer runs sort behind all of up to 20 digits, by their length first.
+        return F.when(n <= 20, F.lpad(digits, 20, "0")).otherwise(
+            F.concat(F.lit(":"), F.lpad(n.cast("string"), 10, "0"), digits))
+
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), number(r)).otherwise(r)), "\u0001")
 
 
 def show_first(items: Column, n: int) -> Column:

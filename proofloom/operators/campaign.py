@@ -318,23 +318,24 @@ def parse_review_lines(text: DataFrame, forwarders: DataFrame,
 def apply_decisions(classified: DataFrame, decisions: DataFrame) -> DataFrame:
     """Moves forwarded users to the report or fail sheet and notes why.
 
-    Refuses a set of sheets that is already split by streak or has no failure
-    sheet, and fails while running when a forwarded user has no decision.
+    Fails while running when the sheets are already split by streak or none is
+    the failure sheet, and when a forwarded user has no decision or two that differ.
     """
-    state = classified.select("sheet").distinct().agg(
-        F.coalesce(F.bool_or(F.col("sheet").rlike(FAIL_X)), F.lit(False)).alias("done")).first()
-    if state["done"]:
-        raise ValueError("these sheets are already split by streak")
-    ruling = decisions.select(mail_key(F.col("mail")).alias("__mail"), "approved").distinct()
+    ruling = (decisions.filter(F.col("approved").isNotNull()).groupBy(mail_key(F.col("mail")).alias("__mail"))
+              .agg(F.min("approved").alias("approved"), (F.min("approved") != F.max("approved")).alias("__differ")))
+    failures = classified.agg(F.coalesce(F.bool_or(F.col("sheet") == FAIL), F.lit(False))).scalar()
     joined = classified.withColumn("__mail", mail_key(F.col(MAIL))).join(ruling, "__mail", "left")
     forwarded = F.col("sheet") == FORWARDS
     undecided = F.raise_error(F.concat(F.lit("no decision for forwarded user "), F.coalesce("__mail", F.lit("?"))))
-    sheet = (F.when(~forwarded, F.col("sheet")).when(F.col("approved"), REPORT)
+    differ = F.raise_error(F.concat(F.lit("two decisions for forwarded user "), "__mail"))
+    sheet = (F.when(F.col("sheet").rlike(FAIL_X), F.raise_error(F.lit("these sheets are already split by streak")).cast("string"))
+             .when(~failures, F.raise_error(F.lit("these sheets have no failure sheet")).cast("string"))
+             .when(~forwarded, F.col("sheet")).when(F.col("__differ"), differ.cast("string")).when(F.col("approved"), REPORT)
              .when(~F.col("approved"), FAIL).otherwise(undecided.cast("string")))
     note = (F.when(~forwarded, F.col(COMPROMISED)).when(F.col("approved"), NOTE_APPROVED)
             .otherwise(NOTE_OTHER))
     return (joined.withColumn(COMPROMISED, note).withColumn("sheet", sheet)
-            .drop("__mail", "approved"))
+            .drop("__mail", "approved", "__differ"))
 
 
 # -- streaks ----------------------------------------------------------------
@@ -393,17 +394,21 @@ def campaign_streaks(classified: DataFrame, campaign_ord: str) -> DataFrame:
     """``streak_update`` folded over all campaigns at once: failures in a row up
     to each campaign, where missing a campaign starts again at 1.
 
-    The window of a user holds one row per campaign, whatever the traffic.
+    The window of a user holds one row per campaign, whatever the traffic.  Users
+    without a mail can't be told apart: each failure of theirs is a streak of 1.
     """
     w = Window.partitionBy("mail").orderBy(campaign_ord)
     rows = classified.select(mail_key(F.col(MAIL)).alias("mail"), campaign_ord, "sheet").withColumn(
         "failed", (F.col("sheet") == FAIL).cast("int"))
+    nameless = rows.filter(F.col("mail").isNull() & (F.col("failed") == 1)).select(
+        "mail", campaign_ord, F.lit(1).cast("bigint").alias("streak"))
+    rows = rows.filter(F.col("mail").isNotNull())
     gap = F.coalesce(F.col(campaign_ord) - F.lag(campaign_ord).over(w), F.lit(1)) != 1
     rows = rows.withColumn("__breaks", (gap | (F.col("failed") == 0)).cast("int"))
     rows = rows.withColumn("__island", F.sum("__breaks").over(w))
     run = Window.partitionBy("mail", "__island").orderBy(campaign_ord)
     return (rows.withColumn("streak", F.sum("failed").over(run))
-            .filter(F.col("failed") == 1).select("mail", campaign_ord, "streak"))
+            .filter(F.col("failed") == 1).select("mail", campaign_ord, "streak").unionByName(nameless))
 
 
 def streak_histogram(streaks: DataFrame, scope: Sequence[str], streak: str) -> DataFrame:

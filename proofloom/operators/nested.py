@@ -24,7 +24,6 @@ PREVIOUS_GROUP, GATE_GROUP = "ActGrpOnPrevButtonClick", "NavigationRestrictionNe
 VISITED_GROUP = "ActGrpSetVisitedState"
 VISITED = r"(?:^|\.)([0-9A-Za-z]{11})\.#_visited$"
 STATE = r"(?:^|\.)([0-9A-Za-z]{11})\.#state$"
-INDIRECTION = 6
 
 
 def get(node: Column, path: str, kind: str = "string") -> Column:
@@ -67,7 +66,9 @@ def walk(roots: Column, depth: Column, expand) -> Column:
 
 
 def _at(i: Column) -> Column:
-    return F.lpad(i.cast("string"), 5, "0")
+    """A number as text that sorts as the number does, of any size."""
+    wide = F.concat(F.lit(":"), F.lpad(i.cast("string"), 10, "0"))
+    return F.when(i < 100000, F.lpad(i.cast("string"), 5, "0")).otherwise(wide)
 
 
 def numbered(nodes: Column, prefix: Column | None = None) -> Column:
@@ -87,7 +88,7 @@ def children_of_list(node: Column) -> Column:
 
 ACTION = ("layer_id string, is_base boolean, owner string, owner_path string, owner_kind string, acc_type string, "
           "event string, event_path string, action_group string, cond boolean, path string, kind string, id string, "
-          "ref string, url string, value_a string, value_b string, hide_others boolean")
+          "ref string, url string, value_a string, value_b string, hide_others boolean, pos int")
 
 
 def _text(value) -> str:
@@ -111,7 +112,7 @@ def _action_rows(node, path: str, ctx: dict, out: list) -> None:
         ctx = {**ctx, "event": kind, "event_path": path}
     if kind:
         ref = node.get("objRef")
-        out.append({**ctx, "path": path, "kind": kind, "id": ident, "url": _text(node.get("url")),
+        out.append({**ctx, "path": path, "pos": len(out), "kind": kind, "id": ident, "url": _text(node.get("url")),
                     "ref": _text(ref.get("value")).split(".")[-1] if isinstance(ref, dict) else "",
                     "value_a": _text(node.get("valuea")), "value_b": _text(node.get("valueb")),
                     "hide_others": _text(node.get("hideOthers")) in ("true", "all", "oncomplete")})
@@ -120,14 +121,15 @@ def _action_rows(node, path: str, ctx: dict, out: list) -> None:
         if key == "actionGroups" and isinstance(value, dict):
             for name, group in value.items():
                 at = {**inner, "action_group": name}
-                out.append({**at, "path": f"{path}/{key}/{name}", "kind": "action_group", "id": name})
+                out.append({**at, "path": f"{path}/{key}/{name}", "pos": len(out), "kind": "action_group", "id": name})
                 _action_rows(group, f"{path}/{key}/{name}", at, out)
         else:
             _action_rows(value, f"{path}/{key}", inner, out)
 
 
 def actions(slides: DataFrame, *keys: str, json: str = "payload") -> DataFrame:
-    """All actions, events and compares of screens' payloads as flat rows.
+    """All actions, events and compares of screens' payloads as flat rows; ``pos``
+    numbers those of a payload in document order.
 
     Reading any key of any object at any depth is the one walk that folds over
     VARIANT do too slowly (each level copies every map), so a small function
@@ -230,7 +232,7 @@ def external_links(acts: DataFrame, *keys: str) -> DataFrame:
 
 def _reached(acts: DataFrame, roots: Column, root: list[str], keys: list[str]) -> DataFrame:
     """Actions below the root rows and in the groups they call, directly or
-    through other groups (six calls deep, as far as the player follows).
+    through other groups, however many calls deep.
 
     The groups one screen defines come out of one payload, so following calls
     is a fold over its small edge list instead of six joins.
@@ -242,13 +244,47 @@ def _reached(acts: DataFrame, roots: Column, root: list[str], keys: list[str]) -
              .agg(F.collect_set(F.struct(F.col("action_group").alias("a"), F.col("id").alias("b"))).alias("edges")))
     joined = calls.join(edges, keys, "left").withColumn(
         "edges", F.coalesce("edges", F.array().cast("array<struct<a:string,b:string>>")))
-    every = F.aggregate(F.sequence(F.lit(1), F.lit(INDIRECTION)), F.col("gids"), lambda acc, _: F.array_union(
+    # A chain of calls is as long as there are distinct groups to call, no longer.
+    bound = F.size(F.array_distinct(F.transform("edges", lambda e: e["b"])))
+    every = F.aggregate(F.sequence(F.lit(0), bound), F.col("gids"), lambda acc, _: F.array_union(
         acc, F.transform(F.filter("edges", lambda e: F.array_contains(acc, e["a"])), lambda e: e["b"])))
     through = joined.select(*keys, *root, F.explode(every).alias("action_group"))
-    fields = ["kind", "id", "ref", "path", "hide_others"]
+    fields = ["kind", "id", "ref", "hide_others"]
     called = through.join(inside.select(*keys, "action_group", *fields), [*keys, "action_group"]).select(
-        *keys, *root, *fields, F.lit(1).alias("hop"))
-    return own.select(*keys, *root, *fields, F.lit(0).alias("hop")).unionByName(called)
+        *keys, *root, *fields)
+    return own.select(*keys, *root, *fields).unionByName(called)
+
+
+def _destinations(acts: DataFrame, roots: Column, root: list[str], keys: list[str], last: bool) -> DataFrame:
+    """Where the jumps below the root rows lead (``to``): the last or the first
+    jump in document order, a called group standing at the place of its call.
+
+    Where a group leads depends on the groups it calls, so a payload's groups
+    are resolved in rounds, as many as it has groups with a jump or a call.
+    Groups that only call each other lead nowhere.
+    """
+    jump = F.when(F.col("kind").isin(*ADVANCES), F.nullif("ref", F.lit("")))
+    call = F.when(F.col("kind") == "exe_actiongroup", F.col("id"))
+    steps = acts.filter(jump.isNotNull() | call.isNotNull())
+    inside = steps.filter(F.col("action_group").isNotNull()).groupBy(*keys, "action_group").agg(F.sort_array(
+        F.collect_list(F.struct("pos", jump.alias("to"), call.alias("call"))), asc=not last).alias("items"))
+    groups = inside.groupBy(*keys).agg(F.collect_list(F.struct(F.col("action_group").alias("name"), "items")).alias("groups"))
+
+    def leads(known: Column, items: Column) -> Column:
+        to = F.transform(items, lambda i: F.coalesce(i["to"], F.try_element_at(known, i["call"])))
+        return F.get(F.filter(to, lambda t: t.isNotNull()), F.lit(0))
+
+    def round_(known: Column, _: Column) -> Column:
+        named = F.transform("groups", lambda g: F.struct(g["name"].alias("name"), leads(known, g["items"]).alias("to")))
+        return F.map_from_entries(F.filter(named, lambda g: g["to"].isNotNull()))
+
+    nothing = F.map_from_entries(F.array().cast("array<struct<name:string,to:string>>"))
+    resolved = groups.select(*keys, F.explode(F.aggregate(
+        F.sequence(F.lit(1), F.size("groups")), nothing, round_)).alias("call", "__to"))
+    own = steps.filter(roots & F.col("action_group").isNull()).select(*keys, *root, "pos", jump.alias("to"), call.alias("call"))
+    placed = own.join(resolved, [*keys, "call"], "left").withColumn("to", F.coalesce("to", "__to")).filter("to IS NOT NULL")
+    pick = F.max_by if last else F.min_by
+    return placed.groupBy(*keys, *root).agg(pick("to", "pos").alias("to"))
 
 
 def prev_target(slides: DataFrame, acts: DataFrame, screens: DataFrame, *keys: str) -> DataFrame:
@@ -279,8 +315,8 @@ def prev_target(slides: DataFrame, acts: DataFrame, screens: DataFrame, *keys: s
 
 
 def click_effects(acts: DataFrame, *keys: str) -> DataFrame:
-    """What clicking each object does: layers shown and hidden, screen moved to,
-    exit, media, visited mark."""
+    """What clicking each object does: layers shown and hidden, screen moved to
+    (the last jump named), exit, media, visited mark."""
     keys = list(keys)
     on_layer = F.when(F.coalesce("is_base", F.lit(True)), "").otherwise(F.col("layer_id"))
     rows = acts.withColumn("on_layer", on_layer).withColumnRenamed("owner", "obj_id")
@@ -290,14 +326,15 @@ def click_effects(acts: DataFrame, *keys: str) -> DataFrame:
     kind, ref = F.col("kind"), F.nullif("ref", F.lit(""))
     hidden = F.when(kind == "hide_slidelayer", F.when(ref.isNull() | (ref == "_this"), F.coalesce(
         F.nullif("on_layer", F.lit("")), F.lit("_this"))).otherwise(ref))
-    moves = F.when(kind.isin(*ADVANCES), ref)
-    return r.groupBy(*keys, *root).agg(
+    found = r.groupBy(*keys, *root).agg(
         F.array_sort(F.collect_set(F.when(kind == "show_slidelayer", ref))).alias("shows_layers"),
         F.array_sort(F.collect_set(hidden)).alias("hides_layers"),
-        F.max_by(moves, F.when(moves.isNotNull(), F.struct("hop", "path"))).alias("advances_to"),
         F.bool_or(kind == "close_player").alias("exits"), F.bool_or(kind.isin(*MEDIA)).alias("is_media"),
         F.bool_or((kind == "exe_actiongroup") & (F.col("id") == VISITED_GROUP)).alias("sets_visited"),
         F.bool_or((kind == "show_slidelayer") & F.col("hide_others")).alias("hide_others"))
+    to = _destinations(rows, clicked, root, keys, last=True).withColumnRenamed("to", "advances_to")
+    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"t.{c}")) for c in [*keys, *root]]
+    return found.alias("f").join(to.alias("t"), same, "left").select("f.*", "t.advances_to")
 
 
 def layer_closers(effects: DataFrame, *keys: str) -> DataFrame:
@@ -311,14 +348,13 @@ def layer_closers(effects: DataFrame, *keys: str) -> DataFrame:
 
 def passive_effects(slides: DataFrame, acts: DataFrame, *keys: str) -> DataFrame:
     """What a screen does unasked: a jump counts only at the end of the
-    timeline, layers may appear on four passive events."""
+    timeline and the first one named wins, layers may appear on four passive events."""
     r = _reached(acts, F.col("event").isin(*REVEALING), ["event"], list(keys))
     ref = F.nullif("ref", F.lit(""))
-    ends = F.when((F.col("event") == "ontimelinecomplete") & F.col("kind").isin(*ADVANCES), ref)
     found = r.groupBy(*keys).agg(
-        F.min_by(ends, F.when(ends.isNotNull(), F.struct("hop", "path"))).alias("to"),
         F.array_sort(F.collect_set(F.when(F.col("kind") == "show_slidelayer", ref))).alias("reveals"))
-    rows = slides.select(*keys).join(found, list(keys), "left")
+    to = _destinations(acts, F.col("event") == "ontimelinecomplete", [], list(keys), last=False)
+    rows = slides.select(*keys).join(found, list(keys), "left").join(to, list(keys), "left")
     return rows.select(*keys, F.when(F.col("to") != F.col("slide_id"), F.col("to")).alias("auto_advance"),
                        F.coalesce("reveals", F.array().cast("array<string>")).alias("reveals"))
 

@@ -20,7 +20,6 @@ from .spread import previous_row, running_sum
 
 # Thresholds and cue words of the path and title checks.
 MATCH_RATIO, LOOK_AHEAD = 0.55, 5
-ROUTE_BOUND = 600
 INTERNAL_PREFIXES = ("acc_", "layer_", "slide_", "tmp_", "copy of ")
 PLACEHOLDER = r"(?i)^\s*(loading|please wait|wait|one moment|continue)\s*[.…]*\s*$"
 COUNTER = r"(?i)^\s*(screen|question|page|slide|step)\s+(?:\d+|%[^%\s]+%)\s+of\s+(?:\d+|%[^%\s]+%)\s*$"
@@ -107,30 +106,27 @@ def path_topology(pathed: DataFrame) -> DataFrame:
                              .when(acc, "accessible").otherwise("none"))
 
 
-def _align(course: pd.DataFrame) -> pd.DataFrame:
-    """Left-to-right pass over one course: each accessible screen looks at most
-    five standard screens ahead and the pointer stays on its match."""
+def _align(course: pd.DataFrame, ahead: int) -> pd.DataFrame:
+    """One course in screen order.  An accessible screen may take one of the
+    standard screens from the last one taken to ``ahead`` places beyond it: the
+    most alike, the nearest of equals."""
     course = course.sort_values("ord")
-    std, alt = course[course["path"] == "Standard"], course[course["path"] == "Accessible"]
-    titles, ids = std["t"].tolist(), std["slide_id"].tolist()
-    pointer, matched, out = 0, None, []
-    for slide, title in zip(alt["slide_id"], alt["t"]):
-        best, score = None, 0.0
-        for i in range(pointer, min(pointer + LOOK_AHEAD + 1, len(titles))):
-            ratio = SequenceMatcher(None, title, titles[i]).ratio() if title and titles[i] else 0.0
-            if ratio > score:
-                best, score = i, ratio
-        if best is not None and score >= MATCH_RATIO:
-            pointer = matched = best
-            out.append((slide, ids[best], "match", score))
-        else:
-            out.append((slide, None if matched is None else ids[matched], "only" if matched is None else "extra", 0.0))
-    frame = pd.DataFrame(out, columns=["slide_id", "standard_slide_id", "kind", "ratio"])
-    frame.insert(0, "course_id", course["course_id"].iloc[0])
-    return frame
-
-
-def align_paths(pathed: DataFrame) -> DataFrame:
+    side = {p: list(zip(g["slide_id"], g["t"])) for p, g in course.groupby("path")}
+    standard, taken, at = side.get("Standard", []), None, 0
+    rows = []
+    for slide, title in side.get("Accessible", []):
+        window = enumerate(standard[at:at + ahead + 1], at)
+        score, back = max(((SequenceMatcher(None, title, t).ratio(), -i) for i, (_, t) in window if title and t), default=(0.0, 0))
+        alike = score >= MATCH_RATIO
+        if alike:
+            at = -back
+            taken = standard[at][0]
+        rows.append((course["course_id"].iloc[0], slide, taken, "match" if alike else "extra" if taken is not None else "only",
+                     score if alike else 0.0))
+    return pd.DataFrame(rows, columns=["course_id", "slide_id", "standard_slide_id", "kind", "ratio"])
+
+
+def align_paths(pathed: DataFrame, look_ahead: int = LOOK_AHEAD) -> DataFrame:
     """Each accessible screen with its standard screen: match, extra (hangs on
     the last match) or only.
 
@@ -141,7 +137,7 @@ def align_paths(pathed: DataFrame) -> DataFrame:
             .select("course_id", "ord", "slide_id", "path", T.normalise_title(F.col("slide_title")).alias("t")))
     schema = (f"course_id {pathed.schema['course_id'].dataType.simpleString()}, slide_id string, "
               "standard_slide_id string, kind string, ratio double")
-    return rows.groupBy("course_id").applyInPandas(_align, schema)
+    return rows.groupBy("course_id").applyInPandas(lambda course: _align(course, look_ahead), schema)
 
 
 def screen_inventory(pathed: DataFrame, menu_items: DataFrame, aligned: DataFrame,
@@ -218,35 +214,24 @@ def predecessor_check(screens: DataFrame) -> DataFrame:
 
 
 def _route(screens: pd.DataFrame) -> pd.DataFrame:
-    """Walk of one course: an unused edge to an unvisited screen first, then any
-    unused edge, until a terminal screen, no edge or the step bound."""
+    """Walk of one course from its first screen: each way out of a screen is
+    taken once, ways to screens not seen yet before the others, in their order.
+    Every way is used up at most once, so the walk ends by itself."""
     screens = screens.sort_values("ord")
-    ids = screens["slide_id"].tolist()
-    targets = {s: list(t) if t is not None else [] for s, t in zip(ids, screens["targets"])}
-    terminal = dict(zip(ids, screens["terminal"]))
-    here, seen, used, out, end = ids[0], set(), set(), [], None
-    while end is None:
-        if here not in targets:
-            end = "unknown_screen"
-        elif len(out) == ROUTE_BOUND:
-            end = "bound"
-        else:
-            out.append(here)
-            seen.add(here)
-            free = [t for t in targets[here] if t and (here, t) not in used]
-            fresh = [t for t in free if t not in seen]
-            if terminal[here]:
-                end = "terminal"
-            elif not free:
-                end = "edges_used" if any(targets[here]) else "no_forward_control"
-            else:
-                step = (fresh or free)[0]
-                used.add((here, step))
-                here = step
-    frame = pd.DataFrame({"step": range(len(out)), "slide_id": out})
-    frame.insert(0, "course_id", screens["course_id"].iloc[0])
-    frame["end_reason"] = end
-    return frame
+    given = {r.slide_id: [t for t in (r.targets if r.targets is not None else []) if t] for r in screens.itertuples()}
+    unused = {s: list(dict.fromkeys(ts)) for s, ts in given.items()}
+    closing = set(screens.loc[screens["terminal"].fillna(False).astype(bool), "slide_id"])
+    here, trail, seen, reason = screens["slide_id"].iloc[0], [], set(), "unknown_screen"
+    while here in unused:
+        trail.append(here)
+        seen.add(here)
+        if here in closing or not unused[here]:
+            reason = "terminal" if here in closing else "edges_used" if given[here] else "no_forward_control"
+            break
+        onward = min(unused[here], key=seen.__contains__)
+        unused[here].remove(onward)
+        here = onward
+    return pd.DataFrame({"course_id": screens["course_id"].iloc[0], "step": range(len(trail)), "slide_id": trail, "end_reason": reason})
 
 
 def forward_route(nodes: DataFrame) -> DataFrame:

@@ -62,6 +62,41 @@ def test_called_groups_are_followed(spark):
     assert (e.obj_id, e.advances_to, e.exits, e.is_media) == ("o", "s2", True, False)
 
 
+def _jump(to):
+    return f'{{"kind":"gotoplay","objRef":{{"value":"_player.x.{to}"}}}}'
+
+
+@pytest.mark.parametrize("acts,click,alone", [
+    # Both branches of a condition, named against the order of the alphabet.
+    (f'{{"kind":"if_action","thenActions":[{_jump("s1")}],"elseActions":[{_jump("s2")}]}}', "s2", "s1"),
+    # A called group stands at the place of its call.
+    (f'{{"kind":"exe_actiongroup","id":"g9"}},{_jump("s3")}', "s3", "end"),
+    (f'{_jump("s3")},{{"kind":"exe_actiongroup","id":"g9"}}', "end", "s3"),
+    # A chain of ten groups.
+    ('{"kind":"exe_actiongroup","id":"g0"}', "end", "end"),
+    # Groups that call each other and nothing else.
+    ('{"kind":"exe_actiongroup","id":"h0"}', None, None)])
+def test_order_of_jumps(spark, acts, click, alone):
+    groups = [f'"g{i}":{{"actions":[{{"kind":"exe_actiongroup","id":"g{i + 1}"}}]}}' for i in range(9)]
+    groups += [f'"g9":{{"actions":[{_jump("end")}]}}', *(f'"h{i}":{{"actions":[{{"kind":"exe_actiongroup","id":"h{1 - i}"}}]}}' for i in (0, 1))]
+    payload = (f'{{"slideLayers":[{{"id":"b","isBaseLayer":true,"objects":[{{"id":"o","kind":"image","accType":"button","events":['
+               f'{{"kind":"onclick","actions":[{acts}]}}]}}]}}],"events":[{{"kind":"ontimelinecomplete","actions":[{acts}]}}],'
+               f'"actionGroups":{{{",".join(groups)}}}}}')
+    df = spark.createDataFrame([("c", "s", payload)], "course_id string, slide_id string, payload string")
+    found = N.actions(df, "course_id", "slide_id")
+    assert rows(N.click_effects(found, "course_id", "slide_id"), "obj_id", "advances_to") == [("o", click)]
+    assert rows(N.passive_effects(df, found, "course_id", "slide_id"), "auto_advance") == [(alone,)]
+
+
+def test_numbers_of_any_size_sort(spark):
+    numbers = [0, 7, 99999, 100000, 123456, 123457, 1000000, 2147483647]
+    keys = [r[0] for r in spark.createDataFrame([(n,) for n in numbers], "n int").coalesce(1).select(N._at(F.col("n"))).collect()]
+    assert keys == sorted(set(keys))
+    names = ["a 7", "a 10", "a " + "9" * 20, "a 1" + "0" * 20, "a 1234567890123456789012", "a 1234567890123456789013", "a 9" + "0" * 21, "ab"]
+    keys = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").coalesce(1).select(T.natural_key(F.col("n"))).collect()]
+    assert keys[:-1] == sorted(set(keys[:-1])) and len(set(keys)) == len(keys)
+
+
 @pytest.mark.parametrize("base,ref,want", [
     ("http://h/a/b?q", "c", "http://h/a/c"), ("http://h/a/b/", "../c/./d", "http://h/a/c/d"), ("http://h", "x", "http://h/x"),
     ("http://h/a", "//o/x", "http://o/x"), ("http://h/a?q", "#f", "http://h/a?q#f"), ("http://h/a", "https://z", "https://z"),
