@@ -268,9 +268,11 @@ def _links(sets: DataFrame, limit: Threshold) -> DataFrame:
     large = keep(large.join(roots, "node", "left").withColumn("label", F.coalesce("label", "node")), "large")
     counted = large.groupBy("root", "label").agg(F.count("*").alias("c")).groupBy("root").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
     out = large.join(counted, "root").filter(F.col("label") != F.col("main")).drop("main")
-    # Outsiders go to every part of their bunch; a part is repeated for each group of outsiders only.
-    askers = out.withColumn("other", F.col("part")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    hosts = large.join(out.select("root", F.col("part").alias("other")).distinct(), "root")
+    # Outsiders go to every part of their bunch, in groups of a chunk; a part is repeated for each of these groups only.
+    groups = out.groupBy("root").agg(F.ceil(F.sum("n") / CHUNK).cast("long").alias("groups"))
+    askers = out.join(groups, "root").withColumn("other", F.pmod(F.xxhash64("node", "root"), F.col("groups"))).withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    hosts = large.join(groups.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("other")), "root")
     unit = [F.col("root").alias("unit"), "part", "other", "node", "root", "content", "label"]
     asking = askers.select(*unit, F.lit(True).alias("asks"))
     hosted = hosts.select(*unit, F.lit(False).alias("asks"))
