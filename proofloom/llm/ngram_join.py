@@ -261,18 +261,21 @@ def _links(sets: DataFrame, limit: Threshold) -> DataFrame:
                          F.when(many, F.col("part")).otherwise(F.lit(-1)).alias("part"), F.lit(-1).alias("other"),
                          "node", "root", "content", F.col("node").alias("label"), F.lit(True).alias("asks"))
     inside = keep(_linked(first, limit), "links")
-    large = sized.filter(many)
     if not volume.filter(F.col("v") > CHUNK).limit(1).count():
         return inside
+    # Places and classes are settled without contents, which are then joined once.
     roots = components(inside).withColumnRenamed("root", "label")
-    large = keep(large.join(roots, "node", "left").withColumn("label", F.coalesce("label", "node")), "large")
-    counted = large.groupBy("root", "label").agg(F.count("*").alias("c")).groupBy("root").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-    out = large.join(counted, "root").filter(F.col("label") != F.col("main")).drop("main")
+    placed = keep(sized.filter(many).select("root", "node", "n", "part", "parts").distinct().join(roots, "node", "left")
+                  .withColumn("label", F.coalesce("label", "node")), "places")
+    counted = placed.groupBy("root", "label").agg(F.count("*").alias("c"), F.sum("n").alias("v"))
+    bunch = counted.groupBy("root").agg(F.max_by(F.struct("label", "v"), F.struct("c", "label")).alias("main"), F.sum("v").alias("v"))
     # Outsiders go to every part of their bunch, in groups of a chunk; a part is repeated for each of these groups only.
-    groups = out.groupBy("root").agg(F.ceil(F.sum("n") / CHUNK).cast("long").alias("groups"))
-    askers = out.join(groups, "root").withColumn("other", F.pmod(F.xxhash64("node", "root"), F.col("groups"))).withColumn(
-        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    hosts = large.join(groups.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("other")), "root")
+    bunch = bunch.select("root", F.col("main.label").alias("main"), F.ceil((F.col("v") - F.col("main.v")) / CHUNK).cast("long").alias("groups"))
+    plan = placed.join(bunch.filter("groups > 0"), "root").withColumn("outside", F.col("label") != F.col("main")).drop("n", "main")
+    large = keep(sets.select("root", "node", "content").join(plan, ["root", "node"]), "large")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    askers = large.filter("outside").withColumn("other", F.pmod(F.xxhash64("node", "root"), F.col("groups"))).withColumn("part", upto("parts"))
+    hosts = large.withColumn("other", upto("groups"))
     unit = [F.col("root").alias("unit"), "part", "other", "node", "root", "content", "label"]
     asking = askers.select(*unit, F.lit(True).alias("asks"))
     hosted = hosts.select(*unit, F.lit(False).alias("asks"))
