@@ -215,18 +215,20 @@ def _features(docs: DataFrame, k: int, limit: Threshold, doc_id: str, text: str)
         run, "doc_id long, n long, node long, keys array<long>")
 
 
-def _sets(docs: DataFrame, k: int, text: str) -> DataFrame:
-    """``node, root, n, content`` of documents given with node and roots; of rows of one id, those of that node."""
+def _sets(texts: DataFrame, k: int) -> DataFrame:
+    """``node, spots, content`` of ``node, spots, text``; of rows of one id, those of that node, and these once a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            sets = [shingle_set(t.as_py(), k) for t in batch.column("text")]
-            yield pa.record_batch({"node": batch.column("node"), "roots": batch.column("roots"),
-                                   "n": pa.array(list(map(len, sets)), pa.int64()),
-                                   "content": pa.array([s.tobytes() for s in sets], pa.binary())}).filter(
-                pa.array([node_of(s) == node for s, node in zip(sets, batch.column("node").to_pylist())], pa.bool_()))
+            sets, wanted = [shingle_set(t.as_py(), k) for t in batch.column("text")], []
+            for s, node in zip(sets, batch.column("node").to_pylist()):
+                wanted.append(node not in seen and node_of(s) == node)
+                seen.add(node) if wanted[-1] else None
+            yield pa.record_batch({"node": batch.column("node"), "spots": batch.column("spots"),
+                                   "content": pa.array([s.tobytes() for s in sets], pa.binary())}).filter(pa.array(wanted, pa.bool_()))
 
-    found = docs.select("node", "roots", F.col(text).alias("text")).mapInArrow(run, "node long, roots array<long>, n long, content binary")
-    return found.select("node", F.explode("roots").alias("root"), "n", "content")
+    texts = texts.select("node", "spots", "text")
+    return texts.mapInArrow(run, texts.drop("text").withColumn("content", F.lit(None).cast("binary")).schema)
 
 
 def _linked(units: DataFrame, limit: Threshold) -> DataFrame:
@@ -246,40 +248,46 @@ def _linked(units: DataFrame, limit: Threshold) -> DataFrame:
     return units.groupBy("unit", "part", "other").applyInArrow(run, "a long, b long")
 
 
-def _links(sets: DataFrame, limit: Threshold) -> DataFrame:
-    """Links between sets of the same root.  Small bunches share units; a large one is dealt over parts by hash,
-    linked inside each, and then only sets outside its largest class so far still meet the other parts."""
-    sets = keep(sets, "contents")
-    volume = keep(sets.groupBy("root").agg(F.sum("n").alias("v")), "volumes")
+def _links(docs: DataFrame, bunches: DataFrame, k: int, limit: Threshold) -> DataFrame:
+    """Links between sets of the same root, for ``docs(doc_id, text)`` and ``bunches(doc_id, node, n, root)``.
+
+    Small bunches share units; a large one is dealt over parts by hash, linked inside each, and then only sets outside
+    its largest class so far still meet the other parts.  All places are settled on ids and sizes; a set's content is
+    written once, and repeated only in the exchange that brings it to its places.
+    """
+    volume = keep(bunches.groupBy("root").agg(F.sum("n").alias("v")), "volumes")
     total = volume.agg(F.sum("v")).first()[0] or 0
     bins = max(1, -(-total // (CHUNK // 2)))
-    sized = sets.join(volume.select("root", F.ceil(F.col("v") / CHUNK).alias("parts")), "root")
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("long")
-    sized = sized.withColumn("part", part)
     many = F.col("parts") > 1
-    first = sized.select(F.when(many, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(bins))).alias("unit"),
-                         F.when(many, F.col("part")).otherwise(F.lit(-1)).alias("part"), F.lit(-1).alias("other"),
-                         "node", "root", "content", F.col("node").alias("label"), F.lit(True).alias("asks"))
+    placed = keep(bunches.join(volume.select("root", F.ceil(F.col("v") / CHUNK).alias("parts")), "root").select(
+        "doc_id", "node", "n", "root", "parts",
+        F.when(many, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(bins))).alias("unit"),
+        F.when(many, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(F.lit(-1)).cast("long").alias("part")), "places")
+    spots = placed.groupBy("doc_id", "node").agg(F.collect_list(F.struct("unit", "part", "root")).alias("spots"))
+    contents = keep(_sets(docs.join(spots, "doc_id"), k), "contents")
+    first = contents.select("node", "content", F.explode("spots").alias("s")).select(
+        "s.unit", "s.part", F.lit(-1).alias("other"), "node", "s.root", "content", F.col("node").alias("label"), F.lit(True).alias("asks"))
     inside = keep(_linked(first, limit), "links")
     if not volume.filter(F.col("v") > CHUNK).limit(1).count():
         return inside
-    # Places and classes are settled without contents, which are then joined once.
     roots = components(inside).withColumnRenamed("root", "label")
-    placed = keep(sized.filter(many).select("root", "node", "n", "part", "parts").distinct().join(roots, "node", "left")
-                  .withColumn("label", F.coalesce("label", "node")), "places")
-    counted = placed.groupBy("root", "label").agg(F.count("*").alias("c"), F.sum("n").alias("v"))
+    classed = keep(placed.filter("part >= 0").select("root", "node", "n", "part", "parts").join(roots, "node", "left")
+                   .withColumn("label", F.coalesce("label", "node")), "classed")
+    counted = classed.groupBy("root", "label").agg(F.count("*").alias("c"), F.sum("n").alias("v"))
     bunch = counted.groupBy("root").agg(F.max_by(F.struct("label", "v"), F.struct("c", "label")).alias("main"), F.sum("v").alias("v"))
     # Outsiders go to every part of their bunch, in groups of a chunk; a part is repeated for each of these groups only.
     bunch = bunch.select("root", F.col("main.label").alias("main"), F.ceil((F.col("v") - F.col("main.v")) / CHUNK).cast("long").alias("groups"))
-    plan = placed.join(bunch.filter("groups > 0"), "root").withColumn("outside", F.col("label") != F.col("main")).drop("n", "main")
-    large = keep(sets.select("root", "node", "content").join(plan, ["root", "node"]), "large")
-    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    askers = large.filter("outside").withColumn("other", F.pmod(F.xxhash64("node", "root"), F.col("groups"))).withColumn("part", upto("parts"))
-    hosts = large.withColumn("other", upto("groups"))
-    unit = [F.col("root").alias("unit"), "part", "other", "node", "root", "content", "label"]
-    asking = askers.select(*unit, F.lit(True).alias("asks"))
-    hosted = hosts.select(*unit, F.lit(False).alias("asks"))
-    return inside.unionByName(keep(_linked(asking.unionByName(hosted), limit), "links"))
+    plan = classed.join(bunch.filter("groups > 0"), "root").groupBy("node").agg(F.collect_list(F.struct(
+        "root", "part", "parts", "groups", "label", (F.col("label") != F.col("main")).alias("outside"))).alias("spots"))
+    large = contents.filter(F.exists("spots", lambda s: s["part"] >= 0)).select("node", "content").join(plan, "node")
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    at = lambda part, other, asks: F.struct(part.alias("part"), other.alias("other"), F.lit(asks).alias("asks"))
+    hosts = F.transform(upto("s.groups"), lambda group: at(F.col("s.part"), group, False))
+    askers = F.transform(upto("s.parts"), lambda part: at(part, F.pmod(F.xxhash64("node", "s.root"), F.col("s.groups")), True))
+    met = large.select("node", "content", F.explode("spots").alias("s")).select(
+        "node", "content", "s.root", "s.label", F.explode(F.when(F.col("s.outside"), F.concat(hosts, askers)).otherwise(hosts)).alias("p"))
+    met = met.select(F.col("root").alias("unit"), "p.part", "p.other", "node", "root", "content", "label", "p.asks")
+    return inside.unionByName(keep(_linked(met, limit), "links"))
 
 
 def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -301,12 +309,11 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, d
                   .filter("lo < hi").select("key", "lo"), "shared")
     near = keep(keyed.join(shared, "key").filter("place <> lo").select(F.col("place").alias("a"), F.col("lo").alias("b")).distinct(), "near")
     classes = keep(told.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "classes")
-    places = classes.select("node", "doc_id", F.explode(limit.windows(F.col("n"))).alias("window"))
-    bunches = (places.join(components(near).withColumnRenamed("node", "place"), F.xxhash64(places["node"], "window") == F.col("place"))
-               .groupBy("doc_id", "node").agg(F.collect_list("root").alias("roots")))
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias(text)).join(bunches, "doc_id")
-    sets = _sets(texts, k, text)
-    linked = components(_links(sets, limit))
+    places = classes.select("node", "doc_id", "n", F.explode(limit.windows(F.col("n"))).alias("window"))
+    bunches = keep(places.join(components(near).withColumnRenamed("node", "place"), F.xxhash64(places["node"], "window") == F.col("place"))
+                   .select("doc_id", "node", "n", "root"), "bunches")
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    linked = components(_links(texts, bunches, k, limit))
     rooted = classes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = keep(rooted.join(least, "root").select("node", "component_id"), "named")
