@@ -248,11 +248,12 @@ def _linked(units: DataFrame, limit: Threshold) -> DataFrame:
     return units.groupBy("unit", "part", "other").applyInArrow(run, "a long, b long")
 
 
-def _links(docs: DataFrame, bunches: DataFrame, k: int, limit: Threshold) -> DataFrame:
-    """Links between sets of the same root, for ``docs(doc_id, text)`` and ``bunches(doc_id, node, n, root)``.
+def _links(docs: DataFrame, told: DataFrame, bunches: DataFrame, k: int, limit: Threshold) -> DataFrame:
+    """Links between sets of the same root, for ``docs(doc_id, text)``, ``told(doc_id, node, keys)`` and
+    ``bunches(doc_id, node, n, root)``.
 
     Small bunches share units; a large one is dealt over parts by hash, linked inside each, and then only sets outside
-    its largest class so far still meet the other parts.  All places are settled on ids and sizes; a set's content is
+    its largest class so far still meet the other parts: those of them that state one of its rare shingles.  All places are settled on ids and sizes; a set's content is
     written once, and repeated only in the exchange that brings it to its places.
     """
     volume = keep(bunches.groupBy("root").agg(F.sum("n").alias("v")), "volumes")
@@ -271,22 +272,32 @@ def _links(docs: DataFrame, bunches: DataFrame, k: int, limit: Threshold) -> Dat
     if not volume.filter(F.col("v") > CHUNK).limit(1).count():
         return inside
     roots = components(inside).withColumnRenamed("root", "label")
-    classed = keep(placed.filter("part >= 0").select("root", "node", "n", "part", "parts").join(roots, "node", "left")
+    classed = keep(placed.filter("part >= 0").select("doc_id", "root", "node", "n", "part").join(roots, "node", "left")
                    .withColumn("label", F.coalesce("label", "node")), "classed")
-    counted = classed.groupBy("root", "label").agg(F.count("*").alias("c"), F.sum("n").alias("v"))
-    bunch = counted.groupBy("root").agg(F.max_by(F.struct("label", "v"), F.struct("c", "label")).alias("main"), F.sum("v").alias("v"))
-    # Outsiders go to every part of their bunch, in groups of a chunk; a part is repeated for each of these groups only.
-    bunch = bunch.select("root", F.col("main.label").alias("main"), F.ceil((F.col("v") - F.col("main.v")) / CHUNK).cast("long").alias("groups"))
-    plan = classed.join(bunch.filter("groups > 0"), "root").groupBy("node").agg(F.collect_list(F.struct(
-        "root", "part", "parts", "groups", "label", (F.col("label") != F.col("main")).alias("outside"))).alias("spots"))
+    counted = classed.groupBy("root", "label").agg(F.count("*").alias("c"))
+    main = counted.groupBy("root").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"))
+    dealt = keep(classed.join(main.filter("labels > 1").drop("labels"), "root").withColumn("outside", F.col("label") != F.col("main")).drop("main"), "dealt")
+    # An outsider asks the other parts that state one of its rare shingles; of two outsiders the one in the later part asks.
+    keyed = keep(told.select("doc_id", "node", "keys").join(dealt.select("doc_id", "node", "root", "part", "outside"), ["doc_id", "node"])
+                 .select("root", "node", "part", "outside", F.explode("keys").alias("key")), "large-keys")
+    stated = keyed.select("root", "key", F.col("part").alias("to"), F.col("outside").alias("other_outside")).distinct()
+    pairs = keep(keyed.filter("outside").join(stated, ["root", "key"]).filter("`to` < part or (`to` > part and not other_outside)")
+                 .select("root", "key", "node", "to"), "asked")
+    asking = pairs.select("root", "node", "to").distinct()
+    hosting = (keyed.withColumnRenamed("part", "to").join(pairs.select("root", "key", "to").distinct(), ["root", "key", "to"], "left_semi")
+               .select("root", "node", "to").distinct())
+    sizes = dealt.select("root", "node", "n", "label")
+    asking = keep(asking.join(sizes, ["root", "node"]), "asking")
+    # Those who ask one part come in groups of a chunk; the part is repeated for each group.
+    groups = keep(asking.groupBy("root", "to").agg(F.ceil(F.sum("n") / CHUNK).cast("long").alias("groups")), "groups")
+    spot = lambda other, asks: F.struct("root", "to", other.cast("long").alias("other"), "label", F.lit(asks).alias("asks"))
+    askers = asking.join(groups, ["root", "to"]).select("node", spot(F.pmod(F.xxhash64("node", "root"), F.col("groups")), True).alias("s"))
+    hosts = hosting.join(sizes, ["root", "node"]).join(groups, ["root", "to"]).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).select("node", spot(F.col("other"), False).alias("s"))
+    plan = keep(askers.unionByName(hosts).groupBy("node").agg(F.collect_list("s").alias("spots")), "plan")
     large = contents.filter(F.exists("spots", lambda s: s["part"] >= 0)).select("node", "content").join(plan, "node")
-    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
-    at = lambda part, other, asks: F.struct(part.alias("part"), other.alias("other"), F.lit(asks).alias("asks"))
-    hosts = F.transform(upto("s.groups"), lambda group: at(F.col("s.part"), group, False))
-    askers = F.transform(upto("s.parts"), lambda part: at(part, F.pmod(F.xxhash64("node", "s.root"), F.col("s.groups")), True))
     met = large.select("node", "content", F.explode("spots").alias("s")).select(
-        "node", "content", "s.root", "s.label", F.explode(F.when(F.col("s.outside"), F.concat(hosts, askers)).otherwise(hosts)).alias("p"))
-    met = met.select(F.col("root").alias("unit"), "p.part", "p.other", "node", "root", "content", "label", "p.asks")
+        F.col("s.root").alias("unit"), F.col("s.to").alias("part"), "s.other", "node", "s.root", "content", "s.label", "s.asks")
     return inside.unionByName(keep(_linked(met, limit), "links"))
 
 
@@ -313,7 +324,7 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, d
     bunches = keep(places.join(components(near).withColumnRenamed("node", "place"), F.xxhash64(places["node"], "window") == F.col("place"))
                    .select("doc_id", "node", "n", "root"), "bunches")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    linked = components(_links(texts, bunches, k, limit))
+    linked = components(_links(texts, told, bunches, k, limit))
     rooted = classes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = keep(rooted.join(least, "root").select("node", "component_id"), "named")
