@@ -23,7 +23,7 @@ def vocabulary() -> str:
 
 
 def q_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_groups(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+    return ngram_join.linked_groups(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
 def q_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

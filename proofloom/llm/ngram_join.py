@@ -27,6 +27,8 @@ from .graph import components
 
 # Shingles of one tree; a bunch that holds more is dealt over several.
 CHUNK = 1 << 19
+# Where every part meets every other, parts are so much larger, as all of them are repeated to each.
+WIDE = 4
 DIMS, LEAF = 32, 32
 COUNTERS, SLICES = 1 << 20, 16
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -174,6 +176,40 @@ def link(sets: list[np.ndarray], labels: np.ndarray, asks: np.ndarray | None, li
     return found
 
 
+def every_link(sets: list[np.ndarray], upper: np.ndarray, asks: np.ndarray | None, limit: Threshold) -> Iterator[tuple[int, np.ndarray]]:
+    """All verified links: a set and its partners, each pair once.
+
+    ``upper``: sets of the window's larger class; pairs of two of them belong to the next window.
+    ``asks``: sets that meet those that do not ask (None: all meet all).
+    """
+    sizes = np.array([len(s) for s in sets])
+    points = np.stack([np.bincount((s >> np.uint64(40)) % np.uint64(DIMS), minlength=DIMS) for s in sets])
+    tree = CountTree(points, sizes)
+    order, points, sizes, upper = tree.order, points[tree.order], sizes[tree.order], upper[tree.order]
+    asks = None if asks is None else asks[order]
+    # Shingles as places of a table in which one set's are marked, so overlaps are sums over it.
+    places = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1]
+    ends, marked = np.cumsum(sizes), np.zeros(len(places), np.uint8)
+    for i in range(len(order)) if asks is None else np.flatnonzero(asks).tolist():
+
+        def skip(height, nodes):
+            return (nodes + 1) * LEAF ** (height + 1) <= i + 1 if asks is None else np.zeros(len(nodes), bool)
+
+        to = tree.near(points[i], sizes[i], limit, skip)
+        to = to[(to > i if asks is None else ~asks[to]) & ~(upper[to] & upper[i])]
+        to = to[limit.linked(np.minimum(points[to], points[i]).sum(axis=1), sizes[to] + sizes[i])]
+        if not len(to):
+            continue
+        own, n = places[ends[i] - sizes[i]:ends[i]], sizes[to]
+        first = np.cumsum(n) - n
+        marked[own] = 1
+        inter = np.add.reduceat(marked[places[np.repeat(ends[to] - n - first, n) + np.arange(n.sum())]], first, dtype=np.int64)
+        marked[own] = 0
+        to = to[limit.linked(inter, n + sizes[i])]
+        if len(to):
+            yield int(order[i]), order[to]
+
+
 def _heights(docs: DataFrame, k: int, text: str) -> np.ndarray:
     """Per counter, the binary length of how often its shingles occur over all documents.
 
@@ -248,35 +284,80 @@ def _linked(units: DataFrame, limit: Threshold) -> DataFrame:
     return units.groupBy("unit", "part", "other").applyInArrow(run, "a long, b long")
 
 
-def _links(docs: DataFrame, told: DataFrame, bunches: DataFrame, k: int, limit: Threshold) -> DataFrame:
+def _all_linked(units: DataFrame, limit: Threshold, pairs: bool) -> DataFrame:
+    """``a, b, n`` of all links in each (unit, part, other) of ``node, root, content, asks, upper, copies``.
+
+    ``pairs``: every link as a row, n = 0.  Else links that join all linked sets, n = 0, and a row (node, node, n) per
+    linked set with the copies of its partners here, so rows do not grow with the square of a group.
+    """
+    def run(table: pa.Table) -> pa.Table:
+        # Contents of repeated rows can come more than once.
+        table = table.sort_by([("root", "ascending"), ("node", "ascending")])
+        roots, nodes = table.column("root").to_numpy(), table.column("node").to_numpy()
+        table = table.filter(pa.array(np.r_[True, (roots[1:] != roots[:-1]) | (nodes[1:] != nodes[:-1])]))
+        roots, nodes, copies = (table.column(c).to_numpy() for c in ("root", "node", "copies"))
+        upper, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("upper", "asks"))
+        content, found = table.column("content"), [np.empty((3, 0), np.int64)]
+        starts = [*np.flatnonzero(np.r_[True, roots[1:] != roots[:-1]]).tolist(), len(roots)]
+        for a, b in zip(starts, starts[1:]):
+            sets = [np.frombuffer(content[i].as_buffer(), np.uint64) for i in range(a, b)]
+            own, weight, labels, total = nodes[a:b], copies[a:b], np.arange(b - a), np.zeros(b - a, np.int64)
+            for i, to in every_link(sets, upper[a:b], None if asks[a:b].all() else asks[a:b], limit):
+                total[i] += weight[to].sum()
+                total[to] += weight[i]
+                if not pairs:
+                    classes, at = np.unique(labels[to], return_index=True)
+                    to = to[at[classes != labels[i]]]
+                    if len(to):
+                        labels[np.isin(labels, classes)] = labels[i]
+                found.append(np.stack([np.full(len(to), own[i]), own[to], np.zeros(len(to), np.int64)]))
+            if not pairs:
+                linked = np.flatnonzero(total)
+                found.append(np.stack([own[linked], own[linked], total[linked]]))
+        a, b, n = np.concatenate(found, axis=1)
+        return pa.table({"a": a, "b": b, "n": n})
+
+    return units.groupBy("unit", "part", "other").applyInArrow(run, "a long, b long, n long")
+
+
+def _links(docs: DataFrame, told: DataFrame, bunches: DataFrame, k: int, limit: Threshold, every: str | None = None) -> DataFrame:
     """Links between sets of the same root, for ``docs(doc_id, text)``, ``told(doc_id, node, keys)`` and
-    ``bunches(doc_id, node, n, root)``.
+    ``bunches(doc_id, node, n, root, upper, copies)``.
+
+    ``every`` None: ``a, b``, enough of them to join all linked sets.  "counts" or "pairs": ``a, b, n`` of all links as in
+    ``_all_linked``; then every set of a large bunch meets the other parts, and the later part asks.
 
     Small bunches share units; a large one is dealt over parts by hash, linked inside each, and then only sets outside
     its largest class so far still meet the other parts: those of them that state one of its rare shingles.  All places are settled on ids and sizes; a set's content is
     written once, and repeated only in the exchange that brings it to its places.
     """
+    chunk = CHUNK * WIDE if every else CHUNK
     volume = keep(bunches.groupBy("root").agg(F.sum("n").alias("v")), "volumes")
     total = volume.agg(F.sum("v")).first()[0] or 0
     bins = max(1, -(-total // (CHUNK // 2)))
     many = F.col("parts") > 1
-    placed = keep(bunches.join(volume.select("root", F.ceil(F.col("v") / CHUNK).alias("parts")), "root").select(
-        "doc_id", "node", "n", "root", "parts",
+    placed = keep(bunches.join(volume.select("root", F.ceil(F.col("v") / chunk).alias("parts")), "root").select(
+        "doc_id", "node", "n", "root", "upper", "copies", "parts",
         F.when(many, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(bins))).alias("unit"),
         F.when(many, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(F.lit(-1)).cast("long").alias("part")), "places")
-    spots = placed.groupBy("doc_id", "node").agg(F.collect_list(F.struct("unit", "part", "root")).alias("spots"))
+    spots = placed.groupBy("doc_id", "node").agg(F.collect_list(F.struct("unit", "part", "root", "upper", "copies")).alias("spots"))
     contents = keep(_sets(docs.join(spots, "doc_id"), k), "contents")
     first = contents.select("node", "content", F.explode("spots").alias("s")).select(
-        "s.unit", "s.part", F.lit(-1).alias("other"), "node", "s.root", "content", F.col("node").alias("label"), F.lit(True).alias("asks"))
-    inside = keep(_linked(first, limit), "links")
-    if not volume.filter(F.col("v") > CHUNK).limit(1).count():
+        "s.unit", "s.part", F.lit(-1).alias("other"), "node", "s.root", "content", F.col("node").alias("label"), F.lit(True).alias("asks"),
+        "s.upper", "s.copies")
+    find = (lambda units: _all_linked(units, limit, every == "pairs")) if every else (lambda units: _linked(units, limit))
+    inside = keep(find(first), "links")
+    if not volume.filter(F.col("v") > chunk).limit(1).count():
         return inside
-    roots = components(inside).withColumnRenamed("root", "label")
-    classed = keep(placed.filter("part >= 0").select("doc_id", "root", "node", "n", "part").join(roots, "node", "left")
-                   .withColumn("label", F.coalesce("label", "node")), "classed")
-    counted = classed.groupBy("root", "label").agg(F.count("*").alias("c"))
-    main = counted.groupBy("root").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"))
-    dealt = keep(classed.join(main.filter("labels > 1").drop("labels"), "root").withColumn("outside", F.col("label") != F.col("main")).drop("main"), "dealt")
+    classed = placed.filter("part >= 0").select("doc_id", "root", "node", "n", "part", "upper", "copies")
+    if every:
+        dealt = keep(classed.withColumn("label", F.col("node")).withColumn("outside", F.lit(True)), "dealt")
+    else:
+        roots = components(inside).withColumnRenamed("root", "label")
+        classed = keep(classed.join(roots, "node", "left").withColumn("label", F.coalesce("label", "node")), "classed")
+        counted = classed.groupBy("root", "label").agg(F.count("*").alias("c"))
+        main = counted.groupBy("root").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"))
+        dealt = keep(classed.join(main.filter("labels > 1").drop("labels"), "root").withColumn("outside", F.col("label") != F.col("main")).drop("main"), "dealt")
     # An outsider asks the other parts that state one of its rare shingles; of two outsiders the one in the later part asks.
     keyed = keep(told.select("doc_id", "node", "keys").join(dealt.select("doc_id", "node", "root", "part", "outside"), ["doc_id", "node"])
                  .select("root", "node", "part", "outside", F.explode("keys").alias("key")), "large-keys")
@@ -286,50 +367,92 @@ def _links(docs: DataFrame, told: DataFrame, bunches: DataFrame, k: int, limit:
     asking = pairs.select("root", "node", "to").distinct()
     hosting = (keyed.withColumnRenamed("part", "to").join(pairs.select("root", "key", "to").distinct(), ["root", "key", "to"], "left_semi")
                .select("root", "node", "to").distinct())
-    sizes = dealt.select("root", "node", "n", "label")
+    sizes = dealt.select("root", "node", "n", "label", "upper", "copies")
     asking = keep(asking.join(sizes, ["root", "node"]), "asking")
     # Those who ask one part come in groups of a chunk; the part is repeated for each group.
-    groups = keep(asking.groupBy("root", "to").agg(F.ceil(F.sum("n") / CHUNK).cast("long").alias("groups")), "groups")
-    spot = lambda other, asks: F.struct("root", "to", other.cast("long").alias("other"), "label", F.lit(asks).alias("asks"))
+    groups = keep(asking.groupBy("root", "to").agg(F.ceil(F.sum("n") / chunk).cast("long").alias("groups")), "groups")
+    spot = lambda other, asks: F.struct("root", "to", other.cast("long").alias("other"), "label", F.lit(asks).alias("asks"), "upper", "copies")
     askers = asking.join(groups, ["root", "to"]).select("node", spot(F.pmod(F.xxhash64("node", "root"), F.col("groups")), True).alias("s"))
     hosts = hosting.join(sizes, ["root", "node"]).join(groups, ["root", "to"]).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).select("node", spot(F.col("other"), False).alias("s"))
     plan = keep(askers.unionByName(hosts).groupBy("node").agg(F.collect_list("s").alias("spots")), "plan")
     large = contents.filter(F.exists("spots", lambda s: s["part"] >= 0)).select("node", "content").join(plan, "node")
     met = large.select("node", "content", F.explode("spots").alias("s")).select(
-        F.col("s.root").alias("unit"), F.col("s.to").alias("part"), "s.other", "node", "s.root", "content", "s.label", "s.asks")
-    return inside.unionByName(keep(_linked(met, limit), "links"))
+        F.col("s.root").alias("unit"), F.col("s.to").alias("part"), "s.other", "node", "s.root", "content", "s.label", "s.asks", "s.upper", "s.copies")
+    return inside.unionByName(keep(find(met), "links"))
 
 
-def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` per document: linked are sets with Jaccard similarity num/den or more.
+def _bunched(docs: DataFrame, k: int, limit: Threshold, doc_id: str, text: str, counted: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Features of all rows, those that take part, one row per set with its copies, and the bunches of sets that may be linked.
 
-    ``component_id`` is the smallest id reachable over links.  Equal sets are one node, however many copies there are; a
-    node is a 64-bit hash of the set.  Null, empty and blank texts have no shingles and are linked with
-    nothing; rows with a null id keep their size, take no part and have a null component; rows of equal id and text give
-    equal rows, and of one id with several texts each row is judged by its own text.  Other columns are ignored.
+    ``copies`` are documents of that set, repeated rows counted once; 1 unless ``counted``.
     """
     bounded_batches(docs.sparkSession)
-    limit = Threshold(num, den)
     feats = keep(_features(docs, k, limit, doc_id, text), "features")
     told = feats.filter("n > 0 and doc_id is not null")
-    placed = told.select("node", "n", "keys", F.explode(limit.windows(F.col("n"))).alias("window"))
-    keyed = placed.select(F.xxhash64("node", "window").alias("place"), "window", F.explode("keys").alias("key"))
-    keyed = keyed.select("place", F.xxhash64("key", "window").alias("key"))
-    shared = keep(keyed.groupBy("key").agg(F.min("place").alias("lo"), F.max("place").alias("hi"))
-                  .filter("lo < hi").select("key", "lo"), "shared")
+    # The first of the two windows of a set is that of the class below its own: there it is one of the upper sets.  Two
+    # upper sets also meet in the next window, so a key of upper sets only brings nobody together.
+    placed = told.select("node", "n", "keys", F.posexplode(limit.windows(F.col("n"))).alias("pos", "window"))
+    keyed = placed.select(F.xxhash64("node", "window").alias("place"), "pos", "window", F.explode("keys").alias("key"))
+    keyed = keyed.select("place", "pos", F.xxhash64("key", "window").alias("key"))
+    shared = keep(keyed.groupBy("key").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.max("pos").alias("own"))
+                  .filter("lo < hi and own = 1").select("key", "lo"), "shared")
     near = keep(keyed.join(shared, "key").filter("place <> lo").select(F.col("place").alias("a"), F.col("lo").alias("b")).distinct(), "near")
-    classes = keep(told.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "classes")
-    places = classes.select("node", "doc_id", "n", F.explode(limit.windows(F.col("n"))).alias("window"))
+    once = told.select("node", "doc_id", "n").distinct() if counted else told
+    classes = keep(once.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"),
+                                            (F.count("*") if counted else F.lit(1).cast("long")).alias("copies")), "classes")
+    places = classes.select("node", "doc_id", "n", "copies", F.posexplode(limit.windows(F.col("n"))).alias("pos", "window"))
     bunches = keep(places.join(components(near).withColumnRenamed("node", "place"), F.xxhash64(places["node"], "window") == F.col("place"))
-                   .select("doc_id", "node", "n", "root"), "bunches")
+                   .select("doc_id", "node", "n", "root", (F.col("pos") == 0).alias("upper"), "copies"), "bunches")
+    return feats, told, classes, bunches
+
+
+def _grouped(docs: DataFrame, k: int, limit: Threshold, doc_id: str, text: str, counted: bool) -> DataFrame:
+    """``doc_id, node, n_shingles, component_id`` per document, and ``n_links`` if ``counted``.  No node: takes no part."""
+    feats, told, classes, bunches = _bunched(docs, k, limit, doc_id, text, counted)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    linked = components(_links(texts, told, bunches, k, limit))
+    links = _links(texts, told, bunches, k, limit, "counts" if counted else None)
+    linked = components(links.select("a", "b"))
     rooted = classes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if counted:
+        met = links.filter("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("met"))
+        rooted = rooted.join(met, "node", "left").withColumn("n_links", F.coalesce("met", F.lit(0)) + F.col("copies") - 1)
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = keep(rooted.join(least, "root").select("node", "component_id"), "named")
+    own = ["n_links"] if counted else []
+    named = keep(rooted.join(least, "root").select("node", "component_id", *own), "named")
     out = feats.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.expr("n > 0 and doc_id is not null"), F.col("node")).alias("node"))
-    return out.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.join(named, "node", "left").select("doc_id", "node", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
+                                                  *[F.coalesce(c, F.lit(0)).alias(c) for c in own])
+
+
+def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id`` per document: linked are sets with Jaccard similarity num/den or more.
+
+    ``component_id`` is the smallest id reachable over links.  Equal sets are one node, however many copies there are; a
+    node is a 64-bit hash of the set.  Null, empty and blank texts have no shingles and are linked with
+    nothing; rows with a null id keep their size, take no part and have a null component; rows of equal id and text give
+    equal rows, and of one id with several texts each row is judged by its own text.  Other columns are ignored.
+    Only links that join what is not joined yet are verified; ``linked_groups`` has the number of all links.
+    """
+    return _grouped(docs, k, Threshold(num, den), doc_id, text, False).drop("node")
+
+
+def linked_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``similar_groups`` and ``n_links``: with how many other documents a document is linked directly.
+
+    All links are verified.  A document is an id with a set: repeated rows of both count once, other ids with the same set
+    are links, and so are linked texts of one id.  Rows that take no part have 0.
+    """
+    return _grouped(docs, k, Threshold(num, den), doc_id, text, True).drop("node")
+
+
+def linked_sets(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links as ``a, b`` (a < b), each pair of distinct sets once, and ``doc_id, node``: the documents of each set."""
+    limit = Threshold(num, den)
+    _, told, _, bunches = _bunched(docs, k, limit, doc_id, text, False)
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    links = _links(texts, told, bunches, k, limit, "pairs")
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), told.select("doc_id", "node").distinct()
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

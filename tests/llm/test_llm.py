@@ -61,6 +61,35 @@ def test_ngram_join(spark, monkeypatch, k, num, chunk):
     assert got == brute_groups(texts, k, num)
 
 
+@pytest.mark.parametrize("k,num,chunk", [(3, 90, 1 << 19), (5, 80, 1 << 19), (3, 90, 300), (5, 80, 300)])
+def test_ngram_join_counts_all_links(spark, monkeypatch, k, num, chunk):
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    # A chain of windows over one text, a clique of near copies, copies of one of them, and an id with two texts.
+    chain = [(300 + i, " ".join(sentence(9, 300).split()[6 * i:6 * i + 150])) for i in range(10)]
+    near = [(100 + i, " ".join(w for j, w in enumerate(sentence(11, 200).split()) if j != 7 * i)) for i in range(12)]
+    texts = EDGY + chain + near + [(200 + i, near[0][1]) for i in range(3)] + [(100, near[5][1] + " x"), (100, near[5][1] + " x")]
+
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return frozenset(tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+    own = {(i, s) for i, t in texts if i is not None and (s := shingles(t))}
+
+    def linked(s, o):
+        return 100 * len(s & o) >= num * len(s | o)
+
+    links = {(i, s): sum(linked(s, o) for _, o in own) - 1 for i, s in own}
+    want = Counter((i, len(s := shingles(t)), links.get((i, s), 0)) for i, t in texts)
+    docs = docs_of(spark, texts)
+    got = ngram_join.linked_groups(docs, k, num)
+    assert Counter(map(tuple, got.select("doc_id", "n_shingles", "n_links").collect())) == want
+    assert Counter(map(tuple, got.drop("n_links").collect())) == brute_groups(texts, k, num)
+    pairs, members = ngram_join.linked_sets(docs, k, num)
+    pairs, sets = [tuple(r) for r in pairs.collect()], {s for _, s in own}
+    assert len(pairs) == len(set(pairs)) == sum(linked(s, o) for s in sets for o in sets if s != o) // 2
+    assert members.count() == len(own)
+
+
 def test_ngram_join_empty_and_one_of_each(spark):
     assert ngram_join.similar_groups(docs_of(spark, [])).count() == 0
     kept = ngram_join.one_of_each(docs_of(spark, EDGY))
