@@ -157,6 +157,28 @@ def test_chat(spark):
     assert chat.rotate(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_chat_cuts_large_parts(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PIECE", 2000)
+    monkeypatch.setattr(chat, "TURN", 100)
+    rows = [(None, None, f"p{i % 3}", f"say {i % 50} " + "x" * (i % 7)) for i in range(200)] + [(1, 5, "ann", "again")] * 150
+    rows += [(1, 5, "bob", "é" * 9000), (1, 5, "bob", "é" * 9000), (1, 6, "system", "y" * 4500), (1, 700, "bob", "end"), (2, 0, "ann", "hi"), (2, 1, "bob", None)]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert max(len(r.rendered) for r in got) < 2 * 2000 + 200 and max(r.n_turns for r in got) <= 20
+    people = {(c, r) for c, _, r, _ in rows if r != "system"}
+    assert {(r.conv_id, r.participant) for r in got} == people
+    for conv, who in people:
+        own = sorted((r for r in got if (r.conv_id, r.participant) == (conv, who)), key=lambda r: r.char_start)
+        text, mask = "", set()
+        for _, role, says in sorted((-1 if t is None else t, r, x or "") for c, t, r, x in rows if c == conv):
+            text += f"<|im_start|>{'assistant' if role == who else role if role == 'system' else 'user name=' + role}\n"
+            mask |= set(range(len(text), len(text) + len(says) + len("<|im_end|>"))) if role == who else set()
+            text += says + "<|im_end|>\n"
+        assert "".join(r.rendered for r in own) == text and sum(r.n_turns for r in own) == sum(c == conv for c, *_ in rows)
+        assert [r.char_start for r in own] == [sum(len(x.rendered) for x in own[:n]) for n in range(len(own))]
+        assert [r.part for r in own] == sorted(r.part for r in own)
+        assert {r.char_start + x for r in own for a, b in r.mask for x in range(a, b)} == mask
+
+
 @pytest.mark.parametrize("limit", [64 << 20, 0])
 def test_urls(spark, monkeypatch, limit):
     monkeypatch.setattr(urls, "MAX_FILTER_BYTES", limit)
