@@ -234,7 +234,7 @@ def _heights(docs: DataFrame, k: int, text: str) -> np.ndarray:
 
 
 def _features(docs: DataFrame, k: int, limit: Threshold, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, n, node, keys``: set size, set hash and rare shingles of every document."""
+    """``doc_id, told, n, node, keys``: text hash, set size, set hash and rare shingles of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(_heights(docs, k, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,11 +244,11 @@ def _features(docs: DataFrame, k: int, limit: Threshold, doc_id: str, text: str)
             keys = [limit.keys(s, heights) for s in sets]
             ends = np.cumsum([0, *map(len, keys)])
             yield pa.record_batch({
-                "doc_id": batch.column(0), "n": pa.array(list(map(len, sets)), pa.int64()), "node": pa.array(list(map(node_of, sets)), pa.int64()),
+                "doc_id": batch.column(0), "told": batch.column(2), "n": pa.array(list(map(len, sets)), pa.int64()), "node": pa.array(list(map(node_of, sets)), pa.int64()),
                 "keys": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64) if keys else [], pa.int64()))})
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, "doc_id long, n long, node long, keys array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("told")).mapInArrow(
+        run, "doc_id long, told long, n long, node long, keys array<long>")
 
 
 def _sets(texts: DataFrame, k: int) -> DataFrame:
@@ -408,7 +408,10 @@ def _bunched(docs: DataFrame, k: int, limit: Threshold, doc_id: str, text: str,
 
 
 def _grouped(docs: DataFrame, k: int, limit: Threshold, doc_id: str, text: str, counted: bool) -> DataFrame:
-    """``doc_id, node, n_shingles, component_id`` per document, and ``n_links`` if ``counted``.  No node: takes no part."""
+    """``doc_id, told, node, root, n_shingles, component_id`` per row, and ``n_links`` if ``counted``.  No node: takes no part.
+
+    ``told`` is the hash of the text, ``root`` the node that stands for the component: one id can be the least of two.
+    """
     feats, told, classes, bunches = _bunched(docs, k, limit, doc_id, text, counted)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     links = _links(texts, told, bunches, k, limit, "counts" if counted else None)
@@ -419,9 +422,9 @@ def _grouped(docs: DataFrame, k: int, limit: Threshold, doc_id: str, text: str,
         rooted = rooted.join(met, "node", "left").withColumn("n_links", F.coalesce("met", F.lit(0)) + F.col("copies") - 1)
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     own = ["n_links"] if counted else []
-    named = keep(rooted.join(least, "root").select("node", "component_id", *own), "named")
-    out = feats.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.expr("n > 0 and doc_id is not null"), F.col("node")).alias("node"))
-    return out.join(named, "node", "left").select("doc_id", "node", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
+    named = keep(rooted.join(least, "root").select("node", "root", "component_id", *own), "named")
+    out = feats.select("doc_id", "told", F.col("n").alias("n_shingles"), F.when(F.expr("n > 0 and doc_id is not null"), F.col("node")).alias("node"))
+    return out.join(named, "node", "left").select("doc_id", "told", "node", "root", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
                                                   *[F.coalesce(c, F.lit(0)).alias(c) for c in own])
 
 
@@ -434,7 +437,7 @@ def similar_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, d
     equal rows, and of one id with several texts each row is judged by its own text.  Other columns are ignored.
     Only links that join what is not joined yet are verified; ``linked_groups`` has the number of all links.
     """
-    return _grouped(docs, k, Threshold(num, den), doc_id, text, False).drop("node")
+    return _grouped(docs, k, Threshold(num, den), doc_id, text, False).drop("told", "node", "root")
 
 
 def linked_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -443,7 +446,7 @@ def linked_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, do
     All links are verified.  A document is an id with a set: repeated rows of both count once, other ids with the same set
     are links, and so are linked texts of one id.  Rows that take no part have 0.
     """
-    return _grouped(docs, k, Threshold(num, den), doc_id, text, True).drop("node")
+    return _grouped(docs, k, Threshold(num, den), doc_id, text, True).drop("told", "node", "root")
 
 
 def linked_sets(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -456,15 +459,22 @@ def linked_sets(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents without near copies: of each group the one with the smallest id stays.
+    """Documents without near copies: of each group the row with the smallest id stays, and of its texts one.
 
-    Of several rows of an id that stays, one remains.  Documents without words or without an id stay.
+    Rows of one id with several texts are judged by text, so the id stays as often as it is the least of a group.  Of
+    rows of equal id and text one remains.  Documents without words or without an id stay.
     """
-    groups = similar_groups(docs, k, num, den, doc_id, text)
-    stay = keep(groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
-                .withColumnRenamed("doc_id", doc_id), "stay")
-    kept = docs.join(stay, doc_id).select(*docs.columns, "__rows")
+    groups = _grouped(docs, k, Threshold(num, den), doc_id, text, False).filter("doc_id is not null")
+    rows = keep(groups.groupBy("doc_id", "told", "node", "root").agg(F.count("*").alias("rows")), "rows")
+    least = rows.filter("node is not null").groupBy("root").agg(
+        F.min_by(F.struct("doc_id", "told", "rows"), F.struct("doc_id", "node", "told")).alias("s")).select("s.*")
+    stay = keep(least.unionByName(rows.filter("node is null").select("doc_id", "told", "rows")), "stay").toDF("__id", "__told", "__rows")
+    kept = docs.join(stay, (F.col(doc_id).cast("long") == F.col("__id")) & (F.xxhash64(text) == F.col("__told"))).select(
+        *docs.columns, "__told", "__rows")
     alone = docs.filter(F.col(doc_id).isNull())
     if stay.filter("__rows > 1").limit(1).count():
-        kept = kept.filter("__rows = 1").unionByName(kept.filter("__rows > 1").dropDuplicates([doc_id]))
-    return kept.drop("__rows").unionByName(alone)
+        plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+        first = F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("__row")
+        several = kept.filter("__rows > 1").groupBy(F.col(doc_id).alias("__id"), "__told").agg(first).select("__row.*")
+        kept = kept.filter("__rows = 1").select(*docs.columns).unionByName(several)
+    return kept.select(*docs.columns).unionByName(alone)

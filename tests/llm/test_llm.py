@@ -98,6 +98,14 @@ def test_ngram_join_empty_and_one_of_each(spark):
     assert kept.filter("doc_id is null").count() == 1
 
 
+def test_one_of_each_judges_by_text(spark):
+    # Id 5 has a near copy of 1 and a text of its own; id 6 two texts of its own; id 7 a blank text and one of its own.
+    other = [sentence(400 + i, 80) for i in range(5)]
+    texts = [(1, BASE), (5, other[0]), (5, BASE + " end"), (6, other[1]), (6, other[2]), (7, " "), (7, other[3]), (8, other[4]), (8, other[4])]
+    want = sorted([(1, BASE), (5, other[0]), (6, other[1]), (6, other[2]), (7, " "), (7, other[3]), (8, other[4])])
+    assert sorted((r.doc_id, r.text) for r in ngram_join.one_of_each(docs_of(spark, texts)).collect()) == want
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (100, 95)], "a long, b long")
     assert {r.node: r.root for r in components(edges).collect()} == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
