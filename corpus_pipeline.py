@@ -35,8 +35,11 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixing.emit_mix(mixing.plan_mix(docs)).select(*docs.columns)
+    """Documents as often as the mix takes them, with the columns they came with."""
+    # Columns named like those of the mix go by other names through it.
+    own = {c: f"__own_{c}" for c in docs.columns if c.lower() in ("size", "source_size", "target", "copies", "copy_no", "weight")}
+    mix = mixing.emit_mix(mixing.plan_mix(docs.withColumnsRenamed(own)))
+    return mix.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -329,3 +329,12 @@ def test_pipeline_stages(spark):
     assert clean.columns == cut.columns == mix.columns == docs.columns
     pieces = corpus_pipeline.packed(spark, mix, "")
     assert pieces.select(F.sum("length")).first()[0] == sum(len(x) for _, x in expected_ids([(r.doc_id, r.text) for r in mix.collect()], 1))
+
+
+def test_pipeline_mix_keeps_columns(spark):
+    import corpus_pipeline
+    names = ["size", "source_size", "target", "copies", "copy_no"]
+    docs = docs_of(spark, [(i, sentence(i, 80)) for i in range(20)]).withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in names})
+    mix = corpus_pipeline.mixed_sources(spark, docs, "")
+    assert mix.schema == docs.schema and mix.count() >= 20
+    assert all(r[c] == f"{c}{r.doc_id}" for r in mix.collect() for c in names)
