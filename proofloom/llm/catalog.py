@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, ngram_join, packing, quality, suffixes, tokenfiles, urls, vectors
+from . import (alignment, chat, hard_negatives, mixing, ngram_join, packing, quality, suffixes, tokenfiles, toxicity, urls,
+               vectors)
 from .common import new_path
 
 # Rules of the url query (host, path, verdict).
@@ -16,10 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """The public vocabulary the token queries use; operators take the path as an argument."""
     import public_tokenizers
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def q_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +75,24 @@ def q_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("conv_id", "participant", "part", "char_start", "n_turns", "rendered", spans.alias("mask"))
 
 
+def q_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def q_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.with_score(docs, model, keep_text=False)
+    return scored.select("doc_id", (quality.fold(F.col("doc_id")) == 2).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def q_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_ngram_join": q_similar,
     "op2_token_files": q_tokens,
@@ -85,9 +104,29 @@ QUERIES = {
     "op8_exact_top_k": q_top,
     "op9_packing": q_pack,
     "op10_chat_rotation": q_chat,
+    "op11_hard_negatives": q_hard,
+    "op12_toxicity": q_toxic,
+    "op13_alignment": q_align,
 }
 
 ORACLE = {
+    "op11_hard_negatives": r"""
+        with v as (
+            select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                   list_transform(embedding, lambda c: floor(256 * c::double)) as x from embeddings
+            where vec_id is not null and label is not null and embedding is not null
+              and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+        s as (
+            select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, list_inner_product(a.x, c.x)::bigint as score
+            from v a join v c on a.vec_id <> c.vec_id and len(a.x) = len(c.x) where a.vec_id % 100 = 0),
+        p as (select * from s where same
+              qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+        r as (
+            select p.anchor_id, p.vec_id as positive_id, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score,
+                   row_number() over (partition by p.anchor_id, p.vec_id order by s.score desc, s.vec_id)::int as rank
+            from p join s on p.anchor_id = s.anchor_id
+            where not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score)
+        select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from r where rank <= 10""",
     "op5_nearest_vectors": r"""
         with v as (
             select distinct vec_id, embedding::double[] as x from embeddings
