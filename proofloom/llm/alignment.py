@@ -11,7 +11,9 @@ import functools
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,8 @@ from .tokens import SIGNS
 
 UNIT = re.compile(r"(?<=\S)(?= \S)")  # both vocabularies start a token at a single blank between visible characters
 BESIDE_BLANK = re.compile(r"\s | \s")
-MEMO, BUNDLE = 200_000, 8 << 20
+MEMO, BUNDLE = 600_000, 8 << 20
+DIGITS = 40  # bits of a count within the sum of counts of a text
 PIECE_BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -80,6 +83,7 @@ class Aligner:
                         for t in map(self.a.id_to_token, range(size))]
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := PIECE_BYTE.fullmatch(t)) else t.replace("▁", " ").encode()
                         for t in map(self.b.id_to_piece, range(self.b.get_piece_size()))]
+        self.a_size, self.b_size = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
         self.memo: dict[str, tuple | None] = {}
 
     def units(self, text: str) -> list[str]:
@@ -88,30 +92,36 @@ class Aligner:
             return [" " + w for w in text.split(" ")]
         return UNIT.split(" " + text)
 
-    def align(self, unit: str) -> tuple[int, int, int, bytes, str] | None:
-        """(tokens of A, tokens of B, groups, linked id pairs, groups as text), or None where bytes differ.
+    def _a_ids(self, unit: str) -> list[int]:
+        word = unit[1:]
+        if word.isalpha():  # with its blank, one token of the pre-tokenizer
+            signs = "Ġ" + word if word.isascii() else "".join(map(SIGNS.__getitem__, unit.encode()))
+            return [t.id for t in self.a.model.tokenize(signs)]
+        return self.a.encode(unit, add_special_tokens=False).ids
 
-        A pair is A's id times 2**16 plus B's id, as little-endian unsigned 64-bit integers.
+    def align(self, unit: str) -> tuple[int, bytes, str] | None:
+        """(counts of tokens of A, tokens of B and groups in one number, linked id pairs, groups as text); None where bytes differ.
+
+        A pair is A's id times 2**16 plus B's id, as a little-endian unsigned 64-bit integer.
         """
-        a, b, raw = self.a.encode(unit, add_special_tokens=False).ids, self.b.encode(unit[1:]), unit.encode()
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
+        a, b, raw = self._a_ids(unit), self.b.encode(unit[1:]), unit.encode()
+        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
             return None
-        a_ends, b_ends = np.cumsum([len(x) for x in a_bytes]).tolist(), np.cumsum([len(x) for x in b_bytes]).tolist()
+        a_ends, b_ends = list(accumulate(map(self.a_size.__getitem__, a))), list(accumulate(map(self.b_size.__getitem__, b)))
         if len(a) <= len(b):
             groups, ranges = overlaps(a_ends, b_ends)
-            pairs = [(a[i] << 16) + b[j] for i, (p, q) in enumerate(ranges) for j in range(p, q + 1)]
+            pairs = array("Q", [(x << 16) + y for x, (p, q) in zip(a, ranges) for y in b[p:q + 1]])
         else:
             swapped, ranges = overlaps(b_ends, a_ends)
             groups = [(i, j) for j, i in swapped]
-            pairs = [(a[i] << 16) + b[j] for j, (p, q) in enumerate(ranges) for i in range(p, q + 1)]
+            pairs = array("Q", [(x << 16) + y for y, (p, q) in zip(b, ranges) for x in a[p:q + 1]])
         told, i, j = [], 0, 0
         for to_i, to_j in groups:
-            told.append(",".join(map(str, a[i:to_i])) + "|" + ",".join(map(str, b[j:to_j])))
+            told.append(f"{','.join(map(str, a[i:to_i]))}|{','.join(map(str, b[j:to_j]))}")
             i, j = to_i, to_j
-        return len(a), len(b), len(groups), np.array(pairs, "<u8").tobytes(), ";".join(told)
+        return (len(a) << 2 * DIGITS) + (len(b) << DIGITS) + len(groups), pairs.tobytes(), ";".join(told)
 
-    def document(self, text: str | None) -> tuple[int, int, int, bytes, str] | None:
+    def document(self, text: str | None) -> tuple[int, bytes, str] | None:
         """``align`` of a whole text; None for texts without tokens."""
         if not text:
             return None
@@ -126,8 +136,8 @@ class Aligner:
             if part is None:
                 return None
             parts.append(part)
-        n_a, n_b, n_groups, pairs, told = zip(*parts)
-        return sum(n_a), sum(n_b), sum(n_groups), b"".join(pairs), ";".join(told)
+        counts, pairs, told = zip(*parts)
+        return sum(counts), b"".join(pairs), ";".join(told)
 
 
 @functools.cache
@@ -149,7 +159,8 @@ def _bundle(name: str, ids: list, aligned: list) -> pa.RecordBatch:
     """Documents of one bundle: each one's distinct pairs as places in the bundle's sorted list of pairs, and how often."""
     own, docs = [], []
     for i, part in zip(ids, aligned):
-        n_a, n_b, n_groups, raw, told = part or (0, 0, 0, b"", "")
+        sums, raw, told = part or (0, b"", "")
+        n_a, n_b, n_groups = (sums >> bits & (1 << DIGITS) - 1 for bits in (2 * DIGITS, DIGITS, 0))
         codes, count = np.unique(np.frombuffer(raw, "<u8"), return_counts=True)
         own.append((codes, count))
         docs.append({"doc_id": i, "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": len(raw) // 8,
