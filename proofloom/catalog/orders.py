@@ -381,6 +381,20 @@ _COMPARED = _ITEMS + """, cmp AS (SELECT coalesce(w.order_id, p.order_id) AS ord
       WHEN p.p_size > 40 THEN 'reset' WHEN p.lc = 5 THEN 'demo_remove' ELSE 'remove' END AS action, w.number AS wn, p.lc
     FROM w FULL JOIN p ON w.order_id = p.order_id AND w.number = p.number)"""
 _CANDS = _ITEMS + ", cand AS (SELECT p.order_id, p.number, p.name, p.p_name FROM p ANTI JOIN w ON w.order_id = p.order_id AND w.number = p.number)"
+# Ratio of all pairs of names of an order: the longest block, earliest on either side, then both sides of it, until nothing matches.
+_RATIOS = """adds AS (SELECT order_id, number, replace(name, ' ' || number, '') AS key FROM cmp WHERE action = 'add'),
+  gone AS (SELECT order_id, number, replace(name, ' ' || number, '') AS key FROM cmp WHERE action = 'remove'),
+  named AS (SELECT DISTINCT a.key AS a, g.key AS b FROM adds a JOIN gone g USING (order_id)),
+  seg AS (SELECT a, b, 0::BIGINT AS alo, length(a)::BIGINT AS ahi, 0::BIGINT AS blo, length(b)::BIGINT AS bhi, 0::BIGINT AS got FROM named
+    UNION ALL
+    SELECT a, b, CASE WHEN side = 0 THEN alo ELSE i + k END, CASE WHEN side = 0 THEN i ELSE ahi END, CASE WHEN side = 0 THEN blo ELSE j + k END,
+      CASE WHEN side = 0 THEN j ELSE bhi END, CASE WHEN side = 0 THEN k ELSE 0 END
+    FROM (SELECT a, b, alo, ahi, blo, bhi, m[1] AS k, -m[2] AS i, -m[3] AS j, unnest([0, 1]) AS side FROM (
+      SELECT a, b, alo, ahi, blo, bhi, max([k, -i, -j]) AS m FROM (
+        SELECT *, unnest(range(1, least(ahi - i, bhi - j) + 1)) AS k FROM (
+          SELECT *, unnest(range(blo, bhi)) AS j FROM (SELECT *, unnest(range(alo, ahi)) AS i FROM seg)) WHERE a[i + 1] = b[j + 1])
+      WHERE substr(a, i + 1, k) = substr(b, j + 1, k) GROUP BY a, b, alo, ahi, blo, bhi))),
+  ratios AS (SELECT a, b, 2.0::DOUBLE * sum(got) / (length(a) + length(b)) AS ratio FROM seg GROUP BY a, b)"""
 _NAMED = _CANDS + """, nm AS (SELECT DISTINCT l_suppkey AS order_id, unnest([(l_partkey + 1000)::VARCHAR, (l_partkey + 1000) || 'P']) AS number FROM lineitem WHERE l_returnflag = 'R'),
   verdicts AS (SELECT n.order_id, n.number, CASE WHEN c.number IS NOT NULL THEN 'suggest' WHEN w.number IS NOT NULL THEN 'conflict' ELSE 'unknown' END AS verdict
     FROM nm n LEFT JOIN cand c ON c.order_id = n.order_id AND c.number = n.number LEFT JOIN w ON w.order_id = n.order_id AND w.number = n.number
@@ -452,6 +466,9 @@ ORACLE = {
       SELECT order_id, n_present, n_shared, looks_partial, partial, CASE WHEN partial THEN n_named ELSE n_present - n_shared END AS n_ticked,
         looks_partial AND NOT partial AS warn_choice, NOT partial AND n_named > 0 AND n_present - n_shared > n_named AS warn_others FROM h""",
     "merge_first": """SELECT l_suppkey AS order_id, l_partkey::VARCHAR AS number, min(l_returnflag) AS source, arg_min(l_quantity, (l_returnflag, l_quantity))::INT AS ord FROM lineitem GROUP BY 1, 2""",
+    "renumber_candidates": f"""WITH RECURSIVE {_COMPARED}, {_RATIOS}
+      SELECT a.order_id, a.number, g.number AS replaces, round(r.ratio, 6) AS ratio FROM adds a JOIN gone g USING (order_id) JOIN ratios r ON r.a = a.key AND r.b = g.key
+      WHERE r.ratio >= 0.85 QUALIFY row_number() OVER (PARTITION BY a.order_id, a.number ORDER BY r.ratio DESC, g.number) = 1""",
     "number_set_sizes": f"""WITH {_ITEMS} SELECT coalesce(w.order_id, p.order_id) AS order_id, CASE WHEN p.number IS NULL THEN 'wanted_only' WHEN w.number IS NULL THEN 'present_only' ELSE 'both' END AS part,
       count(*) AS n FROM w FULL JOIN p ON w.order_id = p.order_id AND w.number = p.number GROUP BY ALL""",
     "validate_items": """WITH e AS (SELECT DISTINCT l_suppkey AS order_id, CASE WHEN l_discount > 0.09 THEN '12X' ELSE (l_partkey + 1000) || 'P' END AS number, l_tax FROM lineitem WHERE l_tax > 0.01),

@@ -1,13 +1,21 @@
-"""Name similarity as a blocked join.
+"""Name similarity as a join over a positional q-gram index.
 
-The score is the Ratcliff/Obershelp ratio of the standard library.  It never
-exceeds the share of characters two names have in common, so names can be
-joined on their rarest characters first (the prefix filter of set-similarity
-joins) without losing a pair that reaches the threshold.
+The score is the Ratcliff/Obershelp ratio of the standard library: twice the characters in matching blocks over all
+characters.  Two names of la and lb characters that reach ``threshold`` t match in M >= t * (la + lb) / 2 characters, so
+
+* their lengths differ by a factor of (2 - t) / t at most;
+* the blocks keep their order, so a character moves by at most the unmatched ones before it;
+* every block but the first costs an unmatched character, so at least 3 * M - la - lb - 1 pairs of neighbouring characters
+  are shared.  Names too short for that bound share single characters, M of them.
+
+Distinct names are indexed once, whatever number of scopes they occur in, by their rarest q-grams (document frequencies of
+these very names), split by length and position so that a common q-gram is many keys.  Only pairs that meet in the index
+are scored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from difflib import SequenceMatcher
 
@@ -16,10 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .spread import salted_join
+from .stored import stored
 
-# Characters from rare to common; any fixed order is correct, this one is selective.
-RARITY = "~9876543210zqxjkvbpygfwmucldrhsnioate "
+SLACK = 1e-9
 
 
 @F.pandas_udf(T.DoubleType())
@@ -28,61 +35,119 @@ def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)])
 
 
-def _tokens(name: Column) -> Column:
-    """Characters numbered by occurrence, rarest first: "noon" has n1 n2 o1 o2."""
-    chars = F.filter(F.split(name, ""), lambda c: c != "")
-    distinct = F.array_distinct(chars)
-    numbered = F.flatten(F.transform(distinct, lambda c: F.transform(
-        F.sequence(F.lit(1), F.size(F.filter(chars, lambda x: x == c))),
-        lambda k: F.concat(F.lpad((F.lit(9999) - k).cast("string"), 4, "0"),
-                           F.lpad(F.instr(F.lit(RARITY), c).cast("string"), 2, "0"), c))))
-    return F.sort_array(numbered)
+def reach(threshold: float) -> float:
+    """How many times as long the longer of two names can be."""
+    return (2 - threshold) / threshold
 
 
-def name_prefix(tokens: Column, threshold: float) -> Column:
-    """Tokens of which two names scoring ``threshold`` share at least one.
+def shared_at_least(length: Column, q: int, threshold: float) -> Column:
+    """How many q-grams a name of this length shares with any name that reaches the threshold."""
+    other = F.ceil(length / F.lit(reach(threshold)) - SLACK)
+    both = length + other
+    least = both * (threshold / 2) if q == 1 else both * (1.5 * threshold - 1) - 1
+    return F.ceil(least - SLACK).cast("int")
+
+
+def longest_short(threshold: float) -> int | None:
+    """Names up to this length may share no pair of neighbouring characters; None if that holds for every length."""
+    gain = 1.5 * threshold - 1
+    if gain <= SLACK:
+        return None
+    length = 1
+    while (length + math.ceil(length / reach(threshold) - SLACK)) * gain - 1 <= SLACK:
+        length += 1
+    return length - 1
+
+
+def _band(length: Column, threshold: float) -> Column:
+    """Lengths in ranges as wide as the reach or wider, so partners lie in the same range or a neighbouring one."""
+    return F.floor(F.log(length.cast("double")) / math.log(_range(threshold)) + SLACK).cast("int")
+
+
+def _range(threshold: float) -> float:
+    return max(reach(threshold), 1.05)
 
-    Sharing needs overlap >= t/2 * (la + lb), and lb >= la * t/(2-t), so at
-    least ceil(la * t/(2-t)) of a name's tokens are shared and one of the
-    first la - that + 1 must be among them.
-    """
-    need = F.ceil(F.size(tokens) * F.lit(threshold / (2 - threshold)) - F.lit(1e-9))
-    return F.slice(tokens, 1, F.greatest(F.size(tokens) - need.cast("int") + 1, F.lit(0)))
 
+def _width(band: Column, threshold: float) -> Column:
+    """Places in one bucket: as many as a character can move between names of this range and its neighbours."""
+    top = F.pow(F.lit(_range(threshold)), band + 2)
+    return F.greatest(F.ceil(top * (1 - 1 / reach(threshold))), F.lit(1)).cast("int")
 
-def _with_prefix(rows: DataFrame, key: str, side: str, threshold: float) -> DataFrame:
-    """Each row once per prefix token ``__t``, its tokens beside it; a name's
-    tokens are made once."""
-    tokens = (rows.select(key).distinct().withColumn(f"{side}_all", _tokens(F.col(key)))
-              .withColumn(f"{side}_prefix", name_prefix(F.col(f"{side}_all"), threshold)))
-    spread_on = [c for c in rows.columns if c != key]
-    joined = salted_join(rows, tokens, [key], spread_on=spread_on)
-    return joined.withColumn("__t", F.explode(f"{side}_prefix"))
+
+def _grams(q: int) -> Column:
+    """All runs of ``q`` characters of a name of at least so many, with their places."""
+    return F.transform(F.sequence(F.lit(1), F.length("name") - (q - 1)),
+                       lambda i: F.struct(F.substring(F.col("name"), i, F.lit(q)).alias("gram"), i.alias("pos")))
+
+
+def _postings(names: DataFrame, q: int, threshold: float, frequency: DataFrame) -> DataFrame:
+    """``name, length, band`` once per place of one of its rare q-grams: ``gram, pos``."""
+    length = F.length("name")
+    grams = names.filter(length >= q).select("name", F.explode(_grams(q)).alias("g"))
+    # A row holds the q-grams of one name.
+    ranked = (grams.select("name", "g.gram", "g.pos").join(frequency, "gram").groupBy("name")
+              .agg(F.sort_array(F.collect_list(F.struct("df", "gram", "pos"))).alias("all")))
+    prefix = F.slice("all", 1, F.greatest(F.size("all") - shared_at_least(length, q, threshold) + 1, F.lit(0)))
+    rare = F.array_distinct(F.transform(prefix, lambda g: g["gram"]))
+    # All places of a rare q-gram count: which of them matches is not known.
+    placed = (ranked.withColumn("rare", rare).select("name", F.explode(F.filter("all", lambda g: F.array_contains("rare", g["gram"]))).alias("g")))
+    return placed.select("name", length.alias("length"), _band(length, threshold).alias("band"), "g.gram", "g.pos")
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Distinct ``left_key, right_key`` of two tables of distinct names (``name``) that may reach the threshold.
+
+    No pair that reaches it is left out; equal and empty names are.
+    """
+    short = longest_short(threshold)
+    sides = [left.filter("name <> ''"), right.filter("name <> ''")]
+    length = F.length("name")
+    if short is None:
+        parts = [(1, sides, None)]
+    else:
+        near = [s.filter(length <= math.floor(short * reach(threshold) + SLACK)) for s in sides]
+        parts = [(2, [s.filter(length > short) for s in sides], None), (1, near, short)]
+    found = []
+    for q, (a, b), only in parts:
+        frequency = (a.unionByName(b).filter(F.length("name") >= q)
+                     .select(F.explode(F.array_distinct(F.transform(_grams(q), lambda g: g["gram"]))).alias("gram"))
+                     .groupBy("gram").agg(F.count("*").alias("df")))
+        probes = (_postings(a, q, threshold, frequency)
+                  .select("name", "length", "gram", "pos", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"))
+                  .withColumn("at", F.floor(F.col("pos") / _width(F.col("band"), threshold)))
+                  .select(F.col("name").alias("left_key"), F.col("length").alias("la"), "gram", "band", F.col("pos").alias("pa"),
+                          F.explode(F.array(*[F.col("at") + d for d in (-1, 0, 1)])).alias("bucket")))
+        index = (_postings(b, q, threshold, frequency)
+                 .select(F.col("name").alias("right_key"), F.col("length").alias("lb"), "gram", "band", F.col("pos").alias("pb"),
+                         F.floor(F.col("pos") / _width(F.col("band"), threshold)).alias("bucket")))
+        matched = F.ceil((F.col("la") + F.col("lb")) * (threshold / 2) - SLACK)
+        moved = F.col("pa") - F.col("pb")
+        fits = ((F.col("left_key") != F.col("right_key")) & (matched <= F.least("la", "lb"))
+                & (moved <= F.col("la") - matched) & (-moved <= F.col("lb") - matched))
+        if only is not None:
+            fits &= F.least("la", "lb") <= only
+        found.append(probes.join(index, ["gram", "band", "bucket"]).filter(fits).select("left_key", "right_key"))
+    return (found[0] if len(found) == 1 else found[0].unionByName(found[1])).distinct()
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """``left_key, right_key, ratio`` of all pairs of two tables of distinct names (``name``) that reach the threshold."""
+    scored = (candidate_pairs(left, right, threshold).withColumn("ratio", similarity_ratio("left_key", "right_key"))
+              .filter(F.col("ratio") >= threshold))
+    same = (left.filter("name <> ''").join(right, "name", "left_semi")
+            .select(F.col("name").alias("left_key"), F.col("name").alias("right_key"), F.lit(1.0).alias("ratio")))
+    return scored.unionByName(same)
 
 
 def similar_names(left: DataFrame, right: DataFrame, scope: Sequence[str], threshold: float) -> DataFrame:
     """Pairs (scope, left_key, right_key, ratio) with ratio >= ``threshold``.
 
-    Both inputs hold (scope, key) with distinct keys; equal keys pair without
-    being scored.
+    Both inputs hold (scope, key).  Names are matched over all scopes and scored once; the pairs then meet the scopes
+    that hold both names, by joins that are unique on one side.
     """
     a = left.select(*scope, F.col("key").alias("left_key")).distinct().filter(F.col("left_key") != "")
     b = right.select(*scope, F.col("key").alias("right_key")).distinct().filter(F.col("right_key") != "")
-    pa = _with_prefix(a, "left_key", "l", threshold)
-    pb = _with_prefix(b, "right_key", "r", threshold)
-    total = F.size("l_all") + F.size("r_all")
-    fits = F.least(F.size("l_all"), F.size("r_all")) * 2.0 >= total * threshold - 1e-9
-    # A pair is taken at the first token it shares, so it is seen once.
-    once = F.get(F.array_intersect("l_prefix", "r_prefix"), F.lit(0)) == F.col("__t")
-    enough = F.size(F.array_intersect("l_all", "r_all")) * 2.0 >= total * threshold - 1e-9
-    pairs = (pa.join(pb, [*scope, "__t"]).filter(fits & (F.col("left_key") != F.col("right_key")))
-             .filter(once & enough).select(*scope, "left_key", "right_key"))
-    # The same two names meet in many orders; they are scored once.
-    scored = (pairs.select("left_key", "right_key").distinct()
-              .withColumn("ratio", similarity_ratio("left_key", "right_key"))
-              .filter(F.col("ratio") >= threshold))
-    pairs = salted_join(pairs, scored, ["left_key", "right_key"], spread_on=list(scope)).select(
-        *scope, "left_key", "right_key", "ratio")
-    same = (a.join(b.withColumn("left_key", F.col("right_key")), [*scope, "left_key"])
-            .select(*scope, "left_key", "right_key", F.lit(1.0).alias("ratio")))
-    return pairs.unionByName(same)
+    # The index reads the names several times.
+    names = [stored(side.select(F.col(key).alias("name")).distinct(), "names") for side, key in ((a, "left_key"), (b, "right_key"))]
+    pairs = similar_pairs(*names, threshold)
+    return a.join(pairs, "left_key").join(b, [*scope, "right_key"]).select(*scope, "left_key", "right_key", "ratio")

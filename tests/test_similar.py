@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 import pytest
 
 from proofloom.operators import orders as O
-from proofloom.operators.similar import similar_names
+from proofloom.operators.similar import candidate_pairs, longest_short, similar_names
 from tests.conftest import rows
 
 WORDS = "data email secure phishing basics for the admin role module one two three cloud privacy".split()
@@ -28,6 +28,41 @@ def test_similar_names_against_all_pairs(spark, threshold):
     assert got == want and len(want) > 10
 
 
+def odd_names(seed, n=150):
+    r = random.Random(seed)
+    base = ["".join(r.choices("ab é0", k=r.randint(1, 9))) for _ in range(n)]
+    base += ["".join(r.choices("abcdefghij ", k=r.randint(20, 60))) for _ in range(n // 3)]
+    for b in list(base):
+        cut = list(b)
+        for _ in range(r.randint(0, 2)):
+            at = r.randrange(len(cut) + 1)
+            cut[at:at + r.randint(0, 1)] = r.choice(["", "x", "ab"])
+        base.append("".join(cut))
+    return sorted({*base, "a" * 300, "a" * 290 + "b"} - {""})
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.85, 1.0])
+def test_no_pair_is_lost(spark, threshold):
+    """Short, repetitive and long names: candidates hold every pair that reaches the threshold, and names of any length."""
+    left, right = odd_names(1), odd_names(2)
+    a, b = (spark.createDataFrame([(n,) for n in x], "name string") for x in (left, right))
+    got = {(r.left_key, r.right_key) for r in candidate_pairs(a, b, threshold).collect()}
+    assert {(x, y) for x in left for y in right if x != y and SequenceMatcher(None, x, y).ratio() >= threshold} <= got
+
+
+def test_few_pairs_are_scored(spark):
+    """At 0.85 the index leaves a small share of all pairs of names."""
+    r = random.Random(8)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(4, 9))) for _ in range(60)]
+    names_ = sorted({" ".join(r.choices(words, k=4)) for _ in range(600)})
+    a = spark.createDataFrame([(n,) for n in names_], "name string")
+    assert candidate_pairs(a, a, 0.85).count() < len(names_) ** 2 / 10
+
+
+def test_bounds_of_short_names():
+    assert longest_short(0.6) is None and longest_short(0.85) < longest_short(0.8) < longest_short(0.7)
+
+
 def test_renumber_against_brute_force(spark):
     r = random.Random(5)
     pool = names(3)
