@@ -20,9 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> tuple[dict, dict]:
     """All (queries, oracle SQL) of the catalogue modules."""
-    from . import campaigns, orders, packages, payloads, reading, sessions, sites, texts
+    from . import campaigns, orders, packages, payloads, reading, report, sessions, sites, texts
     queries, oracle = {}, {}
-    for module in (texts, campaigns, orders, sites, packages, payloads, sessions, reading):
+    for module in (texts, campaigns, orders, sites, packages, payloads, sessions, reading, report):
         queries.update(module.QUERIES)
         oracle.update(module.ORACLE)
     return queries, oracle

@@ -10,12 +10,14 @@ from . import table
 from .texts import LINES, TITLES, rows, titles
 from ..operators import access as A
 from ..operators import structure as S
+from ..operators.stored import stored
 
 
-def screens(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "n_chars", "text")
+def screens(spark, sf, told=None):
+    """A screen per document, of all or of those ``told``."""
+    d = (table(spark, sf, "documents") if told is None else told).select("doc_id", "n_chars", "text")
     course, scene = F.floor(F.col("doc_id") / 25), F.floor(F.col("doc_id") / 5) % 5 + 1
-    t = titles(spark, sf).select(F.col("doc_id").alias("base"), "title")
+    t = titles(spark, sf, told).select(F.col("doc_id").alias("base"), "title")
     base = d.select("doc_id", "n_chars", "text", course.alias("course_id"), scene.cast("int").alias("scene_number"),
                     (F.col("doc_id") % 5 + 1).cast("int").alias("slide_number"))
     odd = (F.col("scene_number") == 5) | ((F.col("scene_number") == 3) & (F.col("slide_number") == 1) & (F.col("course_id") % 3 == 1))
@@ -40,9 +42,9 @@ def screens(spark, sf):
         F.when(F.col("n_chars") % 4 == 0, 1).otherwise(0).alias("history_prev_buttons"))
 
 
-def menu_items(spark, sf):
+def menu_items(spark, sf, told=None):
     """A leaf, a folder of one and two folders of several, per course with a menu."""
-    s = screens(spark, sf).filter("is_in_menu")
+    s = (screens(spark, sf) if told is None else told).filter("is_in_menu")
     first = s.groupBy("course_id").agg(F.min("ord").alias("f"))
     course = F.col("course_id").cast("string")
 
@@ -87,9 +89,14 @@ def q_align(spark, sf):
     return S.align_paths(pathed(spark, sf)).select("course_id", "slide_id", "standard_slide_id", "kind")
 
 
+def _inventory(spark, sf, s):
+    """Inventory of the written screens ``s``; paths, menu and alignment all read those."""
+    p = stored(S.with_path(s), "pathed-screens")
+    return S.screen_inventory(p, menu_items(spark, sf, s), stored(S.align_paths(p), "aligned"))
+
+
 def q_inventory(spark, sf):
-    p = pathed(spark, sf)
-    return S.screen_inventory(p, menu_items(spark, sf), S.align_paths(p)).drop("ord")
+    return _inventory(spark, sf, stored(screens(spark, sf), "course-screens")).drop("ord")
 
 
 def q_predecessor(spark, sf):
@@ -106,8 +113,8 @@ def q_route(spark, sf):
     return S.forward_route(nodes)
 
 
-def objects(spark, sf):
-    r = rows(spark, sf)
+def objects(spark, sf, told=None):
+    r = rows(spark, sf) if told is None else told
     n = F.length("value")
     return r.select(
         F.floor(F.col("doc_id") / 25).alias("course_id"), F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("slide_id"),
@@ -253,23 +260,24 @@ def q_speed(spark, sf):
     return S.speed_control(packages(spark, sf), _overrides(spark, sf))
 
 
-def _findings(spark, sf):
-    prev = S.predecessor_check(screens(spark, sf))
-    labelled = screens(spark, sf).filter("history_prev_buttons > 0").select(
+def _findings(s):
+    prev = S.predecessor_check(s)
+    labelled = s.filter("history_prev_buttons > 0").select(
         "course_id", *S.finding("title", "warn", F.lit(None).cast("string"), F.lit(None).cast("string"),
                                 F.concat(F.lit("title is internal ("), S.screen_label(), F.lit(")"))))
     return prev.unionByName(labelled)
 
 
 def q_attach(spark, sf):
-    f = S.findings_to_screens(_findings(spark, sf), screens(spark, sf))
+    s = stored(screens(spark, sf), "course-screens")
+    f = S.findings_to_screens(_findings(s), s)
     return f.groupBy("course_id", "on_slide", "check_id").agg(F.count("*").alias("n"))
 
 
 def q_lookup(spark, sf):
-    p = pathed(spark, sf)
-    inv = S.screen_inventory(p, menu_items(spark, sf), S.align_paths(p))
-    f = _findings(spark, sf).filter("slide_id IS NOT NULL").select("course_id", "slide_id", "check_id")
+    s = stored(screens(spark, sf), "course-screens")
+    inv = _inventory(spark, sf, s)
+    f = _findings(s).filter("slide_id IS NOT NULL").select("course_id", "slide_id", "check_id")
     return S.screen_lookup(f, inv).groupBy("course_id", "screen_id", "path", "check_id").agg(F.count("*").alias("n"))
 
 

@@ -38,16 +38,17 @@ def docs(spark, sf):
     return table(spark, sf, "documents")
 
 
-def rows(spark, sf):
-    return C.text_rows(docs(spark, sf).select("doc_id", "lang", "source", "text"))
+def rows(spark, sf, told=None):
+    """Lines of all documents, or of those ``told``."""
+    return C.text_rows((docs(spark, sf) if told is None else told).select("doc_id", "lang", "source", "text"))
 
 
-def titles(spark, sf):
-    return C.first_title(rows(spark, sf), ["doc_id", "source"]).withColumnRenamed("value", "title")
+def titles(spark, sf, told=None):
+    return C.first_title(rows(spark, sf, told), ["doc_id", "source"]).withColumnRenamed("value", "title")
 
 
-def lexicon(spark, sf):
-    return L.lexicon_from_texts(docs(spark, sf), "lang", "doc_id", "text", 3)
+def lexicon(spark, sf, told=None):
+    return L.lexicon_from_texts(docs(spark, sf) if told is None else told, "lang", "doc_id", "text", 3)
 
 
 def q_duplicate_titles(spark, sf):

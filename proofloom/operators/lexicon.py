@@ -26,18 +26,21 @@ def lexicon_from_texts(texts: DataFrame, lang: str, doc: str, text: str,
             .filter(F.col("n_docs") >= min_docs))
 
 
-def candidate_words(screens: DataFrame, keep: Sequence[str], runs: str) -> DataFrame:
-    """Distinct words worth looking up on each screen.
+def candidate_array(runs: Column) -> Column:
+    """Distinct words of a screen worth looking up, from its text runs.
 
-    ``runs`` is an array of text runs.  All-caps words, words of 15 letters and
-    more, and words that vanish when the runs are joined without a space (the
+    All-caps words, words of 15 letters and more, and words that vanish when the runs are joined without a space (the
     tail of a split link) are left out.
     """
     spaced = T.words(F.array_join(runs, " "))
     tight = F.transform(T.words(F.array_join(runs, "")), F.lower)
     kept = F.filter(spaced, lambda w: (F.upper(w) != w) & (F.length(w) < 15))
-    both = F.array_intersect(F.array_distinct(F.transform(kept, F.lower)), tight)
-    return screens.select(*keep, F.explode(both).alias("word"))
+    return F.array_intersect(F.array_distinct(F.transform(kept, F.lower)), tight)
+
+
+def candidate_words(screens: DataFrame, keep: Sequence[str], runs: str) -> DataFrame:
+    """``candidate_array`` of each screen, one row per word."""
+    return screens.select(*keep, F.explode(candidate_array(F.col(runs))).alias("word"))
 
 
 def unknown_words(words: DataFrame, lexicon: DataFrame, ignore: DataFrame | None = None) -> DataFrame:
@@ -88,6 +91,16 @@ def untranslated(rows: DataFrame, keys: Sequence[str], lang: str, value: str,
             .filter(F.col("n_words") >= minimum))
 
 
+def unspaced_acronyms(words: DataFrame, lexicon: DataFrame, always_flag: DataFrame, ignore: DataFrame) -> DataFrame:
+    """Rows of ``words`` (one per ``word``) that should be letter-spaced; see ``acronym_report`` for the lists."""
+    flag = always_flag.select("word", F.lit(True).alias("__flag")).distinct()
+    skip = ignore.select("word", F.lit(True).alias("__skip")).distinct()
+    known = lexicon.select(F.upper("word").alias("word"), F.lit(True).alias("__known")).distinct()
+    return (words.join(flag, "word", "left").join(skip, "word", "left").join(known, "word", "left")
+            .filter(F.col("__flag").isNotNull() | (F.col("__skip").isNull() & F.col("__known").isNull()))
+            .drop("__flag", "__skip", "__known"))
+
+
 def acronym_report(screens: DataFrame, screen: str, text: str, lexicon: DataFrame,
                    always_flag: DataFrame, ignore: DataFrame, shown: int = 3) -> DataFrame:
     """All-caps words that should be letter-spaced.
@@ -99,12 +112,7 @@ def acronym_report(screens: DataFrame, screen: str, text: str, lexicon: DataFram
         T.all_caps_runs(F.col(text)))).alias("word"))
         .groupBy("word", screen).agg(F.lit(1).alias("__one")))
     counts = seen.groupBy("word").agg(F.count("*").alias("n_screens"))
-    flag = always_flag.select("word", F.lit(True).alias("__flag")).distinct()
-    skip = ignore.select("word", F.lit(True).alias("__skip")).distinct()
-    known = lexicon.select(F.upper("word").alias("word"), F.lit(True).alias("__known")).distinct()
-    kept = (counts.join(flag, "word", "left").join(skip, "word", "left").join(known, "word", "left")
-            .filter(F.col("__flag").isNotNull()
-                    | (F.col("__skip").isNull() & F.col("__known").isNull())))
+    kept = unspaced_acronyms(counts, lexicon, always_flag, ignore)
     where = (top_n_per_key(seen, ["word"], [F.col(screen)], shown).groupBy("word")
              .agg(F.array_join(F.sort_array(F.collect_list(screen)).cast("array<string>"), "; ")
                   .alias("first_screens")))
@@ -123,6 +131,12 @@ def suspicious_hyphen_pairs(rows: DataFrame, keep: Sequence[str], value: str, le
     are dictionary words (and there is at least one such part).
     """
     uses = rows.select(*keep, F.explode(T.hyphen_pairs(F.col(value))).alias("token"))
+    return suspicious_tokens(uses, lexicon, allowed, prefixes, suffixes)
+
+
+def suspicious_tokens(uses: DataFrame, lexicon: DataFrame, allowed: DataFrame, prefixes: Sequence[str],
+                      suffixes: Sequence[str]) -> DataFrame:
+    """Rows of ``uses`` whose hyphenated ``token`` is no ordinary compound; see ``suspicious_hyphen_pairs``."""
     tokens = uses.groupBy("token").agg(F.count("*").alias("n_uses"))
     parts = F.split("token", "-")
     tokens = (tokens.withColumn("__parts", parts)

@@ -100,12 +100,8 @@ def doubled_words(screens: DataFrame, keep: Sequence[str], text: str,
                     F.array_join("__hits", ", ").alias("words")))
 
 
-def spacing_findings(rows: DataFrame, keep: Sequence[str], value: str = "value",
-                     english: bool = True) -> DataFrame:
-    """Extra spaces, missing spaces after punctuation and (English only) spaced
-    em-dashes and hyphens used as dashes, one row per finding."""
-    c = F.col(value)
-
+def spacing_array(c: Column, english: bool = True) -> Column:
+    """All spacing findings of one text as an array of (kind, snippet)."""
     def found(kind: str, snippets: Column) -> Column:
         return F.transform(snippets, lambda s: F.struct(
             F.lit(kind).alias("kind"), F.trim(s).alias("snippet")))
@@ -119,7 +115,14 @@ def spacing_findings(rows: DataFrame, keep: Sequence[str], value: str = "value",
     if english:
         parts.append(found("spaced_em_dash", T.spaced_em_dashes(c)))
         parts.append(found("hyphen_as_dash", T.hyphens_as_dash(c)))
-    return (rows.select(*keep, F.explode(F.concat(*parts)).alias("__f"))
+    return F.concat(*parts)
+
+
+def spacing_findings(rows: DataFrame, keep: Sequence[str], value: str = "value",
+                     english: bool = True) -> DataFrame:
+    """Extra spaces, missing spaces after punctuation and (English only) spaced
+    em-dashes and hyphens used as dashes, one row per finding."""
+    return (rows.select(*keep, F.explode(spacing_array(F.col(value), english)).alias("__f"))
             .select(*keep, "__f.kind", "__f.snippet"))
 
 

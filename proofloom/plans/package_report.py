@@ -1,15 +1,45 @@
-"""All checks of course packages as one findings table."""
+"""All checks of course packages as one findings table.
+
+Every screen's text is read once: one pass emits its own findings as an array, a second array holds what only several
+screens together can tell (paragraphs, words, acronyms, hyphenated pairs).  Both are written, so no check reads the base
+tables or runs a pattern over a text again.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import access as A
+from ..operators import lexicon as L
+from ..operators import sites
 from ..operators import structure as S
 from ..operators import text_checks as C
+from ..operators.stored import stored
 
 FINDING = ["course_id", "check_id", "level", "slide_id", "message"]
+LEAST_PARAGRAPH = 40
+SCREEN = ["course_id", "slide_id"]
+
+
+@dataclass
+class Vocabulary:
+    """Word lists of the language checks: a ``lexicon`` (lang, word), tables of one ``word`` column, terms and affixes."""
+
+    lexicon: DataFrame
+    always_spaced: DataFrame
+    never_spaced: DataFrame
+    ignored: DataFrame | None = None
+    allowed_pairs: DataFrame | None = None
+    terms: dict[str, Sequence[str]] = field(default_factory=dict)
+    prefixes: Sequence[str] = ()
+    suffixes: Sequence[str] = ()
+    adjacent_only: Sequence[str] = ()
+    may_double: Sequence[str] = ()
 
 
 def _rows(df: DataFrame, check: str, level, message, slide="slide_id") -> DataFrame:
@@ -19,19 +49,61 @@ def _rows(df: DataFrame, check: str, level, message, slide="slide_id") -> DataFr
                      message.cast("string").alias("message"))
 
 
+def _words(words: Sequence[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words]).cast("array<string>")
+
+
+def screen_texts(rows: DataFrame) -> DataFrame:
+    """One row per screen: its text runs in order and their join by line breaks.  A screen's runs come from one payload."""
+    runs = F.transform(F.sort_array(F.collect_list(F.struct("ord", "value"))), lambda s: s["value"])
+    return rows.groupBy(*SCREEN).agg(runs.alias("runs")).withColumn("text", F.array_join("runs", "\n"))
+
+
+def screen_pass(texts: DataFrame, english: bool, adjacent_only: Sequence[str] = (), may_double: Sequence[str] = ()) -> DataFrame:
+    """Findings and marks of every screen, from one reading of its text: ``course_id, slide_id, kind, key``.
+
+    Kinds ``doubled_words`` and ``spacing`` are findings; ``paragraph``, ``word``, ``acronym`` and ``pair`` wait for other
+    screens or word lists.
+    """
+    def told(kind: str, keys: Column) -> Column:
+        return F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+
+    runs = F.col("runs")
+    doubled = T.doubled_words(F.array_join(runs, " "), _words(adjacent_only), _words(may_double))
+    spacing = F.flatten(F.transform(runs, lambda r: F.transform(C.spacing_array(r, english), lambda f: f["kind"])))
+    kinds = [
+        told("doubled_words", F.when(F.size(doubled) > 0, F.array(F.array_join(doubled, ", "))).otherwise(_words(()))),
+        told("spacing", spacing),
+        told("paragraph", F.filter(runs, lambda r: F.length(r) >= LEAST_PARAGRAPH)),
+        told("acronym", F.array_distinct(F.flatten(F.transform(runs, T.all_caps_runs)))),
+    ]
+    if english:
+        kinds += [told("word", L.candidate_array(runs)), told("pair", F.flatten(F.transform(runs, T.hyphen_pairs)))]
+    return texts.select(*SCREEN, F.explode(F.concat(*kinds)).alias("m")).select(*SCREEN, "m.kind", "m.key")
+
+
 def run_all_checks(packages: DataFrame, overrides: DataFrame, screens: DataFrame, rows: DataFrame, objects: DataFrame,
-                   questions: DataFrame, english: bool = True, dual_path: bool = False) -> DataFrame:
+                   questions: DataFrame, english: bool = True, dual_path: bool = False, menu: DataFrame | None = None,
+                   vocabulary: Vocabulary | None = None) -> DataFrame:
     """Union of every check's findings.
 
-    ``english`` off leaves the dash checks out.  ``dual_path`` lets titles and
-    paragraphs appear twice and adds the screen-reader checks: on the
-    accessible path, or on the whole course (with one failure) where a course
-    has none.
+    ``english`` courses have their terms, spelling, hyphenated pairs and dashes checked; others (``rows`` with a column
+    ``lang``) are searched for untranslated English instead.  ``dual_path`` lets titles and paragraphs appear twice and adds
+    the screen-reader checks: on the accessible path, or on the whole course (with one failure) where a course has none.
+    ``menu`` (course_id, slide_id, display) is compared with the screens' titles.  Checks that need word lists are left out
+    without a ``vocabulary``.
     """
     limit = 2 if dual_path else 1
-    text = rows.select("course_id", "slide_id", "value")
-    joined = rows.groupBy("course_id", "slide_id").agg(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("ord", "value"))), lambda s: s["value"]), "\n").alias("text"))
+    words = vocabulary
+    screens = stored(screens, "screens")
+    rows = stored(rows.select(*[c for c in ("course_id", "slide_id", "ord", "lang", "value") if c in rows.columns]), "screen-rows")
+    texts = stored(screen_texts(rows), "screen-texts")
+    marks = stored(screen_pass(texts, english, words.adjacent_only if words else (), words.may_double if words else ()), "screen-marks")
+
+    def marked(kind: str, key: str) -> DataFrame:
+        return marks.filter(F.col("kind") == kind).select(*SCREEN, F.col("key").alias(key))
+
+    local = marks.filter(F.col("kind").isin("doubled_words", "spacing"))
     parts = [
         _rows(S.course_overview(screens), "overview", "info", F.col("seat_minutes"), None),
         _rows(S.path_topology(S.with_path(screens)), "paths", F.when(F.col("topology") == "none", "warn").otherwise("info"),
@@ -42,27 +114,53 @@ def run_all_checks(packages: DataFrame, overrides: DataFrame, screens: DataFrame
         _rows(S.option_order(questions).filter("NOT is_survey AND needs_check"), "option_order", "warn", F.col("question_id")),
         _rows(C.duplicate_titles(screens, ["course_id", "scene_id"], "slide_id", "slide_title", limit), "duplicate_title", "warn",
               F.col("n_screens"), None),
-        _rows(C.duplicate_paragraphs(text, ["course_id"], "slide_id", "value", limit), "duplicate_paragraph", "warn", F.col("n_screens"), "first_screen"),
-        _rows(C.doubled_words(joined, ["course_id", "slide_id"], "text"), "doubled_words", "warn", F.col("words")),
-        _rows(C.spacing_findings(text, ["course_id", "slide_id"], english=english), "spacing", "warn", F.col("kind")),
+        _rows(C.duplicate_paragraphs(marked("paragraph", "value"), ["course_id"], "slide_id", "value", limit, LEAST_PARAGRAPH),
+              "duplicate_paragraph", "warn", F.col("n_screens"), "first_screen"),
+        local.select("course_id", F.col("kind").alias("check_id"), F.lit("warn").alias("level"), "slide_id", F.col("key").alias("message")),
         _rows(S.predecessor_check(screens).withColumnRenamed("check_id", "__c"), "previous_button", F.col("level"), F.col("message")),
     ]
+    if menu is not None:
+        shown = menu.select(*SCREEN, "display").join(screens.select(*SCREEN, "slide_title"), SCREEN)
+        parts.append(_rows(sites.menu_vs_screen(shown, SCREEN, "display", "slide_title"), "menu_mismatch", "warn", F.col("display")))
+    if words and english:
+        mixed = C.term_consistency(texts, ["course_id"], "slide_id", "text", words.terms)
+        forms = mixed.groupBy("course_id", "term").agg(F.array_join(F.sort_array(F.collect_list("form")), ", ").alias("forms"))
+        parts.append(_rows(forms, "terminology", "warn", F.concat_ws(": ", "term", "forms"), None))
+        unknown = L.unknown_words(marked("word", "word"), words.lexicon, words.ignored)
+        parts.append(_rows(_per_course(unknown, "word"), "spelling", "warn", F.col("word")))
+        allowed = words.allowed_pairs if words.allowed_pairs is not None else words.lexicon.select("word").limit(0)
+        pairs = L.suspicious_tokens(marked("pair", "token"), words.lexicon, allowed, words.prefixes, words.suffixes)
+        parts.append(_rows(_per_course(pairs, "token"), "hyphen_pair", "warn", F.col("token")))
+    elif words and "lang" in rows.columns:
+        foreign = L.untranslated(rows, [*SCREEN, "ord"], "lang", "value", words.lexicon)
+        parts.append(_rows(foreign, "untranslated", "warn", F.col("first_word")))
     if dual_path:
         alternate = S.alternate_scenes(screens).select("course_id", "scene_id")
         has = alternate.select("course_id").distinct()
         without = screens.select("course_id").distinct().join(has, "course_id", "left_anti")
         parts.append(_rows(without, "accessible_path", "fail", F.lit("dual path, but no accessible path found"), None))
-        scope = (screens.join(alternate, ["course_id", "scene_id"], "left_semi").select("course_id", "slide_id")
-                 .unionByName(screens.join(without, "course_id", "left_semi").select("course_id", "slide_id")))
-        inside = objects.join(scope, ["course_id", "slide_id"], "left_semi")
+        scope = stored(screens.join(alternate, ["course_id", "scene_id"], "left_semi").select(*SCREEN)
+                       .unionByName(screens.join(without, "course_id", "left_semi").select(*SCREEN)), "checked-screens")
+        inside = stored(objects.join(scope, SCREEN, "left_semi"), "checked-objects")
+        radio = S.radio_without_guidance(questions.join(scope, SCREEN, "left_semi"), texts.select(*SCREEN, F.col("runs").alias("texts")))
         parts += [
             _rows(A.tab_findings(inside), "tab_order", F.col("level"), F.col("what")),
             _rows(A.tab_duplicates(inside), "tab_duplicates", "warn", F.col("tab_index")),
             _rows(A.reading_order(inside), "reading_order", "warn", F.col("direction")),
-            _rows(A.title_check(screens.join(scope, ["course_id", "slide_id"], "left_semi"), A.screen_title_guess(inside))
+            _rows(A.title_check(screens.join(scope, SCREEN, "left_semi"), A.screen_title_guess(inside))
                   .filter("internal OR mismatch"), "titles", "warn", F.when(F.col("internal"), "internal").otherwise("mismatch")),
+            _rows(radio, "radio_guidance", "warn", F.col("n_questions")),
         ]
+        if words:
+            capitals = _per_course(marked("acronym", "word").join(scope, SCREEN, "left_semi"), "word")
+            named = L.unspaced_acronyms(capitals.select("word").distinct(), words.lexicon, words.always_spaced, words.never_spaced)
+            parts.append(_rows(capitals.join(named, "word"), "acronym", "warn", T.letter_spaced(F.col("word"))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def _per_course(uses: DataFrame, key: str) -> DataFrame:
+    """One row per course and ``key``, with the first screen that uses it."""
+    return uses.groupBy("course_id", key).agg(F.min("slide_id").alias("slide_id"))
