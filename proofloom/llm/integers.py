@@ -18,6 +18,11 @@ def fits_double(a: np.ndarray, b: np.ndarray) -> bool:
     return _longest(a) * _longest(b) < 2.0 ** 52
 
 
+def fits_long(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether all products of rows, and all their partial sums, are longs."""
+    return _longest(a) * _longest(b) < 2.0 ** 62
+
+
 def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All products of the rows of ``a`` and ``b`` (long): as doubles or longs where these are exact, else Python integers.
 

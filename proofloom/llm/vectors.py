@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep
+from .integers import clamped, fits_long
 
-QUERY_BLOCK, CANDIDATE_BLOCK, SUB_BLOCK = 4096, 8192, 1024
+QUERY_BLOCK, CANDIDATE_BLOCK, SUB_BLOCK, QUERY_STEP = 4096, 8192, 1024, 64
 Heaps = list[list[tuple]]
 
 
@@ -64,7 +65,8 @@ def _search(rows: DataFrame, query: Column, k: int, tile: Callable, kind: str) -
             heaps = [heapq.nsmallest(k, ((0, x) for x in ci.tolist() if x != i)) for i in qi.tolist()]
         return pa.table({"query_id": pa.array([i for i, h in zip(qi.tolist(), heaps) for _ in h], pa.int64()),
                          "vec_id": pa.array([x for h in heaps for _, x in h], pa.int64()),
-                         "score": pa.array([-s for h in heaps for s, _ in h], pa.int64() if kind == "long" else pa.float64())})
+                         "score": pa.array([clamped(-s) if kind == "long" else -s for h in heaps for s, _ in h],
+                                           pa.int64() if kind == "long" else pa.float64())})
 
     met = both.groupBy("dim", "qb", "cb").applyInArrow(run, f"query_id long, vec_id long, score {kind}").distinct()
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
@@ -143,26 +145,51 @@ def segment_levels(x: np.ndarray) -> list[np.ndarray]:
     return levels
 
 
-def segment_tile(qi: np.ndarray, q: np.ndarray, ci: np.ndarray, c: np.ndarray, heaps: Heaps, k: int) -> None:
-    """A lower bound of the squared distance gives an upper bound of the product: 2<x,y> = |x|^2 + |y|^2 - d^2."""
-    ql, cl = segment_levels(q.astype(np.float64)), segment_levels(c.astype(np.float64))
-    q2, c2 = (q * q).sum(axis=1).astype(np.float64), (c * c).sum(axis=1).astype(np.float64)
-    for i in range(len(qi)):
-        slack = 1e-6 + 1e-9 * np.sqrt(q2[i] * c2)
+def _pair_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row-wise products of whole numbers: as longs where no sum can leave one, else as Python integers."""
+    if fits_long(a, b):
+        return np.einsum("ij,ij->i", a, b)
+    return (a.astype(object) * b.astype(object)).sum(axis=1)
 
-        def bound(level: int, to: np.ndarray) -> np.ndarray:
-            d2 = ((cl[level][to] - ql[level][i]) ** 2).sum(axis=1)
-            return (q2[i] + c2[to] - d2) / 2 + slack[to] + 1e-9 * (q2[i] + c2[to])
 
-        to = np.flatnonzero(ci != qi[i])
-        if len(to) > k:  # some likely ones first, for a floor to measure the others against
-            first = to[np.argpartition(-bound(min(2, len(ql) - 1), to), k - 1)[:k]]
-            floor = np.partition(c[first] @ q[i], 0)[0]
-            if len(heaps[i]) == k:
-                floor = max(floor, -heaps[i][-1][0])
-            for level in range(len(ql)):
-                to = to[bound(level, to) >= floor]
-        _push(heaps, k, np.full(len(to), i), ci[to], c[to] @ q[i])
+def segment_tile(qi: np.ndarray, q: np.ndarray, ci: np.ndarray, c: np.ndarray, heaps: Heaps, k: int) -> None:
+    """A lower bound of the squared distance gives an upper bound of the product: 2<x,y> = |x|^2 + |y|^2 - d^2.
+
+    A few queries at a time meet all candidates; a level's distances are one matrix product.  Levels end when one rules
+    out less than a tenth, and what is left is multiplied exactly.
+    """
+    ql, cl = segment_levels(q.astype(np.float64)), segment_levels(c.astype(np.float64))
+    q2, c2 = (q.astype(np.float64) ** 2).sum(axis=1), (c.astype(np.float64) ** 2).sum(axis=1)
+    for s in range(0, len(qi), QUERY_STEP):
+        own = slice(s, s + QUERY_STEP)
+        both = q2[own, None] + c2[None, :]
+        slack = 1e-6 + 2e-9 * both
+
+        def bound(level: int) -> np.ndarray:
+            x, y = ql[level][own], cl[level]
+            d2 = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * (x @ y.T)
+            return np.where(other, (both - d2) / 2 + slack, -np.inf)
+
+        other = qi[own, None] != ci[None, :]
+        floor = np.array([-heaps[i][-1][0] if len(heaps[i]) == k else -np.inf for i in range(s, s + len(other))], np.float64)
+        if len(ci) > k:  # some likely ones first, for a floor to measure the others against
+            likely = np.argpartition(-bound(min(2, len(ql) - 1)), k, axis=1)[:, :k + 1]
+            at = np.repeat(np.arange(len(other)), likely.shape[1])
+            sure = _pair_products(q[own][at], c[likely.ravel()]).astype(np.float64).reshape(likely.shape)
+            sure = np.where(np.take_along_axis(other, likely, axis=1), sure, -np.inf)
+            floor = np.maximum(floor, np.sort(sure, axis=1)[:, -k])
+        left = other
+        for level in range(len(ql)):
+            before = np.count_nonzero(left)
+            left = left & (bound(level) >= floor[:, None])
+            if level >= 2 and np.count_nonzero(left) > 0.9 * before:
+                break
+        at, to = np.nonzero(left)
+        for p in range(0, len(at), 1 << 16):
+            i, j = at[p:p + (1 << 16)], to[p:p + (1 << 16)]
+            scores = _pair_products(q[own][i], c[j])
+            fits = scores.astype(np.float64) >= floor[i]  # rounding keeps order
+            _push(heaps, k, s + i[fits], ci[j[fits]], scores[fits])
 
 
 def nearest_by_tiles(rows: DataFrame, query: Column, k: int = 20, vec_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
@@ -180,12 +207,9 @@ def top_by_segments(rows: DataFrame, query: Column, k: int = 5, factor: int = 25
                     vec: str = "embedding") -> DataFrame:
     """The k rows of largest integer inner product of ``floor(factor * x)``, exactly.
 
-    Same columns and rules as ``nearest_by_tiles``, but zero vectors take part.  Components of 2**26 and more after
-    scaling raise an error, since sums of their products could leave a long.
+    Same columns and rules as ``nearest_by_tiles``, but zero vectors take part.  Components and scores beyond a long end
+    at its limits; products are exact whatever their size.
     """
-    def scaled(v):
-        n = F.floor(v.cast("double") * factor)
-        return F.when(F.abs(n) < 2 ** 26, n).otherwise(F.raise_error(F.lit("a scaled component is 2**26 or more")).cast("long"))
-
-    told = usable(rows, vec, False).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(vec, scaled).alias("v"))
+    told = usable(rows, vec, False).select(F.col(vec_id).cast("long").alias("vec_id"),
+                                           F.transform(vec, lambda x: F.floor(x.cast("double") * factor)).alias("v"))
     return _search(told, query, k, segment_tile, "long")
