@@ -9,21 +9,17 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stored import shared_folder
+
 # White space that ends a word, and its complement.
 WORD = r"[^\x20\x09-\x0D]+"
+BLANK = re.compile(r"[\x20\x09-\x0D]")
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, else the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    return re.sub(r"^(file:)?/(?!/)", "file:///", folder)
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -57,12 +53,12 @@ def lower_words(text: str | None) -> list[bytes]:
 
 
 def pieces(text: str, size: int = 1 << 20) -> Iterator[str]:
-    """A long text in parts of about ``size`` characters, cut before white space only."""
+    """A long text in parts of about ``size`` characters, cut before the white space that ends a word only."""
     start = 0
     while len(text) - start > size:
-        end = start + size
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        yield text[start:end]
-        start = end
+        end = BLANK.search(text, start + size)
+        if not end:
+            break
+        yield text[start:end.start()]
+        start = end.start()
     yield text[start:]

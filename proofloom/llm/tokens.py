@@ -47,6 +47,8 @@ class _Words(dict):
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
+    A special token's string in a text is that token, as the library has it.
+
     The pre-tokenizer starts a token at every single blank between two visible characters, so a
     text may be cut there.  Words recur, so the ids of a blank and a word are remembered.  Texts with
     other runs of white space are cut by a pattern instead and encoded without the memo.
@@ -56,7 +58,6 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.words = _Words(self.tokenizer)
 

@@ -12,7 +12,8 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from proofloom.llm import alignment, catalog, hard_negatives, integers, quality, toxicity
+from proofloom.llm import alignment, catalog, hard_negatives, integers, ngram_join, packing, quality, tokenfiles, tokens, toxicity, vectors
+from proofloom.llm.common import new_path, pieces
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -251,3 +252,45 @@ def test_gallop():
         low, value = r.randint(0, len(ends)), r.randint(0, 500)
         want = next((i for i in range(low, len(ends)) if ends[i] >= value), len(ends))
         assert alignment.gallop(ends, value, low) == want
+
+
+@pytest.mark.parametrize("scale", [1.0, 2.0 ** 14, 2.0 ** 21, 2.0 ** 23])
+def test_top_beyond_a_double(spark, scale):
+    """Products of any size: components of 1e6 and more, whose sums need longs or whole numbers beyond."""
+    rows = [(i, [x * scale for x in v]) for i, v, _ in some_vectors(150)] + [(200, [0.0] * 6), (210, [0.0] * 6)]
+    told = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows]
+    want = Counter()
+    for a, v in told:
+        if a % 50 == 0:
+            near = sorted((-sum(p * q for p, q in zip(v, w)), i) for i, w in told if i != a)[:5]
+            want += Counter((a, r, i, max(-2 ** 63, min(2 ** 63 - 1, -s))) for r, (s, i) in enumerate(near, 1))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert Counter(map(tuple, vectors.top_by_segments(df, F.col("vec_id") % 50 == 0).collect())) == want
+
+
+@pytest.mark.parametrize("blank", ["\u00a0", "\u3000", "\u0085", "\x1c", "\u2028"])
+def test_long_texts_are_cut_at_word_ends_only(blank):
+    """Three million characters whose borders fall on signs that look blank but end no word."""
+    text = f"one{blank}two three\t" * 300_000
+    for size in (1 << 20, 1000, 1003, 1004, 1005, 1006):
+        assert [w for p in pieces(text, size) for w in p.encode().lower().split()] == text.encode().lower().split()
+    assert "".join(pieces(text)) == text and list(pieces("x" * 3000, 1000)) == ["x" * 3000]
+
+
+def test_long_text_in_the_join(spark):
+    text = "one\u00a0two three " * 120_000
+    docs = spark.createDataFrame([(1, text), (2, text + "end"), (3, "one")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_groups(docs, 3, 90).collect()}
+    assert got[1][0] == 2 and got[3] == (1, 3)
+
+
+def test_special_tokens_are_read_as_the_library_reads_them(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y  z\n<|endoftext|> ", "plain words only"]
+    plain = Tokenizer.from_file(BPE)
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(tokens.encoder(BPE).encode(t), "<u4").tolist() for t in texts] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder = new_path(spark, "tokens")
+    read = tokenfiles.read_tokens(tokenfiles.write_tokens(docs, folder, BPE), folder).collect()
+    assert {r.doc_id: r.n_tokens for r in read} == {i: len(w) + 1 for i, w in enumerate(want)}
+    assert {r.doc_id: r.doc_tokens for r in packing.pack(docs, BPE).collect()} == {i: len(w) + 1 for i, w in enumerate(want)}
