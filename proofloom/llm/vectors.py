@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep
-from .integers import clamped, fits_long
+from .integers import clamped, exact_products, fits_long
 
 QUERY_BLOCK, CANDIDATE_BLOCK, SUB_BLOCK, QUERY_STEP = 4096, 8192, 1024, 64
 Heaps = list[list[tuple]]
@@ -184,12 +184,11 @@ def segment_tile(qi: np.ndarray, q: np.ndarray, ci: np.ndarray, c: np.ndarray, h
             left = left & (bound(level) >= floor[:, None])
             if level >= 2 and np.count_nonzero(left) > 0.9 * before:
                 break
-        at, to = np.nonzero(left)
-        for p in range(0, len(at), 1 << 16):
-            i, j = at[p:p + (1 << 16)], to[p:p + (1 << 16)]
-            scores = _pair_products(q[own][i], c[j])
-            fits = scores.astype(np.float64) >= floor[i]  # rounding keeps order
-            _push(heaps, k, s + i[fits], ci[j[fits]], scores[fits])
+        # Columns that any of these queries keeps are multiplied together; of the products only survivors' count.
+        some = np.flatnonzero(left.any(axis=0))
+        scores = exact_products(q[own], c[some])
+        at, to = np.nonzero(left[:, some] & (scores.astype(np.float64) >= floor[:, None]))  # rounding keeps order
+        _push(heaps, k, s + at, ci[some[to]], scores[at, to])
 
 
 def nearest_by_tiles(rows: DataFrame, query: Column, k: int = 20, vec_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
