@@ -11,10 +11,12 @@ from __future__ import annotations
 import re
 from json import loads
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stored import stored
+
 # Event and action kinds, group names and id shapes of the payloads.
 CLICKS = ("onrelease", "onclick", "onpress", "ontouchend")
 ADVANCES = ("gotoplay", "nextslide", "next_slide", "jumpto")
@@ -131,29 +133,32 @@ def actions(slides: DataFrame, *keys: str, json: str = "payload") -> DataFrame:
     """All actions, events and compares of screens' payloads as flat rows; ``pos``
     numbers those of a payload in document order.
 
-    Reading any key of any object at any depth is the one walk that folds over
-    VARIANT do too slowly (each level copies every map), so a small function
-    walks the parsed text, one Arrow batch at a time; nothing else in this
-    module leaves the JVM.  A payload that does not parse has no rows.
+    The table is written once and every consumer reads it, so a payload is walked
+    once whatever is asked of it.  The walk is over the parsed text, not over a
+    VARIANT: that sorts an object's fields by name, and which of two jumps wins
+    depends on their order in the text.  A payload that does not parse has no rows.
     """
     names = [c.split()[0] for c in ACTION.split(", ")]
-    fields = slides.select(*keys, json).schema
-    key_ddl = ", ".join(f"{k} {fields[k].dataType.simpleString()}" for k in keys)
+    told = slides.select(*keys, json)
+    key_ddl = ", ".join(f"{k} {told.schema[k].dataType.simpleString()}" for k in keys)
+    kinds = [{"boolean": pa.bool_(), "int": pa.int32()}.get(c.split()[1], pa.string()) for c in ACTION.split(", ")]
 
     def rows(batches):
         for batch in batches:
-            out = []
-            for values in zip(*[batch[k] for k in keys], batch[json]):
+            at, out = [], []
+            for i, payload in enumerate(batch.column(len(keys)).to_pylist()):
                 found: list = []
                 try:
-                    _action_rows(loads(values[-1]), "", {"cond": False}, found)
+                    _action_rows(loads(payload), "", {"cond": False}, found)
                 except (TypeError, ValueError):
                     continue
-                for r in found:
-                    out.append((*values[:-1], *[r.get(n) for n in names]))
-            yield pd.DataFrame(out, columns=[*keys, *names]).astype({"cond": "boolean", "is_base": "boolean", "hide_others": "boolean"})
+                at += [i] * len(found)
+                out += found
+            own = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(len(keys))]
+            told = [pa.array([r.get(n) for r in out], kind) for n, kind in zip(names, kinds)]
+            yield pa.RecordBatch.from_arrays([*own, *told], [*keys, *names])
 
-    return slides.select(*keys, json).mapInPandas(rows, f"{key_ddl}, {ACTION}")
+    return stored(told.mapInArrow(rows, f"{key_ddl}, {ACTION}"), "actions")
 
 
 # -- texts, objects, menus --------------------------------------------------------
