@@ -13,6 +13,7 @@ from . import table
 from ..functions import orders as OF
 from ..functions import text as T
 from ..operators import orders as O
+from ..operators.stored import stored
 from ..sources import pasted
 
 DOMAIN = "portal.example.com"
@@ -83,7 +84,8 @@ def q_removal_plan(spark, sf):
     named = q_named_numbers(spark, sf).filter("verdict = 'suggest'")
     choice = (table(spark, sf, "supplier").filter("s_acctbal < 1000")
               .select(F.col("s_suppkey").alias("order_id"), (F.col("s_acctbal") < 0).alias("keep_existing")))
-    notes = _notes(spark, sf).filter((F.col("kind") == "archive_remove") | (F.col("order_id") > 10))
+    settled = table(spark, sf, "supplier").filter("s_acctbal >= 5000").select(F.col("s_suppkey").alias("order_id"), F.lit("upgrade").alias("kind"))
+    notes = _notes(spark, sf).join(settled, ["order_id", "kind"], "left_anti")
     return O.removal_plan(_items(spark, sf, False), _items(spark, sf, True), notes, named, choice)
 
 
@@ -206,8 +208,7 @@ def q_date_conflict(spark, sf):
 
 
 def q_order_type(spark, sf):
-    choice = _orders(spark, sf).filter("p = '1'").select("order_id", F.lit(O.NEW_ACCOUNT).alias("order_type"))
-    return O.order_type(_documents(spark, sf), choice)
+    return O.order_type(_documents(spark, sf), _type_choice(spark, sf))
 
 
 def _cells(spark, sf):
@@ -300,40 +301,60 @@ def q_sku_pick(spark, sf):
     return O.sku_pick(_skus(spark, sf), O.SSO_SKU)
 
 
-def _hosts(spark, sf):
-    facts = O.document_facts(_documents(spark, sf))
-    urls = facts.filter("label = 'OD URL'").select("order_id", F.col("value").alias("od_url"))
-    mail = pasted.read_label_value(_mails(spark, sf)).filter("key = 'portal_url'").select(
-        "order_id", OF.portal_host(F.col("value"), DOMAIN).alias("portal_url"))
+def _read(spark, sf):
+    """What the orders' papers say, each read once and written: documents with their cues, mails and SKU lines."""
+    docs = _documents(spark, sf)
+    return {"documents": docs, "cues": stored(O.document_cues(docs), "cues"), "facts": stored(O.document_facts(docs), "document-facts"),
+            "mail": stored(q_label_value(spark, sf), "mail"), "skus": stored(_skus(spark, sf), "skus")}
+
+
+def _type_choice(spark, sf):
+    return _orders(spark, sf).filter("p = '1'").select("order_id", F.lit(O.NEW_ACCOUNT).alias("order_type"))
+
+
+def _hosts(spark, sf, read):
+    urls = read["facts"].filter("label = 'OD URL'").select("order_id", F.col("value").alias("od_url"))
+    mail = read["mail"].filter("key = 'portal_url'").select("order_id", OF.portal_host(F.col("value"), DOMAIN).alias("portal_url"))
     orders = _orders(spark, sf).select("order_id").join(mail, "order_id", "left").withColumn(
         "portal_url", F.when(F.col("order_id") % 3 == 0, F.col("portal_url")))
     choice = _orders(spark, sf).filter("p = '2' AND st = 'O'").select("order_id", F.lit(O.SELF_HOSTED).alias("hosting"))
-    return O.hosting(orders, _skus(spark, sf), _documents(spark, sf), urls, choice)
+    return O.hosting(orders, read["skus"], read["documents"], urls, choice, read["cues"])
 
 
 def q_hosting(spark, sf):
-    return _hosts(spark, sf)
+    return _hosts(spark, sf, _read(spark, sf))
 
 
 def q_facts(spark, sf):
-    return O.order_facts(_documents(spark, sf), q_label_value(spark, sf), q_order_type(spark, sf), _hosts(spark, sf))
+    read = _read(spark, sf)
+    types = O.order_type(read["documents"], _type_choice(spark, sf), read["cues"])
+    return O.order_facts(read["documents"], read["mail"], types, _hosts(spark, sf, read), read["facts"])
 
 
 def q_warnings(spark, sf):
-    mail, docs = q_label_value(spark, sf), _documents(spark, sf)
+    mail, docs = stored(q_label_value(spark, sf), "mail"), _documents(spark, sf)
     return O.order_warnings(_orders(spark, sf), mail, docs, O.document_facts(docs), FIELDS, DOMAIN)
 
 
+def q_record(spark, sf):
+    """What mail and documents of an order together say."""
+    docs = _documents(spark, sf)
+    record = O.order_record(_orders(spark, sf), q_label_value(spark, sf), O.document_facts(docs), O.document_cues(docs), DOMAIN)
+    return record.withColumn("bought_sources", F.array_join("bought_sources", ", "))
+
+
 def q_tasks(spark, sf):
     """Work lists from the facts of every order."""
-    o = _orders(spark, sf).select("order_id", "users", "p", "st", "o_custkey")
+    read = _read(spark, sf)
+    o = _orders(spark, sf).select("order_id", "users", "p", "st", "cust", "o_custkey")
     dates = q_date_conflict(spark, sf).select("order_id", F.col("date").alias("exp_date"))
-    types = q_order_type(spark, sf).select("order_id", "order_type")
-    hosts = _hosts(spark, sf).select("order_id", "hosting")
-    sso = O.sku_pick(_skus(spark, sf), O.SSO_SKU).select(
+    types = O.order_type(read["documents"], _type_choice(spark, sf), read["cues"]).select("order_id", "order_type")
+    hosts = _hosts(spark, sf, read).select("order_id", "hosting")
+    sso = O.sku_pick(read["skus"], O.SSO_SKU).select(
         "order_id", F.col("sku").alias("sso_sku"), F.col("in_place").alias("sso_in_place"), F.col("bought").alias("sso_bought"))
     wide = (o.join(dates, "order_id", "left").join(types, "order_id", "left").join(hosts, "order_id", "left")
             .join(sso, "order_id", "left"))
+    numbers = F.transform(F.sequence(F.lit(1), F.col("o_custkey") % 3), lambda i: (F.col("o_custkey") + 1000 + i).cast("string"))
     wide = wide.select(
         "order_id", "hosting", "order_type", "exp_date", F.when(F.col("st") != "F", F.col("users")).alias("sow_users"),
         (F.col("users") + (F.col("p") == "1").cast("int")).alias("portal_users"), (F.col("o_custkey") % 3).alias("n_add"),
@@ -342,8 +363,12 @@ def q_tasks(spark, sf):
         F.lit(None).cast("string").alias("scorm_sku"), F.lit(None).cast("boolean").alias("scorm_bought"),
         F.when(F.col("st") != "O", "SRV-CUS").alias("custom_sku"), F.lit(True).alias("custom_bought"),
         F.when(F.col("st") != "F", "PH-SAAS-PB").alias("phishing_sku"), F.lit(False).alias("phishing_bought"),
-        F.lit(True).alias("phishing_box"), (F.col("p") == "4").alias("firewall"), (F.col("p") == "3").alias("comms_toolbox"))
-    return O.order_tasks(wide)
+        F.lit(True).alias("phishing_box"), (F.col("p") == "4").alias("firewall"), (F.col("p") == "3").alias("comms_toolbox"),
+        F.when(F.col("p") != "2", F.concat(F.lit("cust"), "cust", F.lit("."), F.lit(DOMAIN))).alias("portal_url"),
+        F.concat(F.lit("Order of customer "), "cust").alias("order_line"), F.lit("Custom screens").alias("custom_description"),
+        F.when(F.col("p") < "3", "Mail Test").alias("phishing_description"),
+        F.when(F.col("o_custkey") % 3 > 0, numbers).alias("add_numbers"))
+    return O.order_tasks(wide).withColumn("details", F.array_join("details", " | "))
 
 
 def q_templates(spark, sf):
@@ -367,7 +392,7 @@ QUERIES = {
     "sku_lines": q_sku_lines, "archive_rows": q_archive_rows, "sku_table_items": q_sku_table_items,
     "change_notes": q_change_notes, "keep_existing_reasons": q_keep_reasons, "sku_difference": q_sku_difference,
     "license_counts": q_license_counts, "license_count_check": q_license_check, "sku_pick": q_sku_pick,
-    "hosting": q_hosting, "order_facts": q_facts, "order_warnings": q_warnings, "order_tasks": q_tasks,
+    "hosting": q_hosting, "order_facts": q_facts, "order_warnings": q_warnings, "order_record": q_record, "order_tasks": q_tasks,
     "message_templates": q_templates,
 }
 
@@ -460,7 +485,7 @@ ORACLE = {
         count(*) FILTER (w.number IS NULL AND v.number IS NOT NULL) AS n_named FROM p LEFT JOIN w ON w.order_id = p.order_id AND w.number = p.number
         LEFT JOIN verdicts v ON v.order_id = p.order_id AND v.number = p.number AND v.verdict = 'suggest' GROUP BY p.order_id),
       g AS (SELECT c.*, coalesce(u.x, false) OR n_shared * 2 < n_present AS looks_partial, s.k FROM c
-        LEFT JOIN (SELECT DISTINCT l_suppkey, true AS x FROM lineitem WHERE l_returnflag = 'A' AND l_suppkey > 10) u ON u.l_suppkey = c.order_id
+        LEFT JOIN (SELECT DISTINCT l_suppkey, true AS x FROM lineitem WHERE l_returnflag = 'A' AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 5000)) u ON u.l_suppkey = c.order_id
         LEFT JOIN (SELECT s_suppkey, s_acctbal < 0 AS k FROM supplier WHERE s_acctbal < 1000) s ON s.s_suppkey = c.order_id),
       h AS (SELECT *, coalesce(k, looks_partial) AS partial FROM g)
       SELECT order_id, n_present, n_shared, looks_partial, partial, CASE WHEN partial THEN n_named ELSE n_present - n_shared END AS n_ticked,
@@ -517,18 +542,23 @@ ORACLE = {
     "order_tasks": f"""WITH {_HOSTS}, {_TYPES}, {_EXP.replace(_O, 'd0 AS (SELECT 1)')}, t AS (SELECT o.*, hosting.hosting, types.order_type, picked.date AS exp_date,
         hosting.hosting IS NOT NULL AND hosting.hosting = 'Self-Hosted' AS selfh, hosting.hosting IS NOT NULL AND hosting.hosting = 'Managed-Hosted' AS managed FROM o LEFT JOIN hosting USING (order_id) LEFT JOIN types USING (order_id) LEFT JOIN picked USING (order_id)),
       r AS (SELECT order_id, list_filter([
-        CASE WHEN NOT selfh THEN {{'title': CASE WHEN managed THEN 'Update managed expiration date' ELSE 'Update portal expiration date' END, 'h': 'Fulfillment', 'c': CASE WHEN managed THEN 'no standard for managed hosting' WHEN exp_date IS NULL THEN 'no single date' END}} END,
-        CASE WHEN st <> 'F' AND p = '1' THEN {{'title': 'License count change', 'h': 'Support', 'c': NULL}} END,
-        CASE WHEN o_custkey % 3 > 0 THEN {{'title': 'Add courses', 'h': 'Fulfillment', 'c': CASE WHEN st = 'F' THEN 'license count unknown' END}} END,
-        CASE WHEN o_custkey % 2 > 0 THEN {{'title': 'Remove demo courses', 'h': 'Fulfillment', 'c': NULL}} END,
-        CASE WHEN o_custkey % 4 > 0 THEN {{'title': 'Course archive', 'h': 'Support', 'c': NULL}} END,
-        CASE WHEN NOT (st <> 'F' AND p < '3') THEN {{'title': 'SSO', 'h': 'Support', 'c': CASE WHEN st = 'O' THEN 'offered but not bought' END}} END,
-        CASE WHEN st <> 'O' THEN {{'title': 'Customization', 'h': 'Customization', 'c': NULL}} END,
-        CASE WHEN st <> 'F' THEN {{'title': 'Phishing: hosted box', 'h': 'Fulfillment', 'c': 'offered but not bought'}} END,
-        CASE WHEN p = '4' THEN {{'title': 'Phishing: firewall', 'h': 'Fulfillment', 'c': CASE WHEN managed THEN 'no standard for managed hosting' ELSE 'check who handles it' END}} END,
-        CASE WHEN p = '3' OR order_type = 'New Account' THEN {{'title': 'Communication materials', 'h': 'Support', 'c': CASE WHEN p <> '3' THEN 'not listed, given by default' END}} END,
+        CASE WHEN NOT selfh THEN {{'title': CASE WHEN managed THEN 'Update managed expiration date' ELSE 'Update portal expiration date' END, 'h': 'Fulfillment', 'c': CASE WHEN managed THEN 'no standard for managed hosting' WHEN exp_date IS NULL THEN 'no single date' END,
+          'd': coalesce(CASE WHEN managed THEN 'Managed-Hosted' WHEN p <> '2' THEN 'cust' || cust || '.portal.example.com' ELSE 'Portal' END || ': ' || exp_date, '')}} END,
+        CASE WHEN st <> 'F' AND p = '1' THEN {{'title': 'License count change', 'h': 'Support', 'c': NULL, 'd': ''}} END,
+        CASE WHEN o_custkey % 3 > 0 THEN {{'title': 'Add courses', 'h': 'Fulfillment', 'c': CASE WHEN st = 'F' THEN 'license count unknown' END,
+          'd': array_to_string(list_transform(range(1, o_custkey % 3 + 1), lambda i: (o_custkey + 1000 + i)::VARCHAR), ', ') || ' | License count: ' || CASE WHEN st = 'F' THEN '[license count?]' ELSE users::VARCHAR END}} END,
+        CASE WHEN o_custkey % 2 > 0 THEN {{'title': 'Remove demo courses', 'h': 'Fulfillment', 'c': NULL, 'd': ''}} END,
+        CASE WHEN o_custkey % 4 > 0 THEN {{'title': 'Course archive', 'h': 'Support', 'c': NULL, 'd': ''}} END,
+        CASE WHEN NOT (st <> 'F' AND p < '3') THEN {{'title': 'SSO', 'h': 'Support', 'c': CASE WHEN st = 'O' THEN 'offered but not bought' END, 'd': ''}} END,
+        CASE WHEN st <> 'O' THEN {{'title': 'Customization', 'h': 'Customization', 'c': NULL, 'd': 'Order of customer ' || cust || ' | SRV-CUS: Custom screens'}} END,
+        CASE WHEN st <> 'F' THEN {{'title': 'Phishing: hosted box', 'h': 'Fulfillment', 'c': 'offered but not bought', 'd': 'PH-SAAS-PB' || CASE WHEN p < '3' THEN ': Mail Test' ELSE '' END}} END,
+        CASE WHEN p = '4' THEN {{'title': 'Phishing: firewall', 'h': 'Fulfillment', 'c': CASE WHEN managed THEN 'no standard for managed hosting' ELSE 'check who handles it' END, 'd': ''}} END,
+        CASE WHEN p = '3' OR order_type = 'New Account' THEN {{'title': 'Communication materials', 'h': 'Support', 'c': CASE WHEN p <> '3' THEN 'not listed, given by default' END, 'd': ''}} END,
         CASE WHEN order_type = 'New Account' OR (NOT selfh AND (order_type = 'Renewal' OR order_type IS NULL)) THEN {{'title': 'Customer notification', 'h': 'Fulfillment ticket',
-          'c': CASE WHEN order_type = 'New Account' AND hosting IS NULL THEN 'hosting unknown' WHEN order_type = 'Renewal' AND managed THEN 'write by hand' WHEN order_type IS NULL THEN 'order type unknown' END}} END],
+          'c': CASE WHEN order_type = 'New Account' AND hosting IS NULL THEN 'hosting unknown' WHEN order_type = 'Renewal' AND managed THEN 'write by hand' WHEN order_type IS NULL THEN 'order type unknown' END, 'd': 'Order of customer ' || cust}} END],
         lambda x: x IS NOT NULL) AS l FROM t), u AS (SELECT order_id, unnest(l) AS x, generate_subscripts(l, 1)::INT - 1 AS ord FROM r)
-      SELECT order_id, ord, x.title AS title, x.h AS handled_by, x.c AS confirm FROM u""",
+      SELECT order_id, ord, x.title AS title, x.h AS handled_by, x.d AS details, x.c AS confirm FROM u""",
+    "order_record": f"""WITH {_O} SELECT order_id, CASE WHEN st <> 'O' THEN '9' || lpad(cust, 6, '0') END AS order_number, 'Customer ' || cust || chr(10) || 'Suite 9' AS company,
+      CASE WHEN p <> '5' THEN 'cust' || cust || '.portal.example.com' WHEN st <> 'O' THEN 'cust' || cust || '.portal.example.com' END AS portal_url,
+      CASE WHEN st <> 'O' THEN 'poc' || cust || '@example.com' END AS contact, CASE WHEN st <> 'O' THEN 'estimate.pdf' ELSE '' END AS bought_sources FROM o""",
 }

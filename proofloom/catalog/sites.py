@@ -26,10 +26,13 @@ def links(spark, sf):
 
 
 def fetch_log(spark, sf):
+    """Two fetches of every URL: a failure long ago and what it gives now."""
     n = F.length("url")
+    now = F.struct(F.lit(2).alias("fetched_at"), F.when(n % 5 == 4, 0).when(n % 5 == 3, 404).otherwise(200).alias("status"),
+                   F.when(n % 5 == 4, "timeout").otherwise("").alias("note"))
+    past = F.struct(F.lit(1).alias("fetched_at"), F.lit(500).alias("status"), F.lit("down").alias("note"))
     return (links(spark, sf).select("url").distinct().filter(n % 11 != 0)
-            .select("url", F.when(n % 5 == 4, 0).when(n % 5 == 3, 404).otherwise(200).alias("status"),
-                    F.when(n % 5 == 4, "timeout").otherwise("").alias("note")))
+            .select("url", F.explode(F.array(past, now)).alias("f")).select("url", "f.*"))
 
 
 def resources(spark, sf):

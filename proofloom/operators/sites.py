@@ -35,10 +35,10 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 def resource_status(links: DataFrame, fetch_log: DataFrame) -> DataFrame:
     """Links with what fetching them gave; never fetched counts as not ok.
 
-    A link every page carries is one hot URL, so the join is salted; the log
-    has one row per URL.
+    Of several fetches of a URL the newest (``fetched_at``) counts, the higher status among equally new ones.  A link every
+    page carries is one hot URL, so the join is salted.
     """
-    log = fetch_log.groupBy("url").agg(F.max_by(F.struct("status", "note"), "status").alias("f"))
+    log = fetch_log.groupBy("url").agg(F.max_by(F.struct("status", "note"), F.struct("fetched_at", "status")).alias("f"))
     joined = salted_join(links, log, ["url"], "left", spread_on=["page_id", "kind"])
     status = F.coalesce("f.status", F.lit(0))
     return joined.select("page_id", "kind", "url", status.alias("status"), W.status_ok(status).alias("ok"),
