@@ -4,10 +4,12 @@ A document is its set of distinct word shingles.  Shingles are hashed into group
 the sum of coordinate minima of two points bounds the overlap of their sets, also between a point and the box of a tree
 node.  Pairs that survive the bound are verified on the sets.
 
-What may be compared at all is found by rare shingles: in any one order of all shingles, linked sets share one among the
-first n - ceil(t * n) + 1 of each.  The order is by how often a shingle's counter was met, so what many documents have
-in common comes last and brings nobody together.  Documents that share such a shingle are brought together by an
-aggregation by shingle, without pairs, and in windows of size, since linked sets differ little in it: a set
+What may be compared at all is found by cells.  Linked sets of known sizes differ in at most d shingles.  Shingles are
+hashed into more than d cells; each one that differs spoils one cell, so all cells but d hold the same in both sets, and
+in any one order of cells by what they hold, linked sets have one in common among the first d + 1 of each.  The order
+is by how rare a cell's shingles are, so what many documents have in common comes last; and a cell holds several
+shingles, so sets that share some by chance, or a passage, do not agree in one.  Documents that agree in a cell are
+brought together by an aggregation, without pairs, and in windows of size, since linked sets differ little in it: a set
 stands in two windows, and a chain of chance acquaintances ends at their borders.  Each connected bunch is then one R-tree's work.
 """
 
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, keep, lower_words, pieces
@@ -70,18 +72,39 @@ class Threshold:
         """Whether an overlap suffices, given the sum of the sizes."""
         return inter * (self.num + self.den) >= self.num * both
 
-    def windows(self, n: Column) -> Column:
-        """Two windows per size; linked sets have one in common.  Classes grow by 1/t, so theirs differ by one at most."""
-        size_class = F.floor(F.log(n.cast("double")) / F.lit(math.log(self.den / self.num) * (1 + 1e-9)))
-        return F.array(size_class - 1, size_class)
+    def size_class(self, n: np.ndarray) -> np.ndarray:
+        """Classes grow by 1/t, so those of linked sets differ by one at most.  A set stands in the windows of its class and the one below."""
+        return np.floor(np.log(np.maximum(n, 1)) / self._step()).astype(np.int64)
 
-    def keys(self, h: np.ndarray, heights: np.ndarray) -> np.ndarray:
-        """The shingles of a set of which every linked set has one among its own, rarest first.
+    def apart(self, window: np.ndarray) -> np.ndarray:
+        """In how many shingles linked sets of a window differ at most, where the smaller is of the window's own class."""
+        small = np.floor(np.exp((window + 1) * self._step()) * (1 + 1e-9)).astype(np.int64)
+        return (small + small * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
 
-        An overlap of ``t * n`` is needed whether the partner is larger or smaller.
+    def _step(self) -> float:
+        return max(math.log(self.den / self.num), 1e-6) * (1 + 1e-9)
+
+    def keys(self, sets: list[np.ndarray], window: np.ndarray, heights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of all sets, one after the other, and how many each has.
+
+        A key is a cell with what it holds; of every two linked sets of a window one key is equal.
         """
-        wanted = len(h) + (-len(h) * self.num // self.den) + 1 if len(h) else 0
-        return h[np.lexsort((h, heights[h & np.uint64(len(heights) - 1)]))[:wanted]]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        wanted = np.where(sizes > 0, self.apart(window) + 1, 0)
+        cells = wanted + wanted // 2
+        first, total = np.cumsum(cells) - cells, int(cells.sum())
+        flat = np.concatenate(sets) if len(sets) else np.empty(0, np.uint64)
+        hashed = mixed(flat)
+        at = np.repeat(first, sizes) + (hashed % np.repeat(np.maximum(cells, 1), sizes).astype(np.uint64)).astype(np.int64)
+        # Powers of two, so sums are exact in any order.
+        rare = np.exp2(np.minimum(int(heights.max(initial=0)) - heights[flat & np.uint64(len(heights) - 1)].astype(np.int64), 32))
+        weight, held = np.bincount(at, weights=rare, minlength=total), np.zeros(total, np.uint64)
+        np.add.at(held, at, mixed(hashed + A))
+        owner = np.repeat(np.arange(len(sets)), cells)
+        place = (np.arange(total) - first[owner]).astype(np.uint64)
+        key = mixed(held + mixed(place * A + window[owner].astype(np.uint64) * B))
+        order = np.lexsort((key, -weight, owner))
+        return key[order[place < wanted[owner].astype(np.uint64)]], wanted
 
 
 class CountTree:
@@ -234,21 +257,25 @@ def _heights(docs: DataFrame, k: int, text: str) -> np.ndarray:
 
 
 def _features(docs: DataFrame, k: int, limit: Threshold, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, told, n, node, keys``: text hash, set size, set hash and rare shingles of every document."""
+    """``doc_id, told, n, node, class, keys, upper_keys``: text hash, set size, set hash, size class and keys of every
+    document in the window of its class, and in the one below, where it is one of the larger."""
     sent = docs.sparkSession.sparkContext.broadcast(_heights(docs, k, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heights = sent.value
         for batch in batches:
             sets = [shingle_set(t.as_py(), k) for t in batch.column(1)]
-            keys = [limit.keys(s, heights) for s in sets]
-            ends = np.cumsum([0, *map(len, keys)])
+            sizes = np.array(list(map(len, sets)), np.int64)
+            own, keys = limit.size_class(sizes), []
+            for window in (own, own - 1):
+                found, many = limit.keys(sets, window, heights)
+                keys.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)], pa.int32()), pa.array(found.view(np.int64), pa.int64())))
             yield pa.record_batch({
-                "doc_id": batch.column(0), "told": batch.column(2), "n": pa.array(list(map(len, sets)), pa.int64()), "node": pa.array(list(map(node_of, sets)), pa.int64()),
-                "keys": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64) if keys else [], pa.int64()))})
+                "doc_id": batch.column(0), "told": batch.column(2), "n": pa.array(sizes), "node": pa.array(list(map(node_of, sets)), pa.int64()),
+                "class": pa.array(own), "keys": keys[0], "upper_keys": keys[1]})
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("told")).mapInArrow(
-        run, "doc_id long, told long, n long, node long, keys array<long>")
+        run, "doc_id long, told long, n long, node long, class long, keys array<long>, upper_keys array<long>")
 
 
 def _sets(texts: DataFrame, k: int) -> DataFrame:
@@ -321,14 +348,14 @@ def _all_linked(units: DataFrame, limit: Threshold, pairs: bool) -> DataFrame:
 
 
 def _links(docs: DataFrame, told: DataFrame, bunches: DataFrame, k: int, limit: Threshold, every: str | None = None) -> DataFrame:
-    """Links between sets of the same root, for ``docs(doc_id, text)``, ``told(doc_id, node, keys)`` and
+    """Links between sets of the same root, for ``docs(doc_id, text)``, ``told(doc_id, node, keys, upper_keys)`` and
     ``bunches(doc_id, node, n, root, upper, copies)``.
 
     ``every`` None: ``a, b``, enough of them to join all linked sets.  "counts" or "pairs": ``a, b, n`` of all links as in
     ``_all_linked``; then every set of a large bunch meets the other parts, and the later part asks.
 
     Small bunches share units; a large one is dealt over parts by hash, linked inside each, and then only sets outside
-    its largest class so far still meet the other parts: those of them that state one of its rare shingles.  All places are settled on ids and sizes; a set's content is
+    its largest class so far still meet the other parts: those of them that state one of its keys.  All places are settled on ids and sizes; a set's content is
     written once, and repeated only in the exchange that brings it to its places.
     """
     chunk = CHUNK * WIDE if every else CHUNK
@@ -358,9 +385,10 @@ def _links(docs: DataFrame, told: DataFrame, bunches: DataFrame, k: int, limit:
         counted = classed.groupBy("root", "label").agg(F.count("*").alias("c"))
         main = counted.groupBy("root").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"))
         dealt = keep(classed.join(main.filter("labels > 1").drop("labels"), "root").withColumn("outside", F.col("label") != F.col("main")).drop("main"), "dealt")
-    # An outsider asks the other parts that state one of its rare shingles; of two outsiders the one in the later part asks.
-    keyed = keep(told.select("doc_id", "node", "keys").join(dealt.select("doc_id", "node", "root", "part", "outside"), ["doc_id", "node"])
-                 .select("root", "node", "part", "outside", F.explode("keys").alias("key")), "large-keys")
+    # An outsider asks the other parts that state one of its keys; of two outsiders the one in the later part asks.
+    keyed = keep(told.select("doc_id", "node", "keys", "upper_keys").join(dealt.select("doc_id", "node", "root", "part", "outside", "upper"), ["doc_id", "node"])
+                 .select("root", "node", "part", "outside", F.explode(F.when(F.col("upper"), F.col("upper_keys")).otherwise(F.col("keys"))).alias("key"))
+                 .distinct(), "large-keys")
     stated = keyed.select("root", "key", F.col("part").alias("to"), F.col("outside").alias("other_outside")).distinct()
     pairs = keep(keyed.filter("outside").join(stated, ["root", "key"]).filter("`to` < part or (`to` > part and not other_outside)")
                  .select("root", "key", "node", "to"), "asked")
@@ -392,16 +420,16 @@ def _bunched(docs: DataFrame, k: int, limit: Threshold, doc_id: str, text: str,
     told = feats.filter("n > 0 and doc_id is not null")
     # The first of the two windows of a set is that of the class below its own: there it is one of the upper sets.  Two
     # upper sets also meet in the next window, so a key of upper sets only brings nobody together.
-    placed = told.select("node", "n", "keys", F.posexplode(limit.windows(F.col("n"))).alias("pos", "window"))
-    keyed = placed.select(F.xxhash64("node", "window").alias("place"), "pos", "window", F.explode("keys").alias("key"))
-    keyed = keyed.select("place", "pos", F.xxhash64("key", "window").alias("key"))
+    stand = F.explode(F.array(*[F.struct(F.lit(pos).alias("pos"), (F.col("class") - 1 + pos).alias("window"), F.col(c).alias("keys"))
+                                for pos, c in enumerate(("upper_keys", "keys"))])).alias("s")
+    keyed = told.select("node", stand).select(F.xxhash64("node", "s.window").alias("place"), "s.pos", F.explode("s.keys").alias("key"))
     shared = keep(keyed.groupBy("key").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.max("pos").alias("own"))
                   .filter("lo < hi and own = 1").select("key", "lo"), "shared")
     near = keep(keyed.join(shared, "key").filter("place <> lo").select(F.col("place").alias("a"), F.col("lo").alias("b")).distinct(), "near")
-    once = told.select("node", "doc_id", "n").distinct() if counted else told
-    classes = keep(once.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"),
+    once = told.select("node", "doc_id", "n", "class").distinct() if counted else told
+    classes = keep(once.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("class").alias("class"),
                                             (F.count("*") if counted else F.lit(1).cast("long")).alias("copies")), "classes")
-    places = classes.select("node", "doc_id", "n", "copies", F.posexplode(limit.windows(F.col("n"))).alias("pos", "window"))
+    places = classes.select("node", "doc_id", "n", "copies", F.posexplode(F.array(F.col("class") - 1, F.col("class"))).alias("pos", "window"))
     bunches = keep(places.join(components(near).withColumnRenamed("node", "place"), F.xxhash64(places["node"], "window") == F.col("place"))
                    .select("doc_id", "node", "n", "root", (F.col("pos") == 0).alias("upper"), "copies"), "bunches")
     return feats, told, classes, bunches
