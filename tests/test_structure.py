@@ -124,3 +124,29 @@ def test_two_columns_of_wrapped_names(spark):
     got = segments_to_items(words_to_segments(df))
     assert rows(got.filter("kind = 'item'"), "number", "name", "note") == [
         ("10101", "Anti Phishing Essentials 10101", "NEW"), ("10102", "Excel 10102", ""), ("10103P", "Data Safety 10103P", ""), ("10109", "Word 10109", "")]
+
+
+def test_lines_reach_from_their_first_word_and_places_may_lack(spark):
+    """Tops 0, 2, 4: the third word is within reach of the second, not of the first."""
+    words = [("d", 1, "one", 0.0, 5.0, 0.0, 9.0), ("d", 1, "two", 7.0, 12.0, 2.0, 11.0), ("d", 1, "three", 14.0, 20.0, 4.0, 13.0),
+             ("e", 1, "lost", 0.0, 5.0, None, None)]
+    df = spark.createDataFrame(words, "doc_id string, page int, text string, x0 double, x1 double, top double, bottom double")
+    got = rows(words_to_segments(df), "doc_id", "line_no", "text")
+    assert got == [("d", 0, "one two"), ("d", 1, "three"), ("e", None, "lost")]
+    assert words_to_segments(df.limit(0)).count() == 0 and segments_to_items(words_to_segments(df.limit(0))).count() == 0
+
+
+def test_items_of_one_column(spark):
+    lines = ["Alpha Course 20101 (with its", "long lab 9999", "annex) - NEW", "Beta 20102", "UPDATED MODULE", "Gamma", "Delta", "Eps", "Zeta 20103",
+             "CL-20104-AB - Eta", "Not read 20105", "$ 5", "Theta (201066)", "2025", "Kappa 20101", "See 20102 above", "Iota 20107: a talk", "Lost 20199 here"]
+    segments = [("d", 1, n, 0, 50.0, 12.0 * n, text, 20.0) for n, text in enumerate(lines)]
+    segments += [("d", 1, 99, 0, 50.0, 900.0, "Late 20108", 20.0), ("d", 1, 100, None, 700.0, 912.0, "Omega 20109 - UPDATED", 20.0)]
+    df = spark.createDataFrame(segments, "doc_id string, page int, line_no int, col int, x0 double, top double, text string, gap_limit double")
+    got = rows(segments_to_items(df.repartition(3)), "kind", "number", "name", "note", "reason")
+    items = {r[1]: r[2:4] for r in got if r[0] == "item"}
+    assert items["20101"] == ("Alpha Course 20101", "NEW") and items["20102"] == ("Beta 20102", "UPDATED MODULE")
+    assert items["20103"] == ("Gamma Delta Eps Zeta 20103", "") and items["20104"] == ("Eta 20104", "")
+    assert items["20107"] == ("Iota 20107: a talk", "") and items["20108"] == ("Late 20108", "") and items["20109"] == ("Omega 20109", "UPDATED")
+    reviews = {(r[2], r[4]) for r in got if r[0] == "review"}
+    assert ("Theta (201066)", "mistyped number") in reviews and ("Lost 20199 here", "unread") in reviews
+    assert ("Kappa 20101", "same number as another item") in reviews and not any("20102 above" in name for name, _ in reviews)
