@@ -2,14 +2,17 @@
 
 Level 0 holds the listed keys, level 1 those keys of the corpus that level 0 holds wrongly, level 2 the
 listed keys that level 1 holds wrongly, and so on until a level makes no mistake.  Because the levels were
-tried on every key the corpus has, membership is exact for it, and pages are judged without a join.
+tried on every key the corpus has, membership is exact for it, and pages are judged without a join.  A list whose
+filters are too large for a task is judged slice by slice of its keys.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -18,8 +21,10 @@ from pyspark.sql import types as T
 
 from .common import keep
 
-# A cascade of at most so many bytes is sent to the tasks; a longer list is matched by a join.
-MAX_FILTER_BYTES = 64 << 20
+# Rules are judged in slices whose cascades take about so many bytes; a longer list takes more passes over the pages.
+SLICE_BYTES = 64 << 20
+# Bytes of a filter that one task puts together.
+BLOCK = 1 << 18
 
 
 def host_and_path(url: Column | str) -> tuple[Column, Column]:
@@ -62,7 +67,7 @@ def holds(levels: list[tuple[int, int, bytes]], key: str) -> bool:
 
 
 def _level(keys: DataFrame, n: int, number: int, rate: float) -> tuple[int, int, bytes]:
-    """One filter over ``keys(key)``.  Bits are set by tasks, joined by byte, so what reaches the driver is the filter."""
+    """One filter over ``keys(key)``.  Bits are set by tasks and joined in blocks, so what reaches the driver is the filter, a row per block."""
     m = max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2))
     k = max(1, round(m / max(n, 1) * math.log(2)))
 
@@ -72,9 +77,18 @@ def _level(keys: DataFrame, n: int, number: int, rate: float) -> tuple[int, int,
             yield pa.record_batch({"at": pa.array([p >> 3 for p in bits], pa.int64()),
                                    "bit": pa.array([1 << (p & 7) for p in bits], pa.int32())})
 
+    def block(table: pa.Table) -> pa.Table:
+        number = table.column("block")[0].as_py()
+        data = np.zeros(min(BLOCK, (m + 7) // 8 - number * BLOCK), np.uint8)
+        data[table.column("at").to_numpy() - number * BLOCK] = table.column("bits").to_numpy()
+        return pa.table({"block": [number], "data": pa.array([data.tobytes()], pa.binary())})
+
+    # A byte is one row from here on, so a block has at most BLOCK rows.
+    bits = keys.mapInArrow(places, "at long, bit int").groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    blocks = bits.withColumn("block", F.floor(F.col("at") / BLOCK)).groupBy("block").applyInArrow(block, "block long, data binary")
     data = bytearray((m + 7) // 8)
-    for row in keys.mapInArrow(places, "at long, bit int").groupBy("at").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-        data[row.at] = row.bits
+    for row in blocks.toLocalIterator():
+        data[row.block * BLOCK:row.block * BLOCK + len(row.data)] = row.data
     return m, k, bytes(data)
 
 
@@ -134,39 +148,44 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
                                                     for k in dict.fromkeys(keys_of(h, p, lengths))], pa.string())})
 
     universe = keep(spots.mapInArrow(keys, "key string").distinct(), "universe")
-    listed = rules.count()
     # Bytes of a cascade: the first level by the logarithm of the universe, about 3 bits a key for the others.
-    if listed * (1.44 * math.log2(max(2, 2 * universe.count() / max(listed, 1))) + 3) / 8 > MAX_FILTER_BYTES:
-        return _by_join(parsed, rules, lengths, default)
-    cascades = {v: build_cascade(rules.filter(F.col("verdict") == v), universe, v)
-                for v in ("block", "allow")}
-
+    listed, asked = rules.count(), universe.count()
+    size = listed * (1.44 * math.log2(max(2, 2 * asked / max(listed, 1))) + 3) / 8
+    slices = max(1, math.ceil(size / SLICE_BYTES))
+    rules, universe = (t.withColumn("slice", F.pmod(F.crc32(F.encode("key", "UTF-8")), F.lit(slices))) for t in (rules, universe))
+    judged = parsed.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+    for n in range(slices):
+        own = rules.filter(F.col("slice") == n)
+        cascades = {v: build_cascade(own.filter(F.col("verdict") == v), universe.filter(F.col("slice") == n), v)
+                    for v in ("block", "allow")}
+        judged = _judged(judged, cascades, lengths, n, slices)
+        # One slice is judged at a time, so a task never holds the filters of two.
+        judged = keep(judged, "judged") if n + 1 < slices else judged
+    return judged
+
+
+def _judged(pages: DataFrame, cascades: dict[str, list[tuple[int, int, bytes]]], lengths: list[int], number: int,
+            slices: int) -> DataFrame:
+    """Pages with the better of the rule they have and the first of their keys that a cascade holds.
+
+    A cascade is exact for keys of its own slice, so only these are asked for.
+    """
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rule, verdict, seen = [], [], {}
-            for spot in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist()):
+            for host, path, had, was in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "rule", "verdict"))):
+                spot = host, path, had
                 if spot not in seen:
                     if len(seen) > 100_000:
                         seen.clear()
-                    seen[spot] = next(((k, v) for k in keys_of(*spot, lengths) for v in cascades
-                                       if holds(cascades[v], k)), (None, default))
+                    # Keys come best first; those after the rule already found are worse.
+                    keys = keys_of(host, path, lengths)
+                    better = [k for k in (keys[:keys.index(had)] if had is not None else keys)
+                              if slices == 1 or zlib.crc32(k.encode("utf-8", "surrogatepass")) % slices == number]
+                    seen[spot] = next(((k, v) for k in better for v in cascades if holds(cascades[v], k)), (had, was))
                 rule.append(seen[spot][0])
                 verdict.append(seen[spot][1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())],
-                                             [*batch.schema.names, "rule", "verdict"])
-
-    schema = T.StructType([*parsed.schema, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
-    return parsed.mapInArrow(judge, schema)
-
-
-def _by_join(parsed: DataFrame, rules: DataFrame, lengths: list[int], default: str) -> DataFrame:
-    """The same answers for a list too long to send: distinct (host, path) meet the rules by key."""
-    @F.udf("array<string>")
-    def all_keys(host, path):
-        return keys_of(host, path, lengths)
+            columns = {"rule": pa.array(rule, pa.string()), "verdict": pa.array(verdict, pa.string())}
+            yield pa.RecordBatch.from_arrays([columns.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
 
-    spots = parsed.select("host", "path").distinct().select("host", "path", F.posexplode(all_keys("host", "path")).alias("nr", "key"))
-    found = (spots.join(rules.select("key", "verdict"), "key").groupBy("host", "path")
-             .agg(F.min_by(F.struct(F.col("key").alias("rule"), "verdict"), "nr").alias("hit")))
-    return (parsed.join(found, ["host", "path"], "left").withColumn("rule", F.col("hit.rule"))
-            .withColumn("verdict", F.coalesce("hit.verdict", F.lit(default))).drop("hit").select(*parsed.columns, "rule", "verdict"))
+    return pages.mapInArrow(judge, pages.schema)

@@ -187,9 +187,10 @@ def test_chat_cuts_large_parts(spark, monkeypatch):
         assert {r.char_start + x for r in own for a, b in r.mask for x in range(a, b)} == mask
 
 
-@pytest.mark.parametrize("limit", [64 << 20, 0])
-def test_urls(spark, monkeypatch, limit):
-    monkeypatch.setattr(urls, "MAX_FILTER_BYTES", limit)
+@pytest.mark.parametrize("limit,block", [(64 << 20, 1 << 18), (40, 8)])
+def test_urls(spark, monkeypatch, limit, block):
+    monkeypatch.setattr(urls, "SLICE_BYTES", limit)
+    monkeypatch.setattr(urls, "BLOCK", block)
     rng = np.random.default_rng(4)
     hosts = ["a.net", "net", "example.net", "x.example.com", "b.org", "knet"]
     pages = [(i, f"http://{hosts[rng.integers(6)]}/{['en', 'de', 'fr'][rng.integers(3)]}/{i}", "r") for i in range(300)]
