@@ -134,6 +134,18 @@ def test_toxicity_restores_and_scores(spark):
     assert all((r.score >= 0.3) == (r.doc_id % 5 == 0) for r in held) and len(held) > 100
 
 
+def test_no_feature_is_left_out(spark):
+    texts = toxic_corpus() + [(700, None, 0), (700, "", 1)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in texts], "doc_id long, text string, h string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, toxic int")
+    whole, few = toxicity.fit(docs, labels), toxicity.fit(docs, labels, max_features=3)
+    assert len(whole.evidence) > 3 and {r.feature: r.e for r in few.table.collect()} == whole.evidence
+    got, want = ([(r.doc_id, r.text, r.h, r.plain, round(r.score, 12)) for r in toxicity.with_score(docs, m, restored="plain").collect()]
+                 for m in (few, whole))
+    assert Counter(got) == Counter(want)
+    assert toxicity.with_score(docs, few, keep_text=False).columns == toxicity.with_score(docs, whole, keep_text=False).columns
+
+
 def test_viterbi_against_all_readings():
     log_p = toxicity.log_probabilities(toxicity.byte_counts(t.encode() for _, t, _ in toxic_corpus()))
     own = toxicity.Restorer(log_p)
