@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from proofloom.catalog import reading as RD
 from proofloom.functions import orders as OF
 from proofloom.functions import text as T
 from proofloom.operators import text_checks as C
@@ -61,3 +62,21 @@ def test_links_are_removed_and_terms_read_once(spark):
     df = spark.createDataFrame([("a", "b")], "t string, u string")
     assert len(re.findall(r"_player", plan(df.select(C.spacing_array(F.col("t")))))) <= 4
     assert plan(df.select(OF.expiration_dates(F.col("t")))).count("Renewal") <= 4
+
+
+def test_boxes_add_up_lengths_once(spark, tmp_path):
+    lines = ["one word and  another", "", "x", "é long " * 300]
+    spark.createDataFrame([(1, "en", "s", "\n".join(lines)), (2, "en", "s", None)], "doc_id long, lang string, source string, text string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    want = []
+    for ord_, line in enumerate(lines):
+        words = line.split()
+        half = -(-len(words) // 2)
+        for part, left in ((words[:half], 50), (words[half:], 2_000_000)):
+            for i, w in enumerate(part):
+                x = left + sum(len(v) * 5 + 4 for v in part[:i])
+                want.append((1, 1, w, float(x), float(x + len(w) * 5), ord_ * 12 + i % 3 * 0.5, ord_ * 12 + i % 3 * 0.5 + 9))
+    boxes = RD.boxes(spark, str(tmp_path))
+    assert sorted(map(tuple, boxes.collect())) == sorted(want)
+    # No sum over the words before inside the walk over words.
+    assert "aggregate(slice(slice(" not in plan(boxes)
