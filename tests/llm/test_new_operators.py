@@ -115,6 +115,20 @@ def toxic_corpus():
     return texts
 
 
+def test_toxicity_plain_words_need_no_pattern(monkeypatch):
+    log_p = toxicity.log_probabilities(toxicity.byte_counts(t.encode() for _, t, _ in toxic_corpus()))
+    slow = {t: toxicity.Restorer(log_p).token(t) for t in ("idiooot", "sch\u00f6n!!", "$tupid", "a-b", "...")}
+    monkeypatch.setattr(toxicity, "EDGE", None)
+    own = toxicity.Restorer(log_p)
+    assert own.words("(hello), 'W\u00f6rter' good.") == {"hello", "w\u00f6rter", "good"} and own.restore("(Good).") == "(good)."
+    monkeypatch.undo()
+    assert {t: own.token(t) for t in slow} == slow
+    # Words that begin like no feature are not looked up; of the others whole words and beginnings count.
+    model = toxicity.Model(0.5, {"idiot$": 2.0, "idi": 1.0, "ab$": 0.5}, log_p)
+    assert model.score({"good", "idiom", "ab", "abc"}) == pytest.approx(1 / (1 + math.exp(-1.5)))
+    assert model.score({"idiot"}) == pytest.approx(1 / (1 + math.exp(-2.0))) and "good" not in model.known
+
+
 def test_toxicity_restores_and_scores(spark):
     texts = toxic_corpus()
     docs = spark.createDataFrame([(i, t, "x", 7) for i, t, _ in texts], "doc_id long, text string, score string, h int")
