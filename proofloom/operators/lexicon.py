@@ -45,11 +45,9 @@ def candidate_words(screens: DataFrame, keep: Sequence[str], runs: str) -> DataF
 
 def unknown_words(words: DataFrame, lexicon: DataFrame, ignore: DataFrame | None = None) -> DataFrame:
     """Rows of ``words`` whose word is in neither list (lists have one ``word`` column)."""
-    vocabulary = words.groupBy("word").agg(F.lit(1).alias("__one")).drop("__one")
-    unknown = vocabulary.join(lexicon.select("word").distinct(), "word", "left_anti")
-    if ignore is not None:
-        unknown = unknown.join(ignore.select("word").distinct(), "word", "left_anti")
-    return salted_join(words, unknown, ["word"])
+    known = lexicon.select("word") if ignore is None else lexicon.select("word").unionByName(ignore.select("word"))
+    # The lists go to the words, which are read once; a word of any number of uses is spread over the salts.
+    return salted_join(words.filter("word is not null"), known.distinct(), ["word"], "left_anti")
 
 
 def unknown_word_report(unknown: DataFrame, screen: str, shown: int = 3) -> DataFrame:
