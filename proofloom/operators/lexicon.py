@@ -2,7 +2,8 @@
 
 A dictionary is a table (lang, word).  Words are reduced to one row per
 (scope, word) before any join, so the commonest word costs one row, not one
-row per use.
+row per use.  ``unknown_words`` keeps every use: there the dictionary goes to
+the uses, spread over salts.
 """
 
 from __future__ import annotations
