@@ -22,6 +22,7 @@ from .common import bounded_batches, keep
 PIECE = 32  # bytes of an anchor
 PART = 4096  # surroundings of one anchor that one task takes; a commoner anchor is dealt over several
 SEGMENT = 1 << 22  # bytes of a text hashed at once
+TOGETHER = 1 << 16  # bytes of several short texts hashed at once
 ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -35,23 +36,35 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the piece at every place, and its upper bits with the place below them."""
+    w = _words(data)
+    n = max(0, len(w) - PIECE + 8)
+    h = w[:n] * ODD[0]
+    for i in range(1, 4):
+        h += w[8 * i:8 * i + n] * ODD[i]
+    h = _mixed(h)
+    return h, (h & ~np.uint64((1 << 24) - 1)) | np.arange(n, dtype=np.uint64)
+
+
+def _lows(low: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of every ``width`` neighbours."""
+    reach = 1
+    while reach * 2 <= width:
+        low = np.minimum(low[:-reach], low[reach:])
+        reach *= 2
+    return np.minimum(low[:len(low) - (width - reach)], low[width - reach:]) if width > reach else low
+
+
 def anchors(data: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the smallest piece, leftmost of equals, of every string of ``least`` bytes."""
     places, width, step = [], least - PIECE + 1, SEGMENT
     hashes = []
     for a in range(0, max(1, len(data) - least + 1), step):
-        w = _words(data[a:a + step + least - 1])
-        n = len(w) - PIECE + 8
-        if n < width:
+        h, low = _hashed(data[a:a + step + least - 1])
+        if len(low) < width:
             continue
-        h = _mixed(sum((w[8 * i:8 * i + n] * ODD[i] for i in range(1, 4)), w[:n] * ODD[0]))
-        low = (h & ~np.uint64((1 << 24) - 1)) | np.arange(n, dtype=np.uint64)
-        reach = 1
-        while reach * 2 <= width:
-            low = np.minimum(low[:-reach], low[reach:])
-            reach *= 2
-        if width > reach:
-            low = np.minimum(low[:len(low) - (width - reach)], low[width - reach:])
+        low = _lows(low, width)
         at = low[np.r_[True, low[1:] != low[:-1]]] & np.uint64((1 << 24) - 1)
         at = np.unique(at).astype(np.int64)
         places.append(at + a)
@@ -62,6 +75,38 @@ def anchors(data: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
     return at, np.concatenate(hashes)[first]
 
 
+def _anchors_of(texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``anchors`` of several texts of at least ``least`` bytes: number of the text, place and hash.
+
+    Short texts are hashed as one string, and the strings that cross a border between two are left out.
+    """
+    found, a, width = [], 0, least - PIECE + 1
+    while a < len(texts):
+        b, size = a + 1, len(texts[a])
+        while b < len(texts) and size + len(texts[b]) <= TOGETHER:
+            size += len(texts[b])
+            b += 1
+        if b == a + 1:
+            at, hashes = anchors(texts[a], least)
+            found.append((np.full(len(at), a), at, hashes))
+        else:
+            ends = np.cumsum([len(t) for t in texts[a:b]])
+            starts = np.r_[0, ends[:-1]]
+            h, low = _hashed(b"".join(texts[a:b]))
+            low = _lows(low, width)
+            border = np.zeros(len(low) + 1, np.int8)
+            border[starts] = 1
+            border[ends - least + 1] -= 1
+            low = low[np.cumsum(border[:-1], dtype=np.int8).view(bool)]
+            at = (low[np.r_[True, low[1:] != low[:-1]]] & np.uint64((1 << 24) - 1)).astype(np.int64)
+            own = np.searchsorted(starts, at, "right") - 1
+            found.append((own + a, at - starts[own], h[at]))
+        a = b
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def suffix_order(text: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Suffix array of strings each ended by a 0 that is unlike all others and smaller than any letter (1 to 256).
 
@@ -237,10 +282,8 @@ def _meet(table: pa.Table, least: int) -> pa.Table:
 def _anchor_rows(docs: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [anchors(t.as_py().encode(), least) for t in batch.column("text")]
-            sames = np.repeat(batch.column("same").to_numpy(), [len(p) for p, _ in found])
-            places = np.concatenate([p for p, _ in found]) if found else np.empty(0, np.int64)
-            keys = np.concatenate([h for _, h in found]).view(np.int64) if found else places
+            texts, places, hashes = _anchors_of(batch.column("text").cast(pa.binary()).to_pylist(), least)
+            sames, keys = batch.column("same").to_numpy()[texts], hashes.view(np.int64)
             for a in range(0, len(keys), 100_000):
                 yield pa.record_batch({"key": keys[a:a + 100_000], "same": sames[a:a + 100_000], "place": places[a:a + 100_000]})
 
@@ -256,14 +299,14 @@ def _surroundings(texts: DataFrame, least: int) -> DataFrame:
             ends, flat = spots.offsets.to_numpy(), spots.flatten()
             key, parts, place = (flat.field(i).to_numpy() for i in range(3))
             ends = ends - ends[0]
-            start = np.maximum(0, place - reach)
+            start, texts = np.maximum(0, place - reach), batch.column("text").cast(pa.binary())
             many = np.diff(ends)
             doc, same = (np.repeat(batch.column(c).to_numpy(), many) for c in ("doc", "same"))
             for a in range(0, batch.num_rows, 512):
                 b = min(a + 512, batch.num_rows)
                 content = []
                 for i in range(a, b):
-                    data = batch.column("text")[i].as_py().encode()
+                    data = texts[i].as_py()
                     lo, hi = ends[i], ends[i + 1]
                     content += [data[x:y] for x, y in zip(start[lo:hi].tolist(), (place[lo:hi] + PIECE + reach).tolist())]
                 own = slice(ends[a], ends[b])
