@@ -9,7 +9,7 @@ hashed into more than d cells; each one that differs spoils one cell, so all cel
 in any one order of cells by what they hold, linked sets have one in common among the first d + 1 of each.  The order
 is by how rare a cell's shingles are, so what many documents have in common comes last; and a cell holds several
 shingles, so sets that share some by chance, or a passage, do not agree in one.  Documents that agree in a cell are
-brought together by an aggregation, without pairs, and in windows of size, since linked sets differ little in it: a set
+brought together by the first of them, without pairs, and in windows of size, since linked sets differ little in it: a set
 stands in two windows, and a chain of chance acquaintances ends at their borders.  Each connected bunch is then one R-tree's work.
 """
 
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, keep, lower_words, pieces
@@ -33,6 +33,8 @@ CHUNK = 1 << 19
 WIDE = 4
 DIMS, LEAF = 32, 32
 COUNTERS, SLICES = 1 << 20, 16
+# Bits by which rows are told apart before a join on ids; 2 MB whatever the number of ids.
+MARKS = 1 << 24
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -258,26 +260,40 @@ def _heights(docs: DataFrame, k: int, text: str) -> np.ndarray:
 
 def _features(docs: DataFrame, k: int, limit: Threshold, doc_id: str, text: str) -> DataFrame:
     """``doc_id, told, n, node, class, keys, upper_keys``: text hash, set size, set hash, size class and keys of every
-    document in the window of its class, and in the one below, where it is one of the larger."""
+    document in the window of its class, and in the one below, where it is one of the larger.
+
+    Of rows with equal sets the first with an id in each task states the keys, the others none."""
     sent = docs.sparkSession.sparkContext.broadcast(_heights(docs, k, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heights = sent.value
+        heights, seen = sent.value, set()
         for batch in batches:
             sets = [shingle_set(t.as_py(), k) for t in batch.column(1)]
-            sizes = np.array(list(map(len, sets)), np.int64)
+            sizes, nodes, stating = np.array(list(map(len, sets)), np.int64), list(map(node_of, sets)), []
+            for s, node, known in zip(sets, nodes, batch.column(0).is_valid().to_pylist()):
+                stating.append(s if known and node not in seen else s[:0])
+                seen.add(node) if known else None
             own, keys = limit.size_class(sizes), []
             for window in (own, own - 1):
-                found, many = limit.keys(sets, window, heights)
+                found, many = limit.keys(stating, window, heights)
                 keys.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)], pa.int32()), pa.array(found.view(np.int64), pa.int64())))
             yield pa.record_batch({
-                "doc_id": batch.column(0), "told": batch.column(2), "n": pa.array(sizes), "node": pa.array(list(map(node_of, sets)), pa.int64()),
+                "doc_id": batch.column(0), "told": batch.column(2), "n": pa.array(sizes), "node": pa.array(nodes, pa.int64()),
                 "class": pa.array(own), "keys": keys[0], "upper_keys": keys[1]})
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("told")).mapInArrow(
         run, "doc_id long, told long, n long, node long, class long, keys array<long>, upper_keys array<long>")
 
 
+def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``doc_id`` has a mark of ``ids``: all that a join on it needs, and a few more."""
+    mark = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+    bucket, place = F.bitmap_bucket_number(mark).alias("bucket"), F.bitmap_bit_position(mark).alias("place")
+    marks = ids.select(bucket, place).groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
+    met = "getbit(cast(conv(hex(substring(bits, cast(place div 8 as int) + 1, 1)), 16, 10) as int), cast(place % 8 as int)) = 1"
+    return docs.select("*", bucket, place).join(F.broadcast(marks), "bucket").filter(met).select(*docs.columns)
+
+
 def _sets(texts: DataFrame, k: int) -> DataFrame:
     """``node, spots, content`` of ``node, spots, text``; of rows of one id, those of that node, and these once a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +364,7 @@ def _all_linked(units: DataFrame, limit: Threshold, pairs: bool) -> DataFrame:
 
 
 def _links(docs: DataFrame, told: DataFrame, bunches: DataFrame, k: int, limit: Threshold, every: str | None = None) -> DataFrame:
-    """Links between sets of the same root, for ``docs(doc_id, text)``, ``told(doc_id, node, keys, upper_keys)`` and
+    """Links between sets of the same root, for ``docs(doc_id, text)``, ``told(node, keys, upper_keys)`` and
     ``bunches(doc_id, node, n, root, upper, copies)``.
 
     ``every`` None: ``a, b``, enough of them to join all linked sets.  "counts" or "pairs": ``a, b, n`` of all links as in
@@ -368,7 +384,7 @@ def _links(docs: DataFrame, told: DataFrame, bunches: DataFrame, k: int, limit:
         F.when(many, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(bins))).alias("unit"),
         F.when(many, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(F.lit(-1)).cast("long").alias("part")), "places")
     spots = placed.groupBy("doc_id", "node").agg(F.collect_list(F.struct("unit", "part", "root", "upper", "copies")).alias("spots"))
-    contents = keep(_sets(docs.join(spots, "doc_id"), k), "contents")
+    contents = keep(_sets(_marked(docs, placed).join(spots, "doc_id"), k), "contents")
     first = contents.select("node", "content", F.explode("spots").alias("s")).select(
         "s.unit", "s.part", F.lit(-1).alias("other"), "node", "s.root", "content", F.col("node").alias("label"), F.lit(True).alias("asks"),
         "s.upper", "s.copies")
@@ -386,7 +402,7 @@ def _links(docs: DataFrame, told: DataFrame, bunches: DataFrame, k: int, limit:
         main = counted.groupBy("root").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"))
         dealt = keep(classed.join(main.filter("labels > 1").drop("labels"), "root").withColumn("outside", F.col("label") != F.col("main")).drop("main"), "dealt")
     # An outsider asks the other parts that state one of its keys; of two outsiders the one in the later part asks.
-    keyed = keep(told.select("doc_id", "node", "keys", "upper_keys").join(dealt.select("doc_id", "node", "root", "part", "outside", "upper"), ["doc_id", "node"])
+    keyed = keep(told.filter("size(keys) > 0").select("node", "keys", "upper_keys").join(dealt.select("node", "root", "part", "outside", "upper"), "node")
                  .select("root", "node", "part", "outside", F.explode(F.when(F.col("upper"), F.col("upper_keys")).otherwise(F.col("keys"))).alias("key"))
                  .distinct(), "large-keys")
     stated = keyed.select("root", "key", F.col("part").alias("to"), F.col("outside").alias("other_outside")).distinct()
@@ -422,10 +438,12 @@ def _bunched(docs: DataFrame, k: int, limit: Threshold, doc_id: str, text: str,
     # upper sets also meet in the next window, so a key of upper sets only brings nobody together.
     stand = F.explode(F.array(*[F.struct(F.lit(pos).alias("pos"), (F.col("class") - 1 + pos).alias("window"), F.col(c).alias("keys"))
                                 for pos, c in enumerate(("upper_keys", "keys"))])).alias("s")
-    keyed = told.select("node", stand).select(F.xxhash64("node", "s.window").alias("place"), "s.pos", F.explode("s.keys").alias("key"))
-    shared = keep(keyed.groupBy("key").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.max("pos").alias("own"))
-                  .filter("lo < hi and own = 1").select("key", "lo"), "shared")
-    near = keep(keyed.join(shared, "key").filter("place <> lo").select(F.col("place").alias("a"), F.col("lo").alias("b")).distinct(), "near")
+    keyed = told.filter("size(keys) > 0").select("node", stand).select(
+        F.xxhash64("node", "s.window").alias("place"), "s.pos", F.explode("s.keys").alias("key"))
+    # Rows of a key pass in order, its own class first, so keys are exchanged once and none is held as a whole.
+    so_far = Window.partitionBy("key").orderBy(F.desc("pos"), "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    led = keyed.select("place", F.first("place").over(so_far).alias("lead"), F.first("pos").over(so_far).alias("own"))
+    near = keep(led.filter("own = 1 and place <> lead").select(F.col("place").alias("a"), F.col("lead").alias("b")).distinct(), "near")
     once = told.select("node", "doc_id", "n", "class").distinct() if counted else told
     classes = keep(once.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("class").alias("class"),
                                             (F.count("*") if counted else F.lit(1).cast("long")).alias("copies")), "classes")

@@ -90,6 +90,22 @@ def test_ngram_join_counts_all_links(spark, monkeypatch, k, num, chunk):
     assert members.count() == len(own)
 
 
+def test_ngram_join_states_keys_once_a_task(spark):
+    text = sentence(9, 200)
+    docs = spark.createDataFrame([(None, text), (7, text), (8, text), (9, text), (3, sentence(11, 200))], "doc_id long, text string").coalesce(1)
+    rows = ngram_join._features(docs, 3, ngram_join.Threshold(90, 100), "doc_id", "text").collect()
+    assert [r.doc_id for r in rows if r["keys"]] == [r.doc_id for r in rows if r["upper_keys"]] == [7, 3]
+    assert {r.n for r in rows} == {198}
+
+
+def test_ngram_join_exchanges_marked_texts_only(spark):
+    docs = spark.range(-5000, 20000).selectExpr("nullif(id, 0) as doc_id", "'t' as text")
+    ids = spark.range(-5000, 20000, 7).withColumnRenamed("id", "doc_id")
+    want = {r.doc_id for r in ids.collect()}
+    got = [r.doc_id for r in ngram_join._marked(docs, ids).collect()]
+    assert len(got) == len(set(got)) and want - {0} <= set(got) and len(got) < len(want) + 500
+
+
 def test_ngram_join_empty_and_one_of_each(spark):
     assert ngram_join.similar_groups(docs_of(spark, [])).count() == 0
     kept = ngram_join.one_of_each(docs_of(spark, EDGY))
@@ -138,6 +154,18 @@ def test_suffix_dedup(spark, monkeypatch, part):
     assert suffixes.removed_bytes(docs_of(spark, [])).count() == 0
 
 
+def test_anchors_of_short_texts_together(monkeypatch):
+    texts = [sentence(i, 20 + i % 30).encode() for i in range(40)] + [b"ab" * 60, b"a" * 100, b"a" * 3000, bytes(range(1, 120))]
+    texts = [t for t in texts if len(t) >= 100]
+    for together in (1, 1000, 1 << 16):
+        monkeypatch.setattr(suffixes, "TOGETHER", together)
+        who, at, hashes = suffixes._anchors_of(texts, 100)
+        for i, t in enumerate(texts):
+            place, own = suffixes.anchors(t, 100)
+            assert (at[who == i] == place).all() and (hashes[who == i] == own).all() and len(place) == (who == i).sum()
+    assert [len(x) for x in suffixes._anchors_of([], 100)] == [0, 0, 0]
+
+
 def test_mixing(spark):
     texts = [(i, sentence(i, 50 + i)) for i in range(60)] + [(90, None), (91, "")]
     sources = [None if i % 7 == 0 else f"s{i % 5}" for i in range(60)] + ["empty", "empty"]
