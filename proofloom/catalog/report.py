@@ -9,28 +9,31 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import packages as PK
-from . import table
+from . import few_splits, table
 from . import texts as TX
 from .packages import _DRV, _GUESS, _OBJ, _PRED, _SCREENS
 from .texts import LEXICON, LINES, TERMS
+from ..operators import lexicon as L
 from ..operators.stored import stored
+from ..operators.text_checks import text_runs
 from ..plans.package_report import Vocabulary, run_all_checks
 
 
 def _report(spark, sf, english=True, dual=False):
-    docs = stored(table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", "text"), "documents")
-    lines = stored(TX.rows(spark, sf, docs), "lines")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", "text")
+    if few_splits(spark.read.parquet(f"{sf}/documents.parquet")):  # dealt over the cores once, not by each reader
+        docs = stored(docs, "documents")
     screens = stored(PK.screens(spark, sf, docs), "course-screens")
     place = F.concat(F.lit("s"), (F.col("course_id") * 25 + F.col("ord") % 25).cast("string"))
     questions = stored(PK.questions(spark, sf).withColumn("question_id", F.col("slide_id")).withColumn("slide_id", place), "questions")
     customers = stored(PK.packages(spark, sf), "packages")
-    keyed = lines.select(F.floor(F.col("doc_id") / 25).alias("course_id"), F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("slide_id"),
-                         "ord", "lang", "value")
+    said = docs.select(F.floor(F.col("doc_id") / 25).alias("course_id"), F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("slide_id"),
+                       text_runs(F.col("text"), lang=F.col("lang")).alias("told"))
     words = stored(TX.lexicon(spark, sf, docs), "lexicon")
     upper = F.upper("word").alias("word")
-    known = Vocabulary(lexicon=words, always_spaced=words.filter("word = 'the'").select(upper), never_spaced=words.filter("lang = 'de'").select(upper),
+    known = Vocabulary(lexicon=words, common=stored(L.most_used(words), "common-words"), always_spaced=words.filter("word = 'the'").select(upper), never_spaced=words.filter("lang = 'de'").select(upper),
                        terms=TERMS, prefixes=TX.HYPHEN_PREFIXES, suffixes=TX.HYPHEN_SUFFIXES, adjacent_only=TX.ADJACENT_ONLY, may_double=TX.DOUBLED_IGNORE)
-    found = run_all_checks(customers, PK._overrides(spark, sf), screens, keyed, PK.objects(spark, sf, lines), questions, english=english,
+    found = run_all_checks(customers, PK._overrides(spark, sf), screens, said, PK.objects(spark, sf, TX.rows(spark, sf, docs)), questions, english=english,
                            dual_path=dual, menu=PK.menu_items(spark, sf, screens), vocabulary=known)
     return found.groupBy("course_id", "check_id", "level").agg(F.count("*").alias("n"))
 

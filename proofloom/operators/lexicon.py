@@ -44,8 +44,18 @@ def candidate_words(screens: DataFrame, keep: Sequence[str], runs: str) -> DataF
     return screens.select(*keep, F.explode(candidate_array(F.col(runs))).alias("word"))
 
 
-def unknown_words(words: DataFrame, lexicon: DataFrame, ignore: DataFrame | None = None) -> DataFrame:
-    """Rows of ``words`` whose word is in neither list (lists have one ``word`` column)."""
+def most_used(lexicon: DataFrame, n: int = 8192) -> DataFrame:
+    """The ``n`` words (lang, word) of a lexicon with ``n_docs`` that most texts use."""
+    return lexicon.orderBy(F.desc("n_docs"), "lang", "word").limit(n).select("lang", "word")
+
+
+def unknown_words(words: DataFrame, lexicon: DataFrame, ignore: DataFrame | None = None, common: DataFrame | None = None) -> DataFrame:
+    """Rows of ``words`` whose word is in neither list (lists have one ``word`` column).
+
+    ``common`` are words of the lists, few enough for every task: their uses, mostly the larger part, are not exchanged.
+    """
+    if common is not None:
+        words = words.join(common.select("word"), "word", "left_anti")
     known = lexicon.select("word") if ignore is None else lexicon.select("word").unionByName(ignore.select("word"))
     # The lists go to the words, which are read once; a word of any number of uses is spread over the salts.
     return salted_join(words.filter("word is not null"), known.distinct(), ["word"], "left_anti")

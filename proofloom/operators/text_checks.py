@@ -22,6 +22,12 @@ def text_rows(screens: DataFrame, text: str = "text", ord_name: str = "ord") ->
     return rows.withColumn("value", F.trim("value")).filter(F.col("value") != "")
 
 
+def text_runs(text: Column, **also: Column) -> Column:
+    """The rows of ``text_rows`` of one text as an array of structs: ord, value and what is stated besides."""
+    cut = F.transform(T.lines(text), lambda v, i: F.struct(i.alias("ord"), F.trim(v).alias("value"), *[c.alias(k) for k, c in also.items()]))
+    return F.filter(cut, lambda r: r["value"] != "")
+
+
 def _exempt(c: Column, patterns: Sequence[str]) -> Column:
     hit = F.lit(False)
     for p in patterns:

@@ -3,8 +3,10 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from proofloom.plans.package_report import Vocabulary, run_all_checks, screen_pass, screen_texts
+from proofloom.plans import package_report
+from proofloom.plans.package_report import Vocabulary, run_all_checks, screen_pass, screen_runs, screen_texts
 
 TEXTS = {
     "s1": ["Pick the the right answer, then go on", "This long paragraph is said on two screens of the course"],
@@ -87,3 +89,35 @@ def test_one_pass_marks(course):
     kinds = Counter(r.kind for r in screen_pass(screen_texts(course["rows"]), True).collect())
     assert kinds["paragraph"] == 3 and kinds["pair"] == 3 and kinds["acronym"] == 3
     assert set(kinds) == {"doubled_words", "spacing", "paragraph", "acronym", "word", "pair"}
+
+
+@pytest.mark.parametrize("how", [{}, {"dual_path": True}, {"english": False}])
+def test_texts_are_written_once(course, monkeypatch, how):
+    kept = {}
+
+    def stored(df, name, write=package_report.stored):
+        kept[name] = write(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(package_report, "stored", stored)
+    run_all_checks(**{**course, **how})
+    said = {name for name, df in kept.items() if any("This long paragraph" in str(r) for r in df.collect())}
+    assert said == {"screen-texts"}
+
+
+def test_runs_of_whole_screens(spark):
+    rows = spark.createDataFrame([("c", "s1", 1, "en", "b"), ("c", "s1", 0, "en", "a"), ("c", "s2", 0, "fr", "x"), ("c", "s2", 0, "en", "x"), (None, "s1", 0, "en", "n"),
+                                  (None, "s1", 1, "en", "m"), ("c", None, 0, "en", "z")], "course_id string, slide_id string, ord int, lang string, value string")
+    # The same runs by screens: s1 and the screens without a course come in two rows, s3 has no run.
+    parts = rows.groupBy("course_id", "slide_id", F.when(F.col("slide_id") == "s1", F.col("ord")).alias("part")).agg(
+        F.collect_list(F.struct("ord", "value", "lang")).alias("told")).drop("part")
+    empty = spark.createDataFrame([("c", "s3", [])], parts.schema)
+    assert sorted(map(str, screen_runs(parts.unionByName(empty)).collect())) == sorted(map(str, screen_runs(rows).collect()))
+
+
+@pytest.mark.parametrize("english", [True, False])
+def test_common_words_change_nothing(course, english):
+    words = course["vocabulary"]
+    common = words.lexicon.filter("word IN ('the', 'answer', 'of', 'mot', 'course', 'go')")
+    short = Vocabulary(**{**vars(words), "common": common})
+    assert found(course, english=english) == found(course, english=english, vocabulary=short)
