@@ -73,19 +73,21 @@ def unknown_word_report(unknown: DataFrame, screen: str, shown: int = 3) -> Data
 
 def untranslated(rows: DataFrame, keys: Sequence[str], lang: str, value: str,
                  lexicon: DataFrame, allowed: DataFrame | None = None,
-                 source_lang: str = "en", minimum: int = 3) -> DataFrame:
+                 source_lang: str = "en", minimum: int = 3, common: DataFrame | None = None) -> DataFrame:
     """Text elements with ``minimum`` or more words of the source language that
     the element's own language does not know.
 
-    ``lexicon`` is (lang, word).  Elements without a language, or in one the
-    lexicon does not cover, are skipped.
+    ``lexicon`` is (lang, word), ``common`` some of it as in ``unknown_words``.
+    Elements without a language, or in one the lexicon does not cover, are
+    skipped.  Only foreign words are counted.
     """
     has_lang = rows.withColumn("__lang", T.language_base(F.col(lang))).filter(
         F.col("__lang").isNotNull() & (F.col("__lang") != source_lang))
     found = F.transform(T.words(F.col(value), 2), F.lower)
     used = (has_lang.filter(F.size(found) >= minimum)
-            .select(*keys, F.col("__lang").alias("lang"), F.explode(found).alias("word"))
-            .groupBy(*keys, "lang", "word").agg(F.count("*").alias("__n")))
+            .select(*keys, F.col("__lang").alias("lang"), F.explode(found).alias("word")))
+    if common is not None:
+        used = used.join(common, ["lang", "word"], "left_anti")
     source = lexicon.filter(F.col("lang") == source_lang).select("word").distinct()
     if allowed is not None:
         source = source.join(allowed.select("word").distinct(), "word", "left_anti")
@@ -94,7 +96,8 @@ def untranslated(rows: DataFrame, keys: Sequence[str], lang: str, value: str,
                .join(source, "word", "left_semi")
                .join(lexicon.select("lang", "word").distinct(), ["lang", "word"], "left_anti"))
     hits = salted_join(used, foreign, ["lang", "word"], spread_on=list(keys))
-    return (hits.groupBy(*keys, "lang")
+    return (hits.groupBy(*keys, "lang", "word").agg(F.count("*").alias("__n"))
+            .groupBy(*keys, "lang")
             .agg(F.sum("__n").alias("n_words"), F.count("*").alias("n_distinct"),
                  F.min("word").alias("first_word"))
             .filter(F.col("n_words") >= minimum))

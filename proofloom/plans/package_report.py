@@ -161,7 +161,8 @@ def run_all_checks(packages: DataFrame, overrides: DataFrame, screens: DataFrame
         pairs = L.suspicious_tokens(marked("pair", "token"), words.lexicon, allowed, words.prefixes, words.suffixes)
         parts.append(_rows(_per_course(pairs, "token"), "hyphen_pair", "warn", F.col("token")))
     elif words and "lang" in told.schema["told"].dataType.elementType.names:
-        foreign = L.untranslated(told.select(*SCREEN, F.inline("told")), [*SCREEN, "ord"], "lang", "value", words.lexicon)
+        foreign = L.untranslated(told.select(*SCREEN, F.inline("told")), [*SCREEN, "ord"], "lang", "value", words.lexicon,
+                                 common=words.common)
         parts.append(_rows(foreign, "untranslated", "warn", F.col("first_word")))
     if dual_path:
         alternate = S.alternate_scenes(screens).select("course_id", "scene_id")
