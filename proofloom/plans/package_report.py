@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Collection, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from ..operators.stored import stored
 
 FINDING = ["course_id", "check_id", "level", "slide_id", "message"]
 LEAST_PARAGRAPH = 40
+TOGETHER = 4
 SCREEN = ["course_id", "slide_id"]
 
 
@@ -185,10 +187,9 @@ def run_all_checks(packages: DataFrame, overrides: DataFrame, screens: DataFrame
             capitals = _per_course(marked("acronym", "word").join(scope, SCREEN, "left_semi"), "word")
             named = L.unspaced_acronyms(capitals.select("word").distinct(), words.lexicon, words.always_spaced, words.never_spaced)
             parts.append(_rows(capitals.join(named, "word"), "acronym", "warn", T.letter_spaced(F.col("word"))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    # The driver plans a few checks at a time: one plan of all of them outgrows its memory.
+    told = [stored(reduce(DataFrame.unionByName, parts[k:k + TOGETHER]), "findings") for k in range(0, len(parts), TOGETHER)]
+    return reduce(DataFrame.unionByName, told)
 
 
 def _per_course(uses: DataFrame, key: str) -> DataFrame:

@@ -121,3 +121,9 @@ def test_common_words_change_nothing(course, english):
     common = words.lexicon.filter("word IN ('the', 'answer', 'of', 'mot', 'course', 'go')")
     short = Vocabulary(**{**vars(words), "common": common})
     assert found(course, english=english) == found(course, english=english, vocabulary=short)
+
+
+def test_checks_are_planned_a_few_at_a_time(course):
+    report = run_all_checks(**course, dual_path=True)
+    assert "Exchange" not in report._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in report._jdf.queryExecution().optimizedPlan().toString()
