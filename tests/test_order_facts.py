@@ -2,6 +2,7 @@
 
 from proofloom.operators import orders as O
 from proofloom.operators import sites
+from proofloom.operators.stored import stored
 from tests.conftest import rows
 
 DOCS = "order_id int, source string, doc_ord int, kind string, text string"
@@ -46,3 +47,24 @@ def test_newest_fetch_counts(spark):
                                 "url string, fetched_at int, status int, note string")
     got = sites.resource_status(links, log)
     assert rows(got, "url", "status", "ok") == [("u", 200, True), ("v", 404, False), ("w", 0, False)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _written(spark, values, schema):
+    return stored(spark.createDataFrame(values, schema), "test")
+
+
+def test_hosting_sends_no_table_of_orders_to_the_driver(spark):
+    orders = _written(spark, [(1, ""), (2, "p.example.com"), (3, None), (4, None)], "order_id int, portal_url string")
+    skus = _written(spark, [(1, "s", 1, "DL-LMS1"), (1, "s", 0, "DL-LMS2"), (4, "s", 0, "DL-SCR")], "order_id int, source string, ord int, sku string")
+    docs = spark.createDataFrame([(3, "s", 0, "SOW", "AI Managed Phishing"), (4, "s", 0, "SOW", "")], DOCS)
+    urls = _written(spark, [(4, "na SCORM")], "order_id int, od_url string")
+    choice = _written(spark, [(2, "Self-Hosted"), (3, "")], "order_id int, hosting string")
+    got = O.hosting(orders, skus, docs, urls, choice, stored(O.document_cues(docs), "test"))
+    assert rows(got, "order_id", "detected_hosting", "hosting_source", "hosting") == [
+        (1, "Vendor-Hosted", "DL-LMS2 SKU", "Vendor-Hosted"), (2, "Vendor-Hosted", "portal URL p.example.com", "Self-Hosted"),
+        (3, "Managed-Hosted", '"AI Managed Phishing" in a document, no hosting SKU', "Managed-Hosted"), (4, "Self-Hosted", "DL-SCR SKU", "Self-Hosted")]
+    assert "Broadcast" not in _plan(got) and "SortMergeJoin" in _plan(got)
