@@ -68,3 +68,12 @@ def test_hosting_sends_no_table_of_orders_to_the_driver(spark):
         (1, "Vendor-Hosted", "DL-LMS2 SKU", "Vendor-Hosted"), (2, "Vendor-Hosted", "portal URL p.example.com", "Self-Hosted"),
         (3, "Managed-Hosted", '"AI Managed Phishing" in a document, no hosting SKU', "Managed-Hosted"), (4, "Self-Hosted", "DL-SCR SKU", "Self-Hosted")]
     assert "Broadcast" not in _plan(got) and "SortMergeJoin" in _plan(got)
+
+
+def test_order_type_sends_no_table_of_orders_to_the_driver(spark):
+    docs = spark.createDataFrame([(1, "s", 0, "SOW", "RENEWAL PROPOSAL"), (2, "s", 0, "SOW", "New Client"), (3, "s", 0, "SOW", "x")], DOCS)
+    choice = _written(spark, [(1, "New Account"), (2, "")], "order_id int, order_type string")
+    got = O.order_type(docs, choice, stored(O.document_cues(docs), "test"))
+    assert rows(got, "order_id", "detected_type", "order_type") == [
+        (1, "Renewal", "New Account"), (2, "New Account", "New Account"), (3, None, None)]
+    assert "Broadcast" not in _plan(got) and "SortMergeJoin" in _plan(got)
