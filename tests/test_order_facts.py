@@ -1,5 +1,8 @@
 """Cues of documents in one pass, the merged record, task details and the newest fetch."""
 
+import datetime
+
+from proofloom.catalog import orders as C
 from proofloom.operators import orders as O
 from proofloom.operators import sites
 from proofloom.operators.stored import stored
@@ -77,3 +80,13 @@ def test_order_type_sends_no_table_of_orders_to_the_driver(spark):
     assert rows(got, "order_id", "detected_type", "order_type") == [
         (1, "Renewal", "New Account"), (2, "New Account", "New Account"), (3, None, None)]
     assert "Broadcast" not in _plan(got) and "SortMergeJoin" in _plan(got)
+
+
+def test_tasks_send_no_table_of_orders_to_the_driver(spark, tmp_path):
+    day = datetime.datetime(2026, 1, 5)
+    orders = [(i, 40 + i, s, day, p) for i, (s, p) in enumerate([("O", "1-URGENT"), ("F", "2-HIGH"), ("P", "4-NOT"), ("O", "5-LOW")])]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp, o_orderpriority string").write.parquet(
+        f"{tmp_path}/orders.parquet")
+    got = C.q_tasks(spark, str(tmp_path))
+    assert {r.order_id for r in got.collect()} == {0, 1, 2, 3}
+    assert "Broadcast" not in _plan(got) and "SortMergeJoin" in _plan(got)
