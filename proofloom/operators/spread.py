@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import merged
+
 CHUNK = "__chunk"
 CARRY = "__carry"
 SALT = "__salt"
@@ -53,7 +55,7 @@ def previous_row(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     lagged = rows.withColumn("__lag", F.lag(F.struct(*fields)).over(inside))
     carry = _carry_last(rows, keys, order, fields)
-    joined = lagged.join(carry, [*keys, CHUNK], "left")
+    joined = lagged.join(merged(carry), [*keys, CHUNK], "left")
     before = F.coalesce("__lag", CARRY)
     return joined.select("*", *[before[f].alias(prefix + f) for f in fields]).drop(
         CHUNK, CARRY, "__lag")
@@ -97,14 +99,14 @@ def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str],
 
     The big side is spread over ``salts`` by a hash of its own columns, so a
     recomputed task lands every row where it was before; the small side is
-    repeated once per salt.
+    repeated once per salt, and merged: planners do not see the repetition.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salting the left side cannot serve a {how} join")
     source = list(spread_on) or [c for c in big.columns if c not in keys]
     salted = big.withColumn(SALT, F.pmod(F.xxhash64(*source), F.lit(salts)).cast("int"))
     repeated = small.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*keys, SALT], how).drop(SALT)
+    return salted.join(merged(repeated), [*keys, SALT], how).drop(SALT)
 
 
 def first_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[Column],

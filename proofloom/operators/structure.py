@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .spread import previous_row, running_sum
+from .stored import merged
 
 # Thresholds and cue words of the path and title checks.
 MATCH_RATIO, LOOK_AHEAD = 0.55, 5
@@ -77,13 +78,13 @@ def alternate_scenes(screens: DataFrame) -> DataFrame:
     key = ["course_id", "scene_id"]
     scene = rows.groupBy(*key).agg(F.bool_or("named").alias("named"), F.bool_or("is_in_menu").alias("menu"),
                                    F.count("*").alias("n"))
-    menu_titles = (rows.filter(F.col("slide_title") != "").join(scene.filter("menu").select(*key), key, "left_semi")
+    menu_titles = (rows.filter(F.col("slide_title") != "").join(merged(scene.filter("menu").select(*key)), key, "left_semi")
                    .select("course_id", "t").distinct())
-    shared = (rows.filter(F.col("slide_title") != "").join(menu_titles, ["course_id", "t"], "left_semi")
+    shared = (rows.filter(F.col("slide_title") != "").join(merged(menu_titles), ["course_id", "t"], "left_semi")
               .groupBy(*key).agg(F.count("*").alias("n_shared")))
     by = (F.when(F.col("named"), "name").when(
         ~F.col("menu") & (F.col("n") >= 2) & (F.coalesce("n_shared", F.lit(0)) >= 2), "structure"))
-    return scene.join(shared, key, "left").select(*key, by.alias("by")).filter(F.col("by").isNotNull())
+    return scene.join(merged(shared), key, "left").select(*key, by.alias("by")).filter(F.col("by").isNotNull())
 
 
 def with_path(screens: DataFrame) -> DataFrame:
@@ -91,8 +92,8 @@ def with_path(screens: DataFrame) -> DataFrame:
     key = ["course_id", "scene_id"]
     alt = alternate_scenes(screens).select(*key, F.lit(True).alias("__alt"))
     menu = screens.groupBy(*key).agg(F.bool_or("is_in_menu").alias("__menu"))
-    flags = menu.join(alt, key, "left")
-    return (screens.join(flags, key)
+    flags = menu.join(merged(alt), key, "left")
+    return (screens.join(merged(flags), key)
             .withColumn("path", F.when(F.col("__alt"), "Accessible").when(F.col("__menu"), "Standard").otherwise("Other"))
             .drop("__alt", "__menu"))
 
@@ -277,7 +278,7 @@ def radio_without_guidance(questions: DataFrame, screens: DataFrame) -> DataFram
                                                    F.count("*").alias("n_questions")))
     said = F.array_join("texts", " ")
     hint = said.rlike(r"(?iU)\btab\b") & said.rlike(TAB_CONTEXT)
-    return (radio.join(screens.select("course_id", "slide_id", hint.alias("__hint")), ["course_id", "slide_id"])
+    return (radio.join(merged(screens.select("course_id", "slide_id", hint.alias("__hint"))), ["course_id", "slide_id"])
             .filter(~F.col("__hint")).drop("__hint"))
 
 
@@ -381,7 +382,7 @@ def config_facts(packages: DataFrame) -> DataFrame:
 def speed_control(packages: DataFrame, overrides: DataFrame) -> DataFrame:
     """Playback speed: the author's setting wins over the package's."""
     o = overrides.select("course_id", F.col("speed_control").alias("__o"))
-    rows = packages.select("course_id", "speed_control").join(o, "course_id", "left")
+    rows = packages.select("course_id", "speed_control").join(merged(o), "course_id", "left")
     value = F.coalesce("__o", "speed_control")
     return rows.select("course_id", F.when(value, "pass").when(~value, "fail").otherwise("warn").alias("level"),
                        F.when(F.col("__o").isNotNull(), "author file").when(F.col("speed_control").isNotNull(), "package")

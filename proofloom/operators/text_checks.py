@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .spread import first_per_key, salted_join, top_n_per_key
+from .stored import merged
 
 
 def text_rows(screens: DataFrame, text: str = "text", ord_name: str = "ord") -> DataFrame:
@@ -51,7 +52,7 @@ def duplicate_titles(screens: DataFrame, scope: Sequence[str], screen: str, titl
     listed = (top_n_per_key(titled, keys, [F.col(screen)], shown)
               .groupBy(*keys)
               .agg(F.sort_array(F.collect_list(screen)).alias("__first")))
-    return counted.join(listed, keys).select(
+    return counted.join(merged(listed), keys).select(
         *scope, "title_key", "title", "n_screens",
         F.array_join(F.col("__first").cast("array<string>"), ", ").alias("first_screens"))
 
@@ -192,7 +193,7 @@ def term_consistency(screens: DataFrame, scope: Sequence[str], screen: str, text
              .groupBy(*scope, "term", "form")
              .agg(F.array_join(F.sort_array(F.collect_list(screen)).cast("array<string>"), "; ")
                   .alias("first_screens")))
-    return (per_form.join(mixed, [*scope, "term"]).join(where, [*scope, "term", "form"])
+    return (per_form.join(merged(mixed), [*scope, "term"]).join(merged(where), [*scope, "term", "form"])
             .select(*scope, "term", "form", "n_forms", "n_screens", "first_screens"))
 
 

@@ -20,7 +20,7 @@ from ..operators import lexicon as L
 from ..operators import sites
 from ..operators import structure as S
 from ..operators import text_checks as C
-from ..operators.stored import stored
+from ..operators.stored import merged, stored
 
 FINDING = ["course_id", "check_id", "level", "slide_id", "message"]
 LEAST_PARAGRAPH = 40
@@ -151,7 +151,7 @@ def run_all_checks(packages: DataFrame, overrides: DataFrame, screens: DataFrame
         _rows(S.predecessor_check(screens).withColumnRenamed("check_id", "__c"), "previous_button", F.col("level"), F.col("message")),
     ]
     if menu is not None:
-        shown = menu.select(*SCREEN, "display").join(screens.select(*SCREEN, "slide_title"), SCREEN)
+        shown = menu.select(*SCREEN, "display").join(merged(screens.select(*SCREEN, "slide_title")), SCREEN)
         parts.append(_rows(sites.menu_vs_screen(shown, SCREEN, "display", "slide_title"), "menu_mismatch", "warn", F.col("display")))
     if words and english:
         mixed = C.term_consistency(texts, ["course_id"], "slide_id", "text", words.terms)

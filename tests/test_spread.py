@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from proofloom.operators import spread as P
+from proofloom.operators.stored import stored
 from tests.conftest import rows
 
 
@@ -48,3 +49,10 @@ def test_top_n_is_limited_before_the_shuffle(spark):
     top = P.top_n_per_key(events(spark), ["k"], [F.col("id")], 2)
     assert len(top.collect()) == 2 * 7 - 0
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+
+
+def test_salted_join_sends_no_repeated_side_to_the_driver(spark):
+    big = stored(spark.range(20).withColumnRenamed("id", "k").withColumn("v", F.lit("a")), "test")
+    small = stored(spark.range(5).withColumnRenamed("id", "k").withColumn("w", F.lit("b")), "test")
+    joined = P.salted_join(big, small, ["k"])
+    assert joined.count() == 5 and "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
