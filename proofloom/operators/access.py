@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .stored import merged
 from .structure import COUNTER, INTERNAL_PREFIXES, PLACEHOLDER
 
 LAYER = ["course_id", "slide_id", "layer_id"]
@@ -91,7 +92,7 @@ def screen_title_guess(objects: DataFrame) -> DataFrame:
 def title_check(screens: DataFrame, guesses: DataFrame) -> DataFrame:
     """Screens whose own title is internal or does not end the on-screen title."""
     rows = screens.select("course_id", "slide_id", F.trim(F.coalesce("slide_title", F.lit(""))).alias("title")).join(
-        guesses, ["course_id", "slide_id"], "left")
+        merged(guesses), ["course_id", "slide_id"], "left")
     mine, shown = T.alnum_key(F.col("title")), T.alnum_key(F.col("on_screen_title"))
     differs = F.col("on_screen_title").isNotNull() & (mine != "") & ~F.endswith(shown, mine)
     return rows.select("course_id", "slide_id", "title", "on_screen_title",

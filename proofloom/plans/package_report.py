@@ -169,24 +169,24 @@ def run_all_checks(packages: DataFrame, overrides: DataFrame, screens: DataFrame
     if dual_path:
         alternate = S.alternate_scenes(screens).select("course_id", "scene_id")
         has = alternate.select("course_id").distinct()
-        without = screens.select("course_id").distinct().join(has, "course_id", "left_anti")
+        without = screens.select("course_id").distinct().join(merged(has), "course_id", "left_anti")
         parts.append(_rows(without, "accessible_path", "fail", F.lit("dual path, but no accessible path found"), None))
-        scope = stored(screens.join(alternate, ["course_id", "scene_id"], "left_semi").select(*SCREEN)
-                       .unionByName(screens.join(without, "course_id", "left_semi").select(*SCREEN)), "checked-screens")
-        inside = stored(objects.join(scope, SCREEN, "left_semi"), "checked-objects")
-        radio = S.radio_without_guidance(questions.join(scope, SCREEN, "left_semi"), texts.select(*SCREEN, F.col("runs").alias("texts")))
+        scope = stored(screens.join(merged(alternate), ["course_id", "scene_id"], "left_semi").select(*SCREEN)
+                       .unionByName(screens.join(merged(without), "course_id", "left_semi").select(*SCREEN)), "checked-screens")
+        inside = stored(objects.join(merged(scope), SCREEN, "left_semi"), "checked-objects")
+        radio = S.radio_without_guidance(questions.join(merged(scope), SCREEN, "left_semi"), texts.select(*SCREEN, F.col("runs").alias("texts")))
         parts += [
             _rows(A.tab_findings(inside), "tab_order", F.col("level"), F.col("what")),
             _rows(A.tab_duplicates(inside), "tab_duplicates", "warn", F.col("tab_index")),
             _rows(A.reading_order(inside), "reading_order", "warn", F.col("direction")),
-            _rows(A.title_check(screens.join(scope, SCREEN, "left_semi"), A.screen_title_guess(inside))
+            _rows(A.title_check(screens.join(merged(scope), SCREEN, "left_semi"), A.screen_title_guess(inside))
                   .filter("internal OR mismatch"), "titles", "warn", F.when(F.col("internal"), "internal").otherwise("mismatch")),
             _rows(radio, "radio_guidance", "warn", F.col("n_questions")),
         ]
         if words:
-            capitals = _per_course(marked("acronym", "word").join(scope, SCREEN, "left_semi"), "word")
+            capitals = _per_course(marked("acronym", "word").join(merged(scope), SCREEN, "left_semi"), "word")
             named = L.unspaced_acronyms(capitals.select("word").distinct(), words.lexicon, words.always_spaced, words.never_spaced)
-            parts.append(_rows(capitals.join(named, "word"), "acronym", "warn", T.letter_spaced(F.col("word"))))
+            parts.append(_rows(capitals.join(merged(named), "word"), "acronym", "warn", T.letter_spaced(F.col("word"))))
     # The driver plans a few checks at a time: one plan of all of them outgrows its memory.
     told = [stored(reduce(DataFrame.unionByName, parts[k:k + TOGETHER]), "findings") for k in range(0, len(parts), TOGETHER)]
     return reduce(DataFrame.unionByName, told)

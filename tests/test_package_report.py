@@ -127,3 +127,21 @@ def test_checks_are_planned_a_few_at_a_time(course):
     report = run_all_checks(**course, dual_path=True)
     assert "Exchange" not in report._jdf.queryExecution().sparkPlan().toString()
     assert "Join" not in report._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("dual_path", [False, True])
+def test_only_fixed_lists_are_sent_to_the_driver(course, monkeypatch, dual_path):
+    """Tables with a row per screen, course or word are merged, however small their files are."""
+    plans, write = [], package_report.stored
+
+    def watched(df, name):
+        plans.extend([df._jdf.queryExecution().executedPlan().toString()] if name in ("findings", "checked-screens", "checked-objects") else [])
+        return write(df, name)
+
+    monkeypatch.setattr(package_report, "stored", watched)
+    words = course["vocabulary"]
+    words.lexicon, words.never_spaced = write(words.lexicon, "test"), write(words.never_spaced, "test")
+    written = {k: write(course[k], "test") for k in ("packages", "overrides", "objects", "questions", "menu")}
+    assert found({**course, **written}, dual_path=dual_path)
+    assert len(plans) > 3 and "SortMergeJoin" in "".join(plans)
+    assert not [p for p in plans if "BroadcastHashJoin" in p]
