@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 import pytest
 
 from proofloom.operators import orders as O
+from proofloom.operators import similar
 from proofloom.operators.similar import candidate_pairs, longest_short, similar_names
 from tests.conftest import rows
 
@@ -104,3 +105,25 @@ def test_compare_demo_and_keep(spark):
     assert rows(got, "number", "action", "note") == [
         ("1001", "add", "NEW, demo license (5) on portal"), ("1002", "add", ""), ("1003", "demo_remove", ""),
         ("1004", "remove", ""), ("1005", "reset", ""), ("2026", "review", "")]
+
+
+@pytest.mark.parametrize("most", [0, 400, 1 << 24])
+def test_names_meet_in_their_scopes(spark, most):
+    """Looked through, by the index, or some scopes each way: the same pairs, with their ratios."""
+    r, pool = random.Random(11), odd_names(3) + names(4)
+    left, right = ([(o, n) for o in range(5) for n in r.sample(pool, 8 + 20 * o)] + [(7, "a" * 300), (None, "x"), (8, ""), (9, None)] for _ in range(2))
+    a, b = (spark.createDataFrame(x, "order_id int, key string") for x in (left, right))
+    got = {(x.order_id, x.left_key, x.right_key): x.ratio for x in similar_names(a, b, ["order_id"], 0.8, most).collect()}
+    want = {(o, x, y): 1.0 if x == y else SequenceMatcher(None, x, y).ratio() for o, x in left for p, y in right if o is not None and o == p and x and y}
+    want = {k: v for k, v in want.items() if v >= 0.8}
+    assert got == pytest.approx(want) and (7, "a" * 300, "a" * 300) in got
+
+
+def test_names_of_other_scopes_add_nothing(spark, monkeypatch):
+    """A name met in one order only is not compared with the names of all orders."""
+    def all_names(*_):
+        raise AssertionError("names of all scopes were matched")
+
+    monkeypatch.setattr(similar, "candidate_pairs", all_names)
+    a = spark.createDataFrame([(o, f"large ring {100000 + o}") for o in range(200)], "order_id int, key string")
+    assert similar_names(a, a, ["order_id"], 0.85).count() == 200
