@@ -129,6 +129,24 @@ def test_toxicity_plain_words_need_no_pattern(monkeypatch):
     assert model.score({"idiot"}) == pytest.approx(1 / (1 + math.exp(-2.0))) and "good" not in model.known
 
 
+def test_toxicity_restores_spans_of_any_length():
+    """A disguised word is read in a token, and in a spaced-out run, of more than 256 characters, in time that grows with it."""
+    log_p = toxicity.log_probabilities(toxicity.byte_counts(t.encode() for _, t, _ in toxic_corpus()))
+    own = toxicity.Restorer(log_p)
+    parts = "/".join(["1d10t"] * 60)
+    assert own.decode("1d10t") == "idiot" and own.words(parts) == {"idiot"} and own.restore(f"({parts})") == "(" + "/".join(["idiot"] * 60) + ")"
+    assert "idiot" in own.words("i d i o t " * 40)
+    for long in ("a" * 20000, "1d10t" * 4000, "x" + "-" * 20000 + "x", "a " * 10000):
+        own.words(long)
+
+
+def test_toxicity_counts_runs_across_cuts():
+    """A text of several cuts counts as one."""
+    text = ("abc de " * 700_001).encode()
+    want, _ = toxicity._counted(b" " + text + b" ", toxicity.START)
+    assert want.sum() == 7 * 700_001 and (toxicity.byte_counts([text]) == want).all()
+
+
 def test_toxicity_restores_and_scores(spark):
     texts = toxic_corpus()
     docs = spark.createDataFrame([(i, t, "x", 7) for i, t, _ in texts], "doc_id long, text string, score string, h int")
