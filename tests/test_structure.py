@@ -6,6 +6,7 @@ from proofloom.functions import text as T
 from proofloom.functions import web
 from proofloom.operators import nested as N
 from proofloom.operators import structure as S
+from proofloom.operators.stored import stored
 from proofloom.operators.words import segments_to_items, words_to_segments
 from tests.conftest import rows
 
@@ -150,3 +151,18 @@ def test_items_of_one_column(spark):
     reviews = {(r[2], r[4]) for r in got if r[0] == "review"}
     assert ("Theta (201066)", "mistyped number") in reviews and ("Lost 20199 here", "unread") in reviews
     assert ("Kappa 20101", "same number as another item") in reviews and not any("20102 above" in name for name, _ in reviews)
+
+
+def test_words_are_exchanged_once(spark):
+    """Edges and segments read one exchange of a page's words; pages without a number or document keep their own heights."""
+    words = [(d, p, f"w{i}", 50.0 + 200 * (i % 3), 90.0 + 200 * (i % 3), 20.0 * (i // 3), 20.0 * (i // 3) + h)
+             for d, p, h in ((1, 1, 9.0), (1, 2, 12.0), (None, 1, 7.0), (None, None, 20.0)) for i in range(9)]
+    told = stored(spark.createDataFrame(words, "doc_id int, page int, text string, x0 double, x1 double, top double, bottom double"), "test")
+    got = words_to_segments(told)
+    found = got.collect()
+    limits = {(r.doc_id, r.page): r.gap_limit for r in found}
+    assert len(found) == 36 and limits == {(1, 1): pytest.approx(19.8), (1, 2): pytest.approx(26.4), (None, 1): pytest.approx(15.4), (None, None): pytest.approx(44.0)}
+    assert {(r.col, r.x0) for r in found} == {(0, 50.0), (1, 250.0), (2, 450.0)}
+    # The marks of lines join the words in one place, those of edges in another.
+    ran = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert ran.count("Union") == 2 and "ReusedExchange" in ran
