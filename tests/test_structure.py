@@ -166,3 +166,12 @@ def test_words_are_exchanged_once(spark):
     # The marks of lines join the words in one place, those of edges in another.
     ran = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert ran.count("Union") == 2 and "ReusedExchange" in ran
+
+
+def test_items_send_no_table_of_pages_to_the_driver(spark):
+    segments = [(d, 1, n, 0, 50.0, 12.0 * n, t, 20.0) for d in (1, 2) for n, t in enumerate(("Essentials 1001A - NEW", "See 1002Z in the annex"))]
+    told = stored(spark.createDataFrame(segments, "doc_id int, page int, line_no int, col int, x0 double, top double, text string, gap_limit double"), "test")
+    got = segments_to_items(told)
+    assert rows(got, "doc_id", "kind", "number", "note") == [
+        (1, "item", "1001A", "NEW"), (1, "review", None, ""), (2, "item", "1001A", "NEW"), (2, "review", None, "")]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
